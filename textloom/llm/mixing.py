@@ -73,7 +73,7 @@ def _laid_out(sizes: DataFrame, plan: DataFrame, docs_per_bucket: int) -> DataFr
     """Start of each document in its source. Prefix sums run in hash buckets, then over the buckets' totals, so that
     no task holds a whole source."""
     counted = sizes.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / docs_per_bucket)).cast("int").alias("n")).first()
-    buckets = max(16, int(counted["n"]) * 4)
+    buckets = max(512, int(counted["n"]) * 4)
     placed = sizes.where("size > 0").withColumn("order_key", F.xxhash64(F.lit("layout"), F.col("id"))).withColumn("bucket", F.pmod(F.xxhash64("order_key"), F.lit(buckets)))
     totals = placed.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -129,7 +129,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     lo = F.greatest(F.col("start"), F.col("block_no") * F.col("block"))
     hi = F.least(last, (F.col("block_no") + 1) * F.col("block"))
     pieces = pieces.select("id", "source", "skey", "block_no", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words"))
-    taken_rows = draw_slots(plan, slots_per_shard=slots_per_shard).join(pieces, ["skey", "block_no"])
+    # Both sides grow with the input; the planner would judge the slots by the short rows they are made from and broadcast them.
+    taken_rows = draw_slots(plan, slots_per_shard=slots_per_shard).hint("merge").join(pieces, ["skey", "block_no"])
     taken = taken_rows.groupBy("id", "skey").agg(F.sum("n_words").alias("taken"))
     account = _with_taken(sizes, taken).join(targets.select("skey", "source_size", "target"), "skey")
     return taken_rows.select("shard", "slot", "id", "source", "block_no", "first_word", "n_words"), account.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
