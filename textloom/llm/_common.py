@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Fixed values of the contracts: words are runs of anything but these six ASCII characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -16,7 +18,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table of that name, through Spark's reader, so any store that Spark can open will do."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:

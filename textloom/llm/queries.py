@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, language_id, mixing, quality_rules, token_counts, toxicity
 from ._common import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language_id.identify(read(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), (~language_id.is_training_row("id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -20,14 +29,23 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(more))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return rows.select(F.col("id").alias("doc_id"), (~toxicity.is_training_row("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     account = mixing.mix(read(spark, sf_dir, "documents"))[1]
     return account.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_format": op8_chat_format,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
