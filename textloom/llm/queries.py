@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, quality_rules, token_counts, toxicity
-from ._common import read
+from . import chat_format, decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_rules, token_counts, toxicity, warc
+from ._common import read, scratch_table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.deduplicate(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = language_id.identify(read(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), (~language_id.is_training_row("id")).alias("held_out"), "lang_pred", "score")
@@ -22,6 +26,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_table(warc.write_archives(read(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -42,8 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_html_extract": op7_html_extract,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
