@@ -96,11 +96,13 @@ def draw_slots(plan: DataFrame, *, slots_per_shard: int = SLOTS_PER_SHARD) -> Da
     """(shard, skey, slot, block_no): the slots of every output shard, mapped to blocks."""
     runs = plan.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / slots_per_shard)))
     first = runs.where("n_slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(slots_per_shard).cast("long"))).alias("lo"))
-    first = first.repartition("skey", "lo")
+    # The rows are few until exploded: the number of tasks is stated, or the planner would put them into one.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = first.repartition(tasks, "skey", "lo")
     every = first.select("skey", "n_blocks", "n_shards", F.explode(F.sequence("lo", F.least(F.col("lo") + slots_per_shard, F.col("n_slots")) - 1)).alias("draw"))
     counts = every.groupBy("skey", "n_blocks", F.pmod(F.xxhash64(F.lit("shard"), F.col("skey"), F.col("draw")), F.col("n_shards")).alias("shard")).agg(F.count("*").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("offset", offset).repartition("skey", "shard")
+    counts = counts.withColumn("offset", offset).repartition(tasks, "skey", "shard")
     slots = counts.select("shard", "skey", "n_blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n") - 1)).alias("slot"))
     n = F.col("n_blocks").cast("long")
     turn = F.floor(F.col("slot") / n)
