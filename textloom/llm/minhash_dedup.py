@@ -209,8 +209,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", tex
     prefix = scratch_table(ranked.where(F.col("rank") <= F.col("shared") - MATCHES + 1).select("token", "node"), "prefixes")
     members = prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     lists = prefix.join(live.select("node", "sig", "weight"), "node")
-    forest = scratch_table(_by_group(_blocks(lists, "token", members, ["node", "weight", "sig"]), ["token", "lo", "hi"], _agreeing).distinct(), "candidates")
-    groups = components(forest)
+    groups = components(_by_group(_blocks(lists, "token", members, ["node", "weight", "sig"]), ["token", "lo", "hi"], _agreeing))
 
     # Full sets of the members of candidate groups, worked out anew from the texts of their first documents.
     wanted = groups.join(live, "node")
