@@ -48,3 +48,24 @@ def ascii_words(text: Column) -> Column:
 
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+#: Bits of a membership map at most: 2^18 rows of 64 bits, a few MB when broadcast, whatever the input.
+MAX_MAP_BITS = 1 << 24
+
+
+def marked_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows with the column ``_maybe``: false where key is surely not among ids, true where it is or may be.
+
+    The ids are hashed to a bit map of bounded size, which is broadcast; so rows that a join would only throw away (or
+    only let pass) need not be shuffled. With more ids than the map can tell apart it says true more often, and the join behind
+    it does the work.
+    """
+    n = ids.count()
+    bits = min(MAX_MAP_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    spots = ids.select(place(F.col(id_col)).alias("_h")).select(F.floor(F.col("_h") / 64).alias("_word"), F.expr("shiftleft(1L, cast(_h % 64 as int))").alias("_mask"))
+    spots = scratch_table(spots.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "id-map")
+    told = rows.withColumn("_h", place(F.col(key))).withColumn("_word", F.floor(F.col("_h") / 64)).join(F.broadcast(spots), "_word", "left")
+    hit = F.expr("coalesce((_mask & shiftleft(1L, cast(_h % 64 as int))) <> 0, false)")
+    return told.withColumn("_maybe", hit).select(*rows.columns, "_maybe")
