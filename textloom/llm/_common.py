@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.scratch import folder
 
 #: Fixed values of the contracts: words are runs of anything but these six ASCII characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -21,21 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests on one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage: the rows survive the loss of any executor, and nothing above is computed twice. The
     files stay until the checkpoint folder is cleared.
     """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
