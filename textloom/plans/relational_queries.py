@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as H
 from ..sources.tables import read
 
-_NOW = F.to_timestamp(F.lit("2024-01-15 00:00:00"))
+
+
+def _now() -> Column:
+    return F.to_timestamp(F.lit("2024-01-15 00:00:00"))
 
 
 def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +109,11 @@ _JOBS = """SELECT event_id AS job_id, event_type AS type, user_id AS target_id,
 
 
 def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.next_jobs(_jobs(spark, sf_dir).where("created_at >= '2024-01-10'"), _NOW).select("type", "job_id", "status", F.col("attempts").cast("long").alias("attempts"), F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
+    return H.next_jobs(_jobs(spark, sf_dir).where("created_at >= '2024-01-10'"), _now()).select("type", "job_id", "status", F.col("attempts").cast("long").alias("attempts"), F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
 
 
 def queue_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = H.retry_or_fail(_jobs(spark, sf_dir).where("status = 'failed'"), _NOW)
+    rows = H.retry_or_fail(_jobs(spark, sf_dir).where("status = 'failed'"), _now())
     return rows.select("job_id", "status", F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"))
 
 
@@ -121,7 +124,7 @@ def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _jobs(spark, sf_dir).where("status = 'running'")
-    return H.update_where(rows, F.col("created_at") < _NOW - F.make_interval(mins=F.lit(3)), {"status": F.lit("interrupted")})[0].groupBy("status").agg(F.count("*").alias("n"))
+    return H.update_where(rows, F.col("created_at") < _now() - F.make_interval(mins=F.lit(3)), {"status": F.lit("interrupted")})[0].groupBy("status").agg(F.count("*").alias("n"))
 
 
 def retryable_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
