@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ MAX_MAP_BITS = 1 << 24
 
 
 def marked_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """rows with the column ``_maybe``: false where key is surely not among ids, true where it is or may be.
+    """rows with the column ``_map_maybe``: false where key is surely not among ids, true where it is or may be.
 
     The ids are hashed to a bit map of bounded size, which is broadcast; so rows that a join would only throw away (or
     only let pass) need not be shuffled. With more ids than the map can tell apart it says true more often, and the join behind
@@ -56,8 +58,19 @@ def marked_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> Dat
     n = ids.count()
     bits = min(MAX_MAP_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    spots = ids.select(place(F.col(id_col)).alias("_h")).select(F.floor(F.col("_h") / 64).alias("_word"), F.expr("shiftleft(1L, cast(_h % 64 as int))").alias("_mask"))
-    spots = scratch_table(spots.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "id-map")
-    told = rows.withColumn("_h", place(F.col(key))).withColumn("_word", F.floor(F.col("_h") / 64)).join(F.broadcast(spots), "_word", "left")
-    hit = F.expr("coalesce((_mask & shiftleft(1L, cast(_h % 64 as int))) <> 0, false)")
-    return told.withColumn("_maybe", hit).select(*rows.columns, "_maybe")
+    spots = ids.select(place(F.col(id_col)).alias("_map_h")).select(F.floor(F.col("_map_h") / 64).alias("_map_word"), F.expr("shiftleft(1L, cast(_map_h % 64 as int))").alias("_map_mask"))
+    spots = scratch_table(spots.groupBy("_map_word").agg(F.bit_or("_map_mask").alias("_map_mask")), "id-map")
+    told = rows.withColumn("_map_h", place(F.col(key))).withColumn("_map_word", F.floor(F.col("_map_h") / 64)).join(F.broadcast(spots), "_map_word", "left")
+    hit = F.expr("coalesce((_map_mask & shiftleft(1L, cast(_map_h % 64 as int))) <> 0, false)")
+    return told.withColumn("_map_maybe", hit).select(*rows.columns, "_map_maybe")
+
+
+def texts_kept(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text passes the rule that rule() makes once for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = rule()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ results on the document's side and one on the item's; empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import texts_kept
+
 #: Fixed masks: 1 keeps a position. Weight 6 of 9, no two with the same gaps.
 MASKS = ("110110011", "101101101", "111001011")
 STRETCH, AGREE, LEAST = 12, 0.8, 6
@@ -142,17 +144,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     return reduce(DataFrame.unionByName, map(of_block, _blocks(benchmark, item_col, item_text_col, block_bytes)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that overlap no item; those with a null id are judged by their text like others."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The documents that overlap no item, all their columns kept."""
     sc = docs.sparkSession.sparkContext
-    out = docs
     for items in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
         held = sc.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], held: object = held) -> Iterator[pa.RecordBatch]:
+        def rule(held: object = held) -> Callable[[str | None], bool]:
             seeds = Seeds(held.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not seeds.overlaps(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            return lambda text: not seeds.overlaps(text)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        docs = texts_kept(docs, text_col, rule)
+    return docs

@@ -12,7 +12,7 @@ with one language that one is predicted; repeated rows are scored one by one; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import texts_kept
+
 #: Language families by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
@@ -169,19 +171,33 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit([(r["lang"], np.frombuffer(r["v"], np.float32)) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["v"]))])
 
 
-def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options: object) -> DataFrame:
-    """(id, the columns of keep, lang_pred, score)."""
+def known(docs: DataFrame, least: float, model: Model | None = None, *, text_col: str = "text", **options: object) -> DataFrame:
+    """The documents whose language is predicted with a score of ``least`` or more, all their columns kept."""
+    held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col=text_col, **options))
+
+    def rule() -> Callable[[str | None], bool]:
+        grams, own = Grams(), held.value
+
+        def passes(text: str | None) -> bool:
+            language, score = own.predict(grams(text))
+            return language != UNKNOWN and score >= least
+
+        return passes
+
+    return texts_kept(docs, text_col, rule)
+
+
+def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """(id, lang_pred, score)."""
     model = model or train(docs, id_col=id_col, text_col=text_col, **options)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, own = Grams(), held.value
         for batch in batches:
-            found = [own.predict(grams(t)) for t in batch.column("_text").to_pylist()]
+            found = [own.predict(grams(t)) for t in batch.column("text").to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *more], ["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text"))
-    told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(predicted, f"{told}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(predicted, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")

@@ -222,7 +222,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in found], pa.int64()), pa.array([np.sort(s.view(np.int64)) for s in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
     reps = scratch_table(wanted.select("rep").distinct(), "wanted")
-    texts = marked_by_ids(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", reps, "rep").where("_maybe").drop("_maybe").join(reps, "rep", "left_semi")
+    texts = marked_by_ids(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", reps, "rep").where("_map_maybe").drop("_map_maybe").join(reps, "rep", "left_semi")
     sets = texts.select("text").mapInArrow(full_sets, "node long, shingles array<long>")
     sets = scratch_table(sets.join(wanted.select("node", "component", "weight", "sig"), "node").dropDuplicates(["node"]), "sets")
     members = sets.groupBy("component").agg(F.count("*").alias("members"))

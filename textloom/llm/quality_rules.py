@@ -83,8 +83,9 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on a sample: the rows of smallest hash of their id among those of the first
-    partitions read. Only counts and times reach the driver; ties keep the given order."""
+    """Rules by rejections per second on a sample of at most ``sample_rows`` rows (the first that the scan yields, with
+    whole texts). Only counts and times reach the driver; ties keep the given order. The order decides what is evaluated
+    first, never what is kept."""
     sample = rows.limit(sample_rows).cache()
     total = sample.count()
     if not total:
