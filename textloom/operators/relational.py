@@ -18,9 +18,10 @@ def latest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, "row.*")
 
 
-def first_or_counted(rows: DataFrame, order: Column, count: str) -> DataFrame:
-    """The first row and those whose count is positive."""
-    return rows.withColumn("_place", F.row_number().over(Window.orderBy(order))).where((F.col("_place") == 1) | (F.col(count) > 0)).drop("_place")
+def first_or_counted(rows: DataFrame, order: str, count: str) -> DataFrame:
+    """The first row and those whose count is positive; the first is found without sorting the rest."""
+    first = rows.orderBy(order).limit(1).where(F.col(count) <= 0)
+    return rows.where(F.col(count) > 0).unionByName(first)
 
 
 def token_estimate(text: Column) -> Column:

@@ -65,8 +65,10 @@ def phrase_leg(chunks: DataFrame, phrases: DataFrame, limit: int = PHRASE_LIMIT)
     words = F.regexp_extract_all(F.lower("phrase"), F.lit("(?<![a-z0-9])[a-z0-9]{3,}(?![a-z0-9])"), 0)
     keyed = phrases.withColumn("key", F.get(words, F.lit(1)))
     body = chunks.select("doc", "ord", F.lower("text").alias("body"))
-    at = body.select("doc", "ord", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]{3,}"), 0))).alias("key"))
-    found = at.join(keyed.where("key is not null"), "key").where(F.contains("body", F.lower("phrase")))
+    # Keys are exploded without the texts; those where a key was met are read again.
+    at = body.select("doc", "ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]{3,}"), 0))).alias("key"))
+    met = at.join(keyed.where("key is not null"), "key").select("doc", "ord", "question_id", "phrase").distinct()
+    found = met.join(body, ["doc", "ord"]).where(F.contains("body", F.lower("phrase")))
     rest = body.join(keyed.where("key is null"), F.contains("body", F.lower("phrase")))
     rows = found.select("question_id", "doc", "ord").unionByName(rest.select("question_id", "doc", "ord")).distinct()
     return _ranked(rows, [F.col("doc"), F.col("ord")], limit)

@@ -36,15 +36,16 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs (doc_id, text), items (item_id, text) of five words or more. An occurrence may cut the item's first and last
     word short, so the anchor is the run of words two to four. Documents are not shuffled as long as the anchors are few enough
-    to be broadcast, which the planner judges by their size; beyond, both sides are shuffled by anchor.
+    to be broadcast, which the planner judges by their size; beyond, ids and anchors are shuffled, not texts.
     """
     items = items.select("item_id", X.spaced(F.col("text")).alias("passage")).where("passage <> ''")
     words = F.split("passage", " ")
     items = items.where(F.size(words) >= 5).withColumn("anchor", F.xxhash64(*[F.get(words, F.lit(k)) for k in (1, 2, 3)]))
     docs = docs.select("doc_id", X.spaced(F.col("text")).alias("spaced"))
-    # Only the anchors go through the join; the texts beside them are references to one row's buffer until it filters.
-    at = docs.select("doc_id", "spaced", F.explode(F.array_distinct(_anchors(F.col("spaced")))).alias("anchor"))
-    rows = at.join(items, "anchor").where(F.contains("spaced", "passage"))
+    # Only ids and anchors are exploded; a text is not copied for each of its words, but read again where an anchor was met.
+    at = docs.select("doc_id", F.explode(F.array_distinct(_anchors(F.col("spaced")))).alias("anchor"))
+    met = at.join(items.select("anchor", "item_id", "passage"), "anchor").select("doc_id", "item_id", "passage").distinct()
+    rows = met.join(docs, "doc_id").where(F.contains("spaced", "passage"))
     return rows.select("doc_id", "item_id", (F.instr("spaced", F.col("passage")) - 1).cast("long").alias("position"))
 
 

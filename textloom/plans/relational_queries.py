@@ -63,7 +63,7 @@ def deletion_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nonempty_or_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "role").groupBy("conv_id").agg(F.count_if(F.col("role") == "system").alias("n"))
-    return H.first_or_counted(rows, F.col("conv_id"), "n")
+    return H.first_or_counted(rows, "conv_id", "n")
 
 
 def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
