@@ -118,6 +118,32 @@ def headings(lines: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, "kind", number.alias("number"), title.alias("title"), level.cast("int").alias("level"))
 
 
+def word_headings(paragraphs: DataFrame) -> DataFrame:
+    """Headings of Word paragraphs (doc, ord, start, end, text, heading_level, label, bold_lead, in_table): automatically numbered
+    ones (sub-items in brackets or letters are none), those of a heading style, and short or bold ones that read as headings."""
+    label = F.trim("label")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(label, r"(?i)^(article|section|clause|schedule|exhibit|annex|appendix)\s+", ""), r"[.):\s]+$", ""), r"^\(", ""))
+    sub = label.rlike(r"(?i)^\(?[a-z]{1,3}\)$|^\(?[ivxlc]{1,6}\)$|^\(")
+    t = F.trim("text")
+    body = F.when(F.col("label").isNotNull() & t.startswith(F.col("label")), F.trim(F.expr("substring(trim(text), length(label) + 1)"))).otherwise(t)
+    own = paragraphs.where((t != "") & ~F.col("in_table"))
+    lead = title_from(F.trim(F.replace("bold_lead", F.col("label"), F.lit(""))))
+    title = F.when(F.col("bold_lead").isNotNull() & (lead != ""), lead).otherwise(title_from(body))
+    level = F.when(bare.rlike(r"^\d+(\.\d+)*$"), _level(bare)).otherwise(F.coalesce("heading_level", F.lit(1)))
+    names = [c for c in paragraphs.columns if c in ("doc", "ord", "start", "end", "text")]
+    numbered = own.where(F.col("label").isNotNull() & ~sub).select(*names, F.lit("word").alias("kind"), F.nullif(bare, F.lit("")).alias("number"), F.when(title != "", title).otherwise(bare).alias("title"), level.cast("int").alias("level"))
+    rest = own.where(F.col("label").isNull())
+    plain = headings(rest)
+    short = F.size(_words(F.col("text"))) <= 15
+    styled = plain.where(F.col("heading_level").isNotNull()).withColumn("level", F.col("heading_level").cast("int"))
+    free = plain.where(F.col("heading_level").isNull() & ((F.col("kind") == "caps") | short | F.col("bold_lead").isNotNull()))
+    other = rest.where(F.col("heading_level").isNotNull()).join(plain.select("doc", "ord"), ["doc", "ord"], "left_anti")
+    first = title_from(F.trim("text"))
+    other = other.select(*names, F.lit("word").alias("kind"), F.lit(None).cast("string").alias("number"), F.when(first != "", first).otherwise(F.substring(F.trim("text"), 1, 80)).alias("title"), F.col("heading_level").cast("int").alias("level"))
+    columns = [*names, "kind", "number", "title", "level"]
+    return numbered.unionByName(styled.select(*columns)).unionByName(free.select(*columns)).unionByName(other)
+
+
 def without_contents(heads: DataFrame) -> DataFrame:
     """Headings less a table of contents: lines with dot leaders go; if three headings or more recur, only the last of each
     stays."""
