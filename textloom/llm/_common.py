@@ -65,12 +65,19 @@ def marked_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> Dat
     return told.withColumn("_map_maybe", hit).select(*rows.columns, "_map_maybe")
 
 
+def texts_of(batch: pa.RecordBatch, column: str, step: int = 512) -> Iterator[str | None]:
+    """The texts of a batch; only a few hundred at a time are copied out of Arrow's memory."""
+    texts = batch.column(column)
+    for at in range(0, len(texts), step):
+        yield from texts.slice(at, step).to_pylist()
+
+
 def texts_kept(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of docs, all columns as they are, whose text passes the rule that rule() makes once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = rule()
         for batch in batches:
-            yield batch.filter(pa.array([passes(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([passes(t) for t in texts_of(batch, text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by each worker; this changes the cost only.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

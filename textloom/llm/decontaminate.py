@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import texts_kept
+from ._common import texts_kept, texts_of
 
 #: Fixed masks: 1 keeps a position. Weight 6 of 9, no two with the same gaps.
 MASKS = ("110110011", "101101101", "111001011")
@@ -132,7 +132,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             seeds = Seeds(held.value)
             for batch in batches:
                 at, found = [], []
-                for k, text in enumerate(batch.column("text").to_pylist()):
+                for k, text in enumerate(texts_of(batch, "text")):
                     for x in seeds.overlaps(text):
                         at.append(k)
                         found.append(x)

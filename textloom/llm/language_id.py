@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import texts_kept
+from ._common import texts_kept, texts_of
 
 #: Language families by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
@@ -164,7 +164,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            found = [v.tobytes() if (v := grams(t)) is not None else None for t in batch.column("text").to_pylist()]
+            found = [v.tobytes() if (v := grams(t)) is not None else None for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("id"), pa.array(found, pa.binary())], ["lang", "id", "v"])
 
     rows = picked.mapInArrow(vectors, "lang string, id string, v binary").where("v is not null").collect()
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, own = Grams(), held.value
         for batch in batches:
-            found = [own.predict(grams(t)) for t in batch.column("text").to_pylist()]
+            found = [own.predict(grams(t)) for t in texts_of(batch, "text")]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *more], ["id", "lang_pred", "score"])
 

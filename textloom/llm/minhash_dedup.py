@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import marked_by_ids, scratch_table
+from ._common import marked_by_ids, scratch_table, texts_of
 from ._components import components
 from ._shingles import Shingler, Signer
 
@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         shingler, signer = Shingler(WIDTH), Signer(COORDINATES)
         for batch in batches:
             n, node, sig = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch, "text"):
                 s = shingler(text)
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
@@ -217,7 +217,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", tex
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(WIDTH)
         for batch in batches:
-            found = [shingler(t) for t in batch.column("text").to_pylist()]
+            found = [shingler(t) for t in texts_of(batch, "text")]
             # Sorted as signed values, as they are held here.
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in found], pa.int64()), pa.array([np.sort(s.view(np.int64)) for s in found], pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import texts_of
+
 OVER_LIMIT = 2048
 #: Words remembered by each Python worker.
 MEMORY_WORDS = 200_000
@@ -161,7 +163,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(*held.value)
         for batch in batches:
-            n = pa.array([count(x) for x in batch.column("text").to_pylist()], pa.int64())
+            n = pa.array([count(x) for x in texts_of(batch, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), n], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
