@@ -86,6 +86,14 @@ def test_wrappers_stay_union_free():
     assert H.merged(H.merged(a, b), a) == H.merged(a, b)
 
 
+def test_deep_and_long_pages(spark):
+    deep = "<article>" + "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "<p>after</p></article><footer>foot</footer>"
+    long = "<article>" + "<h2>head</h2><p>text</p>" * 4000 + "</article>"
+    rows = [(1, "http://e.example/1", deep), (2, "http://e.example/2", long), (3, "http://e.example/3", "<div" * 4000), (4, "http://e.example/4", "<p title=\"open>x")]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows)).collect()}
+    assert got[1] == "deep\nafter" and got[2] == "\n".join(["head", "text"] * 4000) and len(got) == 4
+
+
 def test_whole_pages_of_the_small_table(spark, small):
     from textloom.llm.queries import op7_html_extract
 

@@ -1,7 +1,7 @@
 """Main text of web pages, with wrappers inferred for each host as union-free regular expressions.
 
 A page becomes a tree of block tags (inline tags join the text of their block) with a text slot where a block has text.
-Its skeleton is that tree with runs of equal siblings folded into a repeated group. A host's wrapper starts from one
+Its skeleton is that tree with equal siblings folded into a repeated group. A host's wrapper starts from one
 skeleton and is aligned with the next: children that match are merged, those that one side lacks become optional, those
 that recur become repeated, text becomes a slot. There is no choice operator, so the wrapper stays union-free. All pages take
 part: equal skeletons are merged before, and wrappers are merged first within a salt, then within a host, so a host
@@ -46,6 +46,8 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_TAGS = frozenset(("article", "main"))
 SALTS = 16
+#: Elements nested deeper than this are read as standing in the last one that is kept.
+MAX_DEPTH = 120
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -83,6 +85,7 @@ def parse(page: str | None) -> Node:
     """The tree of a page."""
     root = Node("root")
     stack, held, at, page = [root], [], 0, page or ""
+    deeper: list[str] = []  # elements open beyond MAX_DEPTH
 
     def flush() -> None:
         if held:
@@ -105,8 +108,13 @@ def parse(page: str | None) -> Node:
         if m.group(1):
             if name in INLINE or name in VOID:
                 continue
-            if any(n.tag == name for n in stack[1:]):
+            if name in deeper:
                 flush()
+                while deeper.pop() != name:
+                    pass
+            elif any(n.tag == name for n in stack[1:]):
+                flush()
+                deeper.clear()
                 while stack.pop().tag != name:
                     pass
             continue
@@ -131,10 +139,14 @@ def parse(page: str | None) -> Node:
                     if stack[k].tag == own:
                         del stack[k:]
                         break
+        if name in VOID or m.group(3).endswith("/"):
+            continue
+        if len(stack) >= MAX_DEPTH:
+            deeper.append(name)
+            continue
         node = Node(name, _sign(m.group(3)))
         stack[-1].children.append(node)
-        if name not in VOID and not m.group(3).endswith("/"):
-            stack.append(node)
+        stack.append(node)
     flush()
     return root
 
@@ -147,15 +159,16 @@ def skeleton(node: Node) -> list:
 
 
 def folded(children: list[list]) -> list[list]:
-    """Runs of siblings of equal key become one repeated group."""
-    out: list[list] = []
+    """Siblings of equal key become one repeated group, at the place of the first; so a list of children is as long as its
+    distinct keys, however long the page."""
+    out: dict[str, list] = {}
     for c in children:
-        if out and out[-1][0] == c[0]:
-            both = merged(out[-1], c)
-            out[-1] = [both[0], "*" if both[1] in "?*" else "+", both[2]]
+        if c[0] in out:
+            both = merged(out[c[0]], c)
+            out[c[0]] = [both[0], "*" if both[1] in "?*" else "+", both[2]]
         else:
-            out.append(c)
-    return out
+            out[c[0]] = c
+    return list(out.values())
 
 
 def merged(a: list, b: list) -> list:
