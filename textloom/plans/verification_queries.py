@@ -85,11 +85,8 @@ def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slip": F.concat(F.substring("text", 1, 20), F.regexp_replace(F.expr("substring(text, 21)"), r"^(.*?[a-z]{4})[a-z]([a-z]+\b)", "$1x$2")),
         "changed": F.concat(F.array_join(F.slice(words, 1, 4), " "), F.lit(" zebra "), F.array_join(F.slice(words, F.lit(6), F.greatest(n - 5, F.lit(1))), " ")),
     }
-    rows = [found.select(F.concat_ws(":", F.lit(kind), "doc_id", "item_id").alias("quote_id"), "doc_id", form.alias("text")) for kind, form in forms.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    told = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), form.alias("text")) for kind, form in forms.items()])).alias("q")
+    return found.select("doc_id", "item_id", told).select(F.concat_ws(":", "q.kind", "doc_id", "item_id").alias("quote_id"), "doc_id", "q.text")
 
 
 def quote_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
