@@ -27,10 +27,18 @@ OVERVIEW = (
 EXHAUSTIVE = r"(?i)\b(is there|are there|does (it|the \w+) (contain|include|have|mention|say anything)|any\b|all\b|every|each|list|how many|whether|anywhere|at all)\b"
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(doc, ord, term, tf) of words of three ASCII letters or digits and more, stopwords left out."""
+def question_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, ord, term, tf) of words of three ASCII letters or digits and more, stopwords left out. With terms (term), only
+    theirs: other words are dropped before anything is shuffled."""
     rows = chunks.select("doc", "ord", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), 0)).alias("term"))
-    return rows.where(~F.col("term").isin(*X.STOPWORDS)).groupBy("doc", "ord", "term").agg(F.count("*").alias("tf"))
+    rows = rows.where(~F.col("term").isin(*X.STOPWORDS))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc", "ord", "term").agg(F.count("*").alias("tf"))
 
 
 def _ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
@@ -39,8 +47,7 @@ def _ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 def keyword_leg(index: DataFrame, questions: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
     """(question_id, doc, ord, rank): chunks by distinct terms matched, then by their occurrences."""
-    terms = questions.select("question_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
-    hits = index.join(terms, "term").groupBy("question_id", "doc", "ord").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
+    hits = index.join(question_terms(questions), "term").groupBy("question_id", "doc", "ord").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
     return _ranked(hits, [F.col("matched").desc(), F.col("tf").desc(), F.col("doc"), F.col("ord")], limit).select("question_id", "doc", "ord", "rank")
 
 

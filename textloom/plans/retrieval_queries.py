@@ -20,6 +20,11 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 9), " ").alias("text"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the questions' terms."""
+    return R.postings(_chunks(spark, sf_dir), R.question_terms(_questions(spark, sf_dir)))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of several kinds made of part names."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -61,17 +66,17 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.keyword_leg(R.postings(_chunks(spark, sf_dir)), _questions(spark, sf_dir))
+    rows = R.keyword_leg(_index(spark, sf_dir), _questions(spark, sf_dir))
     return rows.select("question_id", "doc", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
 
 def precise_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.precise_leg(R.postings(_chunks(spark, sf_dir)), _questions(spark, sf_dir))
+    rows = R.precise_leg(_index(spark, sf_dir), _questions(spark, sf_dir))
     return rows.select("question_id", "doc", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
 
 def filled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, questions = R.postings(_chunks(spark, sf_dir)), _questions(spark, sf_dir)
+    index, questions = _index(spark, sf_dir), _questions(spark, sf_dir)
     rows = R.filled(R.precise_leg(index, questions), R.keyword_leg(index, questions))
     return rows.select("question_id", "doc", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
@@ -102,19 +107,19 @@ def _section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    rows = R.fused([(R.keyword_leg(R.postings(chunks), questions), 1.0), (R.phrase_leg(chunks, _phrases(spark, sf_dir)), 1.5)])
+    rows = R.fused([(R.keyword_leg(_index(spark, sf_dir), questions), 1.0), (R.phrase_leg(chunks, _phrases(spark, sf_dir)), 1.5)])
     return rows.select("question_id", "doc", F.col("ord").cast("long").alias("ord"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def budgeted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    ranked = R.keyword_leg(R.postings(chunks), _questions(spark, sf_dir))
+    ranked = R.keyword_leg(_index(spark, sf_dir), _questions(spark, sf_dir))
     return R.within_budget(ranked, chunks, 600).select("question_id", "doc", F.col("ord").cast("long").alias("ord"), F.col("place").cast("long").alias("place"))
 
 
 def neighbour_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    ranked = R.keyword_leg(R.postings(chunks), _questions(spark, sf_dir)).withColumn("place", F.col("rank") - 1)
+    ranked = R.keyword_leg(_index(spark, sf_dir), _questions(spark, sf_dir)).withColumn("place", F.col("rank") - 1)
     return R.with_neighbours(ranked, chunks).select("question_id", "doc", F.col("ord").cast("long").alias("ord"))
 
 
