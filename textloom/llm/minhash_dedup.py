@@ -207,7 +207,8 @@ def link_classes(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", tex
     # Prefixes: at most COORDINATES rows for each class in a window.
     ranked = shared.join(live.select("node", "shared"), "node").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("length", "token")))
     prefix = scratch_table(ranked.where(F.col("rank") <= F.col("shared") - MATCHES + 1).select("token", "node"), "prefixes")
-    members = prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    # Sums are written before they are joined back: both sides of the join are then plain rows, and Spark can split a hot key.
+    members = scratch_table(prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1"), "list-sizes")
     lists = prefix.join(live.select("node", "sig", "weight"), "node")
     groups = components(_by_group(_blocks(lists, "token", members, ["node", "weight", "sig"]), ["token", "lo", "hi"], _agreeing))
 
@@ -225,7 +226,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", tex
     texts = marked_by_ids(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", reps, "rep").where("_map_maybe").drop("_map_maybe").join(reps, "rep", "left_semi")
     sets = texts.select("text").mapInArrow(full_sets, "node long, shingles array<long>")
     sets = scratch_table(sets.join(wanted.select("node", "component", "weight", "sig"), "node").dropDuplicates(["node"]), "sets")
-    members = sets.groupBy("component").agg(F.count("*").alias("members"))
+    members = scratch_table(sets.groupBy("component").agg(F.count("*").alias("members")), "group-sizes")
     confirmed = _by_group(_blocks(sets, "component", members, ["node", "weight", "sig", "shingles"]), ["component", "lo", "hi"], _confirmed)
     return components(confirmed)
 
@@ -236,7 +237,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     linked = link_classes(docs, signed, id_col, text_col)
     firsts = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
     firsts = firsts.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
+    firsts = scratch_table(firsts, "firsts")
+    least = scratch_table(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "least-ids")
     named = firsts.join(least, "component").select("node", "component_id")
     rows = signed.select("id", "n", "node").join(named, "node", "left")
     rows = rows.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
