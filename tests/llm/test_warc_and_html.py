@@ -79,6 +79,13 @@ def test_slots_that_never_change_go(spark):
     assert {r["text"] for r in H.extract(pages(spark, same)).collect()} == {"Every page says this\nBody alike of the page"}
 
 
+def test_texts_that_differ_stay_beside_one_that_never_changes(spark):
+    page = "<html><body><div><p>Every page says this</p><p>Body {0} of the page</p><p>{1}</p></div></body></html>"
+    rows = [(i, f"http://f.example/{i}", page.format(f"number {i}", "On most" if i else "On one")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Body number {i} of the page\n{'On most' if i else 'On one'}" for i in range(6)}
+
+
 def test_wrappers_stay_union_free():
     a = H.skeleton(H.parse("<div><h1>x</h1><p>a</p><p>b</p></div>"))
     b = H.skeleton(H.parse("<div><p>a</p><table><tr><td>q</td></tr></table></div>"))

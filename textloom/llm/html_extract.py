@@ -8,8 +8,8 @@ part: equal skeletons are merged before, and wrappers are merged first within a
 with a third of all pages asks no task to hold more than its distinct skeletons of one salt.
 
 Roles follow from the wrapper: its boilerplate regions (by tag, role and class or id words), its content regions
-(``main`` and ``article``), and slots outside content regions whose text is the same on every page of a host with
-three pages or more that differ. A page is matched with its host's wrapper and the text of the slots that
+(``main`` and ``article``), and texts outside content regions that stand at the same path on every page of a host with
+three pages or more that differ; a text that some page lacks is kept, whatever else stands at its path. A page is matched with its host's wrapper and the text of the slots that
 remain is given, block by block in page order.
 
 Defined results: a null html is an empty page with empty text; a page that has no content region gives the body less
@@ -220,14 +220,14 @@ def content_region(key: str) -> bool:
     return (tag in CONTENT_TAGS or "role:main" in sign or "role:article" in sign) and not boilerplate(key)
 
 
-def blocks(root: Node, wrapper: list | None, fixed: frozenset[str]) -> list[str]:
+def blocks(root: Node, wrapper: list | None, fixed: frozenset[tuple[str, int]]) -> list[str]:
     """Texts of the slots that the wrapper leaves, in page order: those in articles, or else in the main part, or else
-    all. A node the wrapper does not have is judged alone."""
+    all. A node the wrapper does not have is judged alone; fixed has path and hash of the texts on every page."""
     out: list[tuple[bool, bool, str]] = []
 
     def walk(node: Node, w: list | None, path: str, article: bool, main: bool) -> None:
         if node.tag == "#":
-            if article or main or path not in fixed:
+            if article or main or not fixed or (path, hashed(node.text)) not in fixed:
                 out.append((article, main, node.text))
             return
         key = w[0] if w else node.key
@@ -247,13 +247,17 @@ def blocks(root: Node, wrapper: list | None, fixed: frozenset[str]) -> list[str]
     return [x[2] for x in out]
 
 
-def slots(root: Node) -> dict[str, str]:
-    """First text of each slot outside content and boilerplate regions, by path."""
-    out: dict[str, str] = {}
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def slots(root: Node) -> set[tuple[str, int]]:
+    """Path and hash of each text outside content and boilerplate regions."""
+    out: set[tuple[str, int]] = set()
 
     def walk(node: Node, path: str) -> None:
         if node.tag == "#":
-            out.setdefault(path, node.text)
+            out.add((path, hashed(node.text)))
         elif not boilerplate(node.key) and not content_region(node.key):
             for c in node.children:
                 walk(c, f"{path}/{c.key}")
@@ -267,14 +271,14 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
-    """(host, wrapper as JSON, fixed array<string>: paths of slots that never change), written to the shared folder."""
+    """(host, wrapper as JSON, fixed array<struct<path, text>>: texts, as hashes, that every page has), written to the shared folder."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees = [parse(h) for h in batch.column("html").to_pylist()]
             forms = [json.dumps(skeleton(t), separators=(",", ":")) for t in trees]
-            fixed = [[(p, xxhash.xxh3_64_intdigest(x) >> 1) for p, x in slots(t).items()] for t in trees]
-            whole = [xxhash.xxh3_64_intdigest(h or "") >> 1 for h in batch.column("html").to_pylist()]
+            fixed = [sorted(slots(t)) for t in trees]
+            whole = [hashed(h or "") for h in batch.column("html").to_pylist()]
             paths = pa.array([[{"path": p, "text": h} for p, h in f] for f in fixed], pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(forms), paths, pa.array(whole, pa.int64())], ["host", "form", "slots", "page"])
 
@@ -296,9 +300,9 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     forms = forms.select("host", "forms").mapInArrow(joined, "host string, form string").groupBy("host").agg(F.collect_set("form").alias("forms"))
     forms = forms.mapInArrow(joined, "host string, form string")
     total = rows.groupBy("host").agg(F.count("*").alias("pages"), F.min("page").alias("lo"), F.max("page").alias("hi")).where("pages >= 3 and lo <> hi")
-    same = rows.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.count("*").alias("n"), F.min("s.text").alias("least"), F.max("s.text").alias("most")).where("least = most and n >= 3")
-    same = same.join(total, "host").where("n = pages").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("fixed"))
-    return scratch_table(forms.join(same, "host", "left").select("host", F.col("form").alias("wrapper"), F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed")), "wrappers")
+    same = rows.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.text").agg(F.count("*").alias("n")).where("n >= 3")
+    same = same.join(total, "host").where("n = pages").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("fixed"))
+    return scratch_table(forms.join(same, "host", "left").select("host", F.col("form").alias("wrapper"), F.coalesce("fixed", F.array().cast("array<struct<path:string,text:bigint>>")).alias("fixed")), "wrappers")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -316,7 +320,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", k
                     if len(memory) >= 256:
                         memory.clear()
                     memory[w] = json.loads(w)
-                texts.append("\n".join(blocks(parse(page), memory.get(w) if w is not None else None, frozenset(fixed or ()))))
+                texts.append("\n".join(blocks(parse(page), memory.get(w) if w is not None else None, frozenset((f["path"], f["text"]) for f in fixed or ()))))
             names = [n for n in batch.schema.names if n[0] != "_"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
