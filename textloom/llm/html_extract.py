@@ -7,10 +7,10 @@ that recur become repeated, text becomes a slot. There is no choice operator, so
 part: equal skeletons are merged before, and wrappers are merged first within a salt, then within a host, so a host
 with a third of all pages asks no task to hold more than its distinct skeletons of one salt.
 
-Roles follow from the wrapper: its boilerplate regions (by tag, role and class or id words), its content regions
-(``main`` and ``article``), and texts outside content regions that stand at the same path on every page of a host with
-three pages or more that differ; a text that some page lacks is kept, whatever else stands at its path. A page is matched with its host's wrapper and the text of the slots that
-remain is given, block by block in page order.
+The wrapper decides nothing in the result: neither its marks nor its alignment are read. What counts are rules on a page's
+own nodes and texts counted per host. Left out are boilerplate regions (by tag, role and class or id words) and, outside content
+regions (``main`` and ``article``), texts that stand at the same path on every page of a host with three pages or more that
+differ; a text that some page lacks is kept, whatever else stands at its path. The rest is given block by block in page order.
 
 Defined results: a null html is an empty page with empty text; a page that has no content region gives the body less
 its boilerplate; broken markup is closed as browsers do it for blocks; a null url is a host of its own; repeated rows
