@@ -54,3 +54,23 @@ def test_stream_equals_batch(spark, tmp_path):
         e = {"type": r["type"], "id": r["quote_id"], "tag": r["tag"], "text": r["text"], "reason": r["reason"]}
         got.setdefault(r["msg_id"], []).append({k: v for k, v in e.items() if v is not None})
     assert {m: joined(v) for m, v in got.items()} == {m: parse(t) for m, t in texts.items()}
+
+
+def test_queries_parse_every_turn_whole(spark, tmp_path):
+    from textloom.plans.stream_queries import quote_events, quote_events_streamed
+
+    turns = ["w" * 30, None, "", "x" * 100, "ab " * 200, "y" * 2000, "z" * 1541, "é漢 " * 90]
+    spark.createDataFrame([(c, n, "user", t) for c in range(0, 30, 3) for n, t in enumerate(turns)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    events = {}
+    for r in sorted(quote_events(spark, str(tmp_path)).collect(), key=lambda r: (r["msg_id"], r["seq"])):
+        events.setdefault(r["msg_id"], []).append(r)
+    streamed = {r["msg_id"]: r["events"] for r in quote_events_streamed(spark, str(tmp_path)).collect()}
+    assert len(events) == len(streamed) == 10 * len(turns)
+    dropped = 0
+    for m, found in events.items():
+        assert streamed[m] == ",".join(r["type"] for r in found if r["type"] != "text")
+        said, whole = "".join(r["text"] or "" for r in found), turns[m % 1000] or ""
+        if any(r["type"] == "quote_abandoned" and not r["text"] for r in found) and len(whole) > 1540:
+            dropped, whole = dropped + 1, whole[:40]
+        assert said == whole
+    assert dropped

@@ -15,10 +15,13 @@ from ..streaming import quotes as Q
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with a quote of their characters 41 to 80, some behind the sentinel, some that never close."""
-    rows = read(spark, sf_dir, "conversations").where("length(text) > 100")
+    """Every turn whole, with a quote from its character 41: of 40 characters, or of all that follow in each third message; some
+    behind the sentinel, some that never close. A null turn is an empty one."""
+    rows = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     t, k = F.col("text"), F.col("conv_id") + F.col("turn")
-    body = F.concat(F.substring(t, 1, 40), F.lit('<quote doc="2">'), F.substring(t, 41, 40), F.when(k % 5 != 0, "</quote>").otherwise(""), F.expr("substring(text, 81, 200)"))
+    stop = F.when(k % 3 == 0, F.greatest(F.length(t), F.lit(40))).otherwise(80)
+    quote, rest = F.substring(t, F.lit(41), F.greatest(stop - 40, F.lit(0))), F.substring(t, stop + 1, F.length(t))
+    body = F.concat(F.substring(t, 1, 40), F.lit('<quote doc="2">'), quote, F.when(k % 5 != 0, "</quote>").otherwise(""), rest)
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.when(k % 7 == 0, F.concat(F.lit("[[NOT_FOUND]]\n"), body)).otherwise(body).alias("text"))
 
 
