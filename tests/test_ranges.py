@@ -51,3 +51,20 @@ def test_blanked(spark):
     skip = "array(named_struct('start', 2, 'end', 4), named_struct('start', 4, 'end', 5), named_struct('start', 9, 'end', 30))"
     got = spark.range(1).select(F.lit(text).alias("t"), F.expr(skip).alias("s")).select(R.blanked(F.col("t"), F.col("s")).alias("b")).first()["b"]
     assert got == "ab fghi "
+
+
+def test_blank_ranges_keeps_whole_texts(spark, small):
+    from textloom.plans.range_queries import blank_ranges
+
+    def blanked(text, k):
+        out, at = "", 0
+        for lo, n in ((2, 4), (10, 9), (40, 1)):
+            lo = (k % 7 + lo) * 3
+            if lo < len(text):
+                out += text[at:lo]
+                out, at = out if out.endswith(" ") else out + " ", lo + n
+        return out + text[at:]
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").collect()}
+    assert any(len(t) > 400 for t in texts.values())
+    assert {r["doc_id"]: r["blanked"] for r in blank_ranges(spark, small).collect()} == {k: blanked(t, k) for k, t in texts.items()}

@@ -38,7 +38,7 @@ def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def precleaned_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, t = F.col("item_id"), F.substring("text", 1, 60)
+    k, t = F.col("item_id"), F.col("text")
     raw = F.when(k % 4 == 0, F.concat(F.lit("“"), t, F.lit("” "))).when(k % 4 == 1, F.concat(F.lit("... "), t, F.lit(" [p. 12] …"))).when(k % 4 == 2, F.concat(F.lit("**\""), t, F.lit("\"**"))).otherwise(F.concat(F.lit(" "), t, F.lit("\n\n")))
     return read(spark, sf_dir, "benchmark").select("item_id", X.precleaned(raw).alias("quote"))
 
