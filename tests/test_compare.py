@@ -74,3 +74,18 @@ def test_word_numbering():
     n = Numbering(xml)
     assert [n.label("5", k) for k in (0, 1, 1, 0, 1)] == ["1.", "1.i", "1.ii", "2.", "2.i"]
     assert n.label("9", 0) is None
+
+
+def test_unit_similarity_takes_every_unit(spark, small):
+    from textloom.plans.compare_queries import paragraph_units, unit_similarity, version_pairs
+
+    digests = {(r["doc"], r["idx"]): r["digest"] for r in paragraph_units(spark, small).collect()}
+    pairs = [(r["a"], r["b"]) for r in version_pairs(spark, small).collect()]
+    rows = unit_similarity(spark, small).collect()
+    assert max(k for d, k in digests if d in {x for p in pairs for x in p}) >= 2
+    for n, end in enumerate(("a", "b")):
+        assert sorted((r["a"], r["b"], r[f"{end}_idx"]) for r in rows if r[f"{end}_idx"] is not None) == sorted((*p, k) for p in pairs for d, k in digests if d == p[n])
+    for r in rows:
+        both = r["a_idx"] is not None and r["b_idx"] is not None
+        assert both == (r["similarity"] is not None)
+        assert not both or digests[r["a"], r["a_idx"]] != digests[r["b"], r["b_idx"]] or r["similarity"] > 0.9

@@ -49,11 +49,12 @@ def part_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the first units of each pair of versions."""
-    units = G.paragraph_units(text_lines(spark, sf_dir)).where("idx < 2")
-    side = lambda doc, name: units.select(F.col("doc").alias(doc), "idx", F.struct("number", "title", "spaced").alias(name))
-    rows = _pairs(spark, sf_dir).join(side("a", "u"), "a").join(side("b", "v"), ["b", "idx"])
-    return rows.select("a", "b", F.col("idx").cast("long").alias("idx"), F.round(G.similarity(F.col("u"), F.col("v")), 6).alias("similarity"))
+    """Similarity of the units that alignment puts together in each pair of versions; a unit put with none has a row with null."""
+    units = G.paragraph_units(text_lines(spark, sf_dir))
+    side = lambda doc, name: units.select(F.col("doc").alias(doc), F.col("idx").alias(f"{doc}_idx"), F.struct("number", "title", "spaced").alias(name))
+    rows = unit_alignment(spark, sf_dir).join(side("a", "u"), ["a", "a_idx"], "left").join(side("b", "v"), ["b", "b_idx"], "left")
+    told = F.when(F.col("a_idx").isNotNull() & F.col("b_idx").isNotNull(), F.round(G.similarity(F.col("u"), F.col("v")), 6))
+    return rows.select("a", "b", F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"), told.alias("similarity"))
 
 
 def unit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
