@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,27 @@ def test_substitutions_are_tolerated_and_others_left_alone(spark):
     assert left.columns == frame.columns and {r["doc_id"] for r in left.collect()} == {d[0] for d in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("n", range(6, 14))
+def test_no_pattern_of_substitutions_is_missed(n):
+    item = [f"w{k}" for k in range(n)]
+    seeds, most = B.Seeds([(1, " ".join(item))]), int(min(n, 12) - 0.8 * min(n, 12) + 1e-9)
+    for k in range(most + 2):
+        for gone in combinations(range(n), k):
+            got = seeds.overlaps(" ".join(["before", *("x" if i in gone else w for i, w in enumerate(item)), "after"]))
+            stretch = max(sum(i not in gone for i in range(s, s + min(n, 12))) for s in range(n - min(n, 12) + 1))
+            assert bool(got) == (stretch >= 0.8 * min(n, 12)), gone
+
+
+def test_short_items_and_items_without_id(spark):
+    long = "an item of seven words without id"
+    bench = items(spark, [(1, "Zebra crossing"), (2, "水は百度で沸騰する"), (3, "ไทย"), (None, long), (4, "...")])
+    texts = ["a zebra, crossing here", "a zebra crossings here", "答え 水は百度で沸騰すると言う", "ภาษาไทยดี", f"Here is {long}.", "nothing", ""]
+    docs = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    got = {(r["id"], r["item_id"]): r["first_token"] for r in B.overlaps(docs, bench).collect()}
+    assert got == {(0, 1): 1, (2, 2): 1, (3, 3): 0, (4, None): 2}
+    assert {r["doc_id"] for r in B.clean(docs, bench).collect()} == {1, 5, 6}
+
+
 def test_finds_every_exact_passage(spark, medium):
     from textloom.llm.queries import op6_decontaminate
 

@@ -9,13 +9,17 @@ its positions.
 The benchmark's seeds go to the documents in blocks of bounded size (``BLOCK_BYTES`` of text; usually there is one), so
 documents are never shuffled; each block is a pass over them.
 
-Defined results: null and empty texts on either side match nothing; items of fewer than ``LEAST`` tokens are not looked
-for, as so few words recur by chance; items shorter than a mask are looked for whole; repeated rows give repeated
+A stretch that agrees has a run of tokens without a substitution, so runs are seeds too (``RUNS``) and no pattern of
+substitutions is missed. Items of fewer than ``LEAST`` tokens are looked for whole, at any length; those of a script that
+sets no blanks also inside longer tokens.
+
+Defined results: null and empty texts on either side match nothing; items with a null id are looked for like others; repeated rows give repeated
 results on the document's side and one on the item's; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -29,6 +33,10 @@ from ._common import texts_kept, texts_of
 #: Fixed masks: 1 keeps a position. Weight 6 of 9, no two with the same gaps.
 MASKS = ("110110011", "101101101", "111001011")
 STRETCH, AGREE, LEAST = 12, 0.8, 6
+#: Item tokens, from and below, and the run that any agreeing stretch of such an item has.
+RUNS = ((LEAST, STRETCH, 3), (STRETCH, 1 << 62, 4))
+#: Thai, Lao, Myanmar, Khmer; kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 BLOCK_BYTES = 8 << 20
 _BLANK = bytes(b if not (b < 128 and not chr(b).isalnum()) else 32 for b in range(256))
 _TABLE_BITS = 22
@@ -41,24 +49,31 @@ def tokens(text: str | None) -> list[bytes]:
 class Seeds:
     """Seeds of some benchmark items, and the items' tokens as numbers of their own vocabulary (0: not in it)."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.vocab: dict[bytes, int] = {}
-        self.ids, self.items = [], []
+        self.ids, self.items, self.unspaced = [], [], []
         for item, text in items:
             words = tokens(text)
-            if len(words) >= LEAST:
+            if words:
+                if len(words) < LEAST and _UNSPACED.search(text):
+                    self.unspaced.append((len(self.ids), b" ".join(words)))
                 self.ids.append(item)
                 self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
         rng = np.random.default_rng(3)
         self.masks = [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS]
-        self.span = max(map(len, MASKS))
+        fits = [(max(map(len, MASKS)), 1 << 62)] * len(MASKS)
+        for lo, hi, run in RUNS:
+            self.masks.append(tuple(range(run)))
+            fits.append((lo, hi))
         # Shorter items: every token counts, one mask for each length.
-        self.masks += [tuple(range(n)) for n in sorted({len(x) for x in self.items if len(x) < self.span})]
+        for n in sorted({len(x) for x in self.items if len(x) < LEAST}):
+            self.masks.append(tuple(range(n)))
+            fits.append((n, n + 1))
         self.factors = [rng.integers(0, 1 << 63, len(m), np.uint64) * np.uint64(2) + np.uint64(1) for m in self.masks]
         hashes, where = [], []
         for i, words in enumerate(self.items):
-            for m, mask in enumerate(self.masks):
-                if m >= len(MASKS) and len(words) != len(mask):
+            for m, (lo, hi) in enumerate(fits):
+                if not lo <= len(words) < hi:
                     continue
                 h = self.hashed(words, m)
                 hashes.append(h)
@@ -86,8 +101,9 @@ class Seeds:
         """(item, matched tokens, item tokens, first token of the item's place in the document, best stretch) of each
         item that the text overlaps, on its best diagonal."""
         get = self.vocab.get
-        words = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        if len(words) < LEAST or not self.vocab:
+        told = tokens(text)
+        words = np.array([get(w, 0) for w in told], np.int64)
+        if not len(words) or not self.vocab:
             return []
         seen: set[tuple[int, int]] = set()
         for m in range(len(self.masks)):
@@ -107,16 +123,22 @@ class Seeds:
             stretch = int((sums[width:] - sums[:-width]).max())
             if stretch >= AGREE * width:
                 best[i] = max(best.get(i, (-1, 0, 0)), (int(same.sum()), stretch, -at))
+        if self.unspaced:
+            whole = b" ".join(told)
+            for i, run in self.unspaced:
+                at, n = whole.find(run), len(self.items[i])
+                if at >= 0 and i not in best:
+                    best[i] = (n, n, -whole.count(b" ", 0, at))
         return [(self.ids[i], total, len(self.items[i]), -at, stretch) for i, (total, stretch, at) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = -(-int(total) // block_bytes) or 1
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted((r["item"], r["text"]) for r in part.collect())
+        yield sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,7 +147,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def of_block(items: list[tuple[int, str]]) -> DataFrame:
+    def of_block(items: list[tuple[int | None, str]]) -> DataFrame:
         held = sc.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
