@@ -96,3 +96,15 @@ def test_one_long_conversation(spark, n):
     rows = spark.range(n).selectExpr("5 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
     r = C.digests(rows).first()
     assert r["n_turns"] == n and r["loss_chars"] == sum(len(f"turn {k}") for k in range(1, n, 2))
+
+
+def test_digests_come_from_one_row_for_each_example(spark):
+    import hashlib
+
+    from textloom.llm import chat_format as chat
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a </s> \\\n"), (1, 2, "assistant", "b"), (2, 0, "user", "none"), (None, 0, "assistant", "é漢"), (3, 0, "assistant", None)]
+    out = chat.digests(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert "explode" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {1: "a </s> \\\nb", 2: "", None: "é漢", 3: ""}
+    assert {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in out.collect()} == {k: (len(x), hashlib.sha256(x.encode()).hexdigest()) for k, x in want.items()}

@@ -63,18 +63,19 @@ def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     return rows.select("conv_id", "formatted", F.expr(spans).alias("examples"))
 
 
-def expand(rendered: DataFrame) -> DataFrame:
-    """One row for each example: (conv_id, target, context_end, loss_start, loss_end, n_chars). Its text is the first
-    loss_end code points of the rendered conversation and the closing mark; only loss_start to loss_end is trained."""
-    rows = rendered.select("conv_id", F.explode("examples").alias("e"))
-    return rows.select("conv_id", "e.*", (F.col("e.loss_end") + len(CLOSE)).alias("n_chars"))
+def expand(rendered: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
+    """One row for each example: (conv_id, target, context_end, loss_start, loss_end, n_chars) and the columns of keep. Its text is
+    the first loss_end code points of the rendered conversation and the closing mark; only loss_start to loss_end is trained.
+    With outer, a conversation without an example has a row of nulls."""
+    rows = rendered.select("conv_id", *keep, (F.explode_outer if outer else F.explode)("examples").alias("e"))
+    return rows.select("conv_id", "e.*", (F.col("e.loss_end") + len(CLOSE)).alias("n_chars"), *keep)
 
 
 def example_text(formatted: Column, loss_end: Column) -> Column:
     return F.substring(formatted, F.lit(1), loss_end + len(CLOSE))
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
+def read_back(rendered: DataFrame, *keep: str) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, loss_texts array<string>, formatted_chars), from the output alone."""
     marked = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>")))
 
@@ -84,12 +85,18 @@ def read_back(rendered: DataFrame) -> DataFrame:
         return F.struct(unescaped(head, role=True).alias("role"), unescaped(body).alias("text"))
 
     loss = F.transform("examples", lambda e: unescaped(F.substring(F.col("formatted"), e["loss_start"] + 1, e["loss_end"] - e["loss_start"])))
-    return rendered.select("conv_id", F.transform(marked, turn).alias("turns"), loss.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return rendered.select("conv_id", F.transform(marked, turn).alias("turns"), loss.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"), *keep)
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """What the contract asks of each conversation, read back from the rendered form."""
-    back = read_back(render(conversations))
+    """What the contract asks of each conversation, read back from the rendered form and from its examples: each is cut out as a text
+    of its own, and its trained part is taken from that text."""
+    rendered = render(conversations)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    back = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.array_join("loss_texts", "").alias("loss"), "formatted_chars")
-    return back.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    whole = ("n_turns", "turns_sha256", "formatted_chars")
+    back = read_back(rendered, "formatted", "examples").select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), "formatted_chars", "formatted", "examples")
+    rows = expand(back, *whole, "formatted", outer=True).withColumn("text", example_text(F.col("formatted"), F.col("loss_end")))
+    loss = unescaped(F.expr("substring(text, loss_start + 1, loss_end - loss_start)"))
+    rows = rows.select("conv_id", *whole, F.when(F.col("target").isNotNull(), F.struct("target", loss.alias("loss"))).alias("x"))
+    rows = rows.groupBy("conv_id", *whole).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["loss"]), "").alias("loss"))
+    return rows.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
