@@ -86,11 +86,78 @@ def test_texts_that_differ_stay_beside_one_that_never_changes(spark):
     assert got == {i: f"Body number {i} of the page\n{'On most' if i else 'On one'}" for i in range(6)}
 
 
+def shape(w):
+    return [w[0], w[1], [shape(c) for c in w[2]]]
+
+
 def test_wrappers_stay_union_free():
-    a = H.skeleton(H.parse("<div><h1>x</h1><p>a</p><p>b</p></div>"))
-    b = H.skeleton(H.parse("<div><p>a</p><table><tr><td>q</td></tr></table></div>"))
-    assert H.merged(a, b) == ["root", "1", [["div", "1", [["h1", "?", [["#", "1", []]]], ["p", "+", [["#", "1", []]]], ["table", "?", [["tr", "1", [["td", "1", [["#", "1", []]]]]]]]]]]]
-    assert H.merged(H.merged(a, b), a) == H.merged(a, b)
+    a = H.skeleton(H.parse("<div><h1>x</h1><p>a</p><p>b</p></div>"), 1)
+    b = H.skeleton(H.parse("<div><p>a</p><table><tr><td>q</td></tr></table></div>"), 2)
+    want = ["root", "1", [["div.~blocks", "1", [["h1", "?", [["#", "1", []]]], ["p", "+", [["#", "1", []]]], ["table", "?", [["tr", "1", [["td", "1", [["#", "1", []]]]]]]]]]]]
+    assert shape(H.merged(a, b)) == want and shape(H.merged(H.merged(a, b), a)) == want
+    # Sums do not depend on the order of merging; a page met twice counts as one.
+    assert H.merged(a, b)[3] == H.merged(b, a)[3] and H.merged(a, a)[3][:2] == [1, 6]
+    # The expression accepts children in its order only.
+    places = H.Places(H.merged(a, b)[2][0])
+    taken = [places.take(H.Node(t)) for t in ("p", "p", "h1", "table", "ul")]
+    assert [x and x[0] for x in taken] == ["p", "p", None, "table", None]
+
+
+def plain_site(rng, host, n):
+    """Pages without telling tags or names: (url, html, texts of the story)."""
+    word = lambda k: " ".join(rng.choices("stone river light order buyer crate total week north glass paper field".split(), k=k)).capitalize()
+    out = []
+    for i in range(n):
+        menu = "".join(f"<a href='/{k}'>{word(2)}</a></div><div>" for k in range(5))
+        story = [word(rng.randint(3, 8)), *(word(rng.randint(15, 60)) + "." for _ in range(rng.randint(2, 7)))]
+        more = "".join(f"<li><a href='/{k}'>{word(4)}</a></li>" for k in range(rng.randint(3, 6)))
+        body = "".join(f"<p>{x}</p>" for x in story[1:])
+        out.append((f"http://{host}/{i}", f"<html><body><div class=a1><div>{menu}</div></div><div class=a2>Read by many</div><div class=a3><h2>{story[0]}</h2>{body}</div><ul class=a4>{more}</ul><div class=a5>All rights with the makers of {host}</div></body></html>", story))
+    return out
+
+
+def test_the_wrapper_decides(spark):
+    rng = random.Random(9)
+    told = [x for h in ("one.example", "two.example") for x in plain_site(rng, h, 12)]
+    got = {r["page_id"]: r["text"].split("\n") for r in H.extract(pages(spark, [(i, u, h) for i, (u, h, _) in enumerate(told)])).collect()}
+    right = sum(len(set(got[i]) & set(story)) for i, (_, _, story) in enumerate(told))
+    assert 2 * right / (sum(map(len, got.values())) + sum(len(s) for _, _, s in told)) >= 0.95
+    alone = {i: H.blocks(H.parse(h), None) for i, (_, h, _) in enumerate(told)}
+    assert all(alone[i] != got[i] and "Read by many" in alone[i] for i in alone)
+    # A page judged by the wrapper of its host, and by that of one where what stands in that place varies.
+    first = [h for _, h, _ in told[:3]]
+    other = [h.replace("Read by many", f"Lead {k}") for k, h in enumerate(first)]
+    w = [H.merged(H.skeleton(H.parse(x), 1), H.merged(H.skeleton(H.parse(y), 2), H.skeleton(H.parse(z), 3))) for x, y, z in (first, other)]
+    assert H.blocks(H.parse(first[0]), w[0]) == told[0][2] and H.blocks(H.parse(first[0]), w[1]) == ["Read by many", *told[0][2]]
+
+
+def test_names_that_only_hint_do_not_decide():
+    article = "<body><article><div class='related-work'><p>Others have shown this before.</p></div><div class='reply-brief'>The brief says no to it all.</div><div class='side-note'>Mind the gap between them.</div><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><div class='related-posts'><a href=/>One more</a></div></article></body>"
+    assert H.blocks(H.parse(article), None) == ["Others have shown this before.", "The brief says no to it all.", "Mind the gap between them.", "As x=2 holds."]
+    main = "<main><p>" + "The story runs on here. " * 9 + "</p><article>A teaser</article></main>"
+    assert len(H.blocks(H.parse(main), None)) == 2
+    assert H.blocks(H.parse("<div class='layout has-sidebar'><div class='sidebar-left'>x</div><article>Kept</article></div>"), None) == ["Kept"]
+
+
+def test_depth_changes_nothing():
+    for depth in (0, 10, 118, 3000):
+        page = "<article>" + "<div>" * depth + "<nav>menu</nav><p>text</p>" + "</div>" * depth + "</article>"
+        assert H.blocks(H.parse(page), None) == ["text"]
+
+
+def test_partial_wrappers_are_merged_in_rounds(spark):
+    rng = random.Random(2)
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(plain_site(rng, "hot.example", 90))]
+    for fan_in in (2, 7):
+        (w,) = H.wrappers(pages(spark, rows).repartition(15), fan_in=fan_in).collect()
+        whole = None
+        for _, _, h in rows:
+            form = H.skeleton(H.parse(h), H.hashed(h))
+            whole = H.merged(whole, form) if whole else form
+        import json
+
+        got = json.loads(w["wrapper"])
+        assert shape(got) == shape(whole) and got[3] == whole[3]
 
 
 def test_deep_and_long_pages(spark):
