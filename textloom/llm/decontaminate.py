@@ -3,15 +3,16 @@
 Tokens are lower-cased words with ASCII punctuation taken for blanks. A seed hashes the tokens of a window at the
 positions that a fixed mask keeps, so a substitution at an ignored position leaves it intact. Seeds of the benchmark
 and of the documents are joined; around each hit the item is laid against the document on the hit's diagonal, and the
-two overlap if some stretch of ``STRETCH`` item tokens (the whole item if it is shorter) agrees in at least ``AGREE`` of
+two overlap if some stretch of ``STRETCH`` item tokens (the whole item if it is shorter) agrees in at least ``AGREE`` percent of
 its positions.
 
-The benchmark's seeds go to the documents in blocks of bounded size (``BLOCK_BYTES`` of text; usually there is one), so
-documents are never shuffled; each block is a pass over them.
+The masks are lossless: for each length of a stretch, ``MASKS`` has so many that whatever positions the rule lets differ, some
+mask fits between them. So every overlap has a seed, and short items go by the same rule as long ones. Short items of a script that
+sets no blanks are also looked for whole inside longer tokens.
 
-A stretch that agrees has a run of tokens without a substitution, so runs are seeds too (``RUNS``) and no pattern of
-substitutions is missed. Items of fewer than ``LEAST`` tokens are looked for whole, at any length; those of a script that
-sets no blanks also inside longer tokens.
+A benchmark of up to ``BLOCK_BYTES`` of text is broadcast, and documents are not shuffled. A larger one is never held
+in one place: its seeds are written as a table, the documents' seeds that may be among them (by a bit map of bounded size)
+are shuffled to meet them, and the pairs found are verified in portions of ``PORTION`` items for each text. Both ways give the same rows.
 
 Defined results: null and empty texts on either side match nothing; items with a null id are looked for like others; repeated rows give repeated
 results on the document's side and one on the item's; empty tables give no rows.
@@ -25,156 +26,326 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import texts_kept, texts_of
+from ._common import marked_by_ids, scratch_table, texts_kept, texts_of
 
-#: Fixed masks: 1 keeps a position. Weight 6 of 9, no two with the same gaps.
-MASKS = ("110110011", "101101101", "111001011")
-STRETCH, AGREE, LEAST = 12, 0.8, 6
-#: Item tokens, from and below, and the run that any agreeing stretch of such an item has.
-RUNS = ((LEAST, STRETCH, 3), (STRETCH, 1 << 62, 4))
-#: Thai, Lao, Myanmar, Khmer; kana and Han.
+STRETCH, AGREE = 12, 80
+#: Fixed masks by length of the stretch; 1 keeps a position. A length of up to four tokens has to agree whole.
+MASKS = {
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("111011", "11111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "101100111", "111111"),
+}
+#: Items shorter than this are also looked for inside tokens, if their script sets no blanks: Thai, Lao, Myanmar, Khmer; kana and Han.
+UNSPACED_BELOW = 6
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 BLOCK_BYTES = 8 << 20
+PORTION = 64
+#: Words remembered by each worker; this changes the cost only.
+MEMORY_WORDS = 200_000
 _BLANK = bytes(b if not (b < 128 and not chr(b).isalnum()) else 32 for b in range(256))
 _TABLE_BITS = 22
+#: Bits of the map that documents' seeds are looked up in when seeds are joined: 4 MB, whatever the input.
+_MAP_BITS = 25
+_SEEDS = np.random.default_rng(3).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+Item = tuple[int | None, str]
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
 
 
+def numbered(word: bytes) -> int:
+    """A token's number; 0 is kept for tokens that no item has."""
+    return xxhash.xxh3_64_intdigest(word) | 1
+
+
+def least_agreeing(width: int) -> int:
+    return -(-AGREE * width // 100)
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks that items of n tokens are seeded with."""
+    return ("1" * n,) if n < 5 else MASKS[min(n, STRETCH)]
+
+
+ALL_MASKS = tuple(dict.fromkeys(m for n in range(1, STRETCH + 1) for m in masks_of(n)))
+
+
+def hashed(words: np.ndarray, mask: str) -> np.ndarray:
+    """The seed at every position."""
+    n = len(words) - len(mask) + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, _SEEDS[63 - ALL_MASKS.index(mask)])
+    for k, c in enumerate(mask):
+        if c == "1":
+            h += words[k : k + n] * _SEEDS[k]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def agreeing(item: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+    """(matched tokens, best stretch, first token) of the best of the diagonals ``at`` on which the item overlaps."""
+    n, best = len(item), None
+    width = min(STRETCH, n)
+    for lo in range(0, len(at), max(1, (1 << 20) // n)):
+        part = at[lo : lo + max(1, (1 << 20) // n)]
+        places = part[:, None] + np.arange(n)
+        inside = (places >= 0) & (places < len(words))
+        same = (words[np.clip(places, 0, len(words) - 1)] == item) & inside
+        sums = np.zeros((len(part), n + 1), np.int64)
+        np.cumsum(same, axis=1, out=sums[:, 1:])
+        stretch = (sums[:, width:] - sums[:, :-width]).max(axis=1)
+        for k in np.flatnonzero(stretch >= least_agreeing(width)):
+            found = (int(sums[k, n]), int(stretch[k]), -int(part[k]))
+            best = found if best is None else max(best, found)
+    return best and (best[0], best[1], -best[2])
+
+
 class Seeds:
-    """Seeds of some benchmark items, and the items' tokens as numbers of their own vocabulary (0: not in it)."""
+    """Seeds of some benchmark items, to look up texts in."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+    def __init__(self, items: list[Item]) -> None:
         self.vocab: dict[bytes, int] = {}
         self.ids, self.items, self.unspaced = [], [], []
+        groups: dict[str, list[int]] = {}
         for item, text in items:
             words = tokens(text)
             if words:
-                if len(words) < LEAST and _UNSPACED.search(text):
+                if len(words) < UNSPACED_BELOW and _UNSPACED.search(text):
                     self.unspaced.append((len(self.ids), b" ".join(words)))
+                for m in masks_of(len(words)):
+                    groups.setdefault(m, []).append(len(self.ids))
                 self.ids.append(item)
-                self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
-        rng = np.random.default_rng(3)
-        self.masks = [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS]
-        fits = [(max(map(len, MASKS)), 1 << 62)] * len(MASKS)
-        for lo, hi, run in RUNS:
-            self.masks.append(tuple(range(run)))
-            fits.append((lo, hi))
-        # Shorter items: every token counts, one mask for each length.
-        for n in sorted({len(x) for x in self.items if len(x) < LEAST}):
-            self.masks.append(tuple(range(n)))
-            fits.append((n, n + 1))
-        self.factors = [rng.integers(0, 1 << 63, len(m), np.uint64) * np.uint64(2) + np.uint64(1) for m in self.masks]
-        hashes, where = [], []
-        for i, words in enumerate(self.items):
-            for m, (lo, hi) in enumerate(fits):
-                if not lo <= len(words) < hi:
-                    continue
-                h = self.hashed(words, m)
+                self.items.append(np.array([self.vocab.setdefault(w, numbered(w)) for w in words], np.uint64))
+        self.masks = sorted(groups)
+        hashes, where = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        for m in self.masks:
+            for i in groups[m]:
+                h = hashed(self.items[i], m)
                 hashes.append(h)
                 where.append(np.stack([np.full(len(h), i), np.arange(len(h))], axis=1))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.hashes = np.concatenate(hashes)
         order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.where = self.hashes[order], np.concatenate(where)[order] if hashes else np.zeros((0, 2), np.int64)
+        self.hashes, self.where = self.hashes[order], np.concatenate(where)[order]
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def hashed(self, words: np.ndarray, m: int) -> np.ndarray:
-        """Hash at every position; that of a window with a word outside the vocabulary is a benchmark's by chance only."""
-        mask, factors = self.masks[m], self.factors[m]
-        n = len(words) - max(mask)
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        w = words.astype(np.uint64)
-        h = np.full(n, np.uint64(m + 1))
-        for k, f in zip(mask, factors, strict=True):
-            h += w[k : k + n] * f
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Distinct (item, diagonal) of all seeds that the words have."""
+        found = []
+        for m in self.masks:
+            h = hashed(words, m)
+            at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
+            lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+            n = hi - lo
+            if n.sum():
+                place = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                pairs = self.where[place]
+                found.append(np.stack([pairs[:, 0], np.repeat(at, n) - pairs[:, 1]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item, matched tokens, item tokens, first token of the item's place in the document, best stretch) of each
         item that the text overlaps, on its best diagonal."""
         get = self.vocab.get
         told = tokens(text)
-        words = np.array([get(w, 0) for w in told], np.int64)
+        words = np.array([get(w, 0) for w in told], np.uint64)
         if not len(words) or not self.vocab:
             return []
-        seen: set[tuple[int, int]] = set()
-        for m in range(len(self.masks)):
-            h = self.hashed(words, m)
-            for p in np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)]):
-                lo, hi = np.searchsorted(self.hashes, h[p], "left"), np.searchsorted(self.hashes, h[p], "right")
-                for i, q in self.where[lo:hi]:
-                    seen.add((int(i), int(p - q)))
         best: dict[int, tuple[int, int, int]] = {}
-        for i, at in sorted(seen):
-            item = self.items[i]
-            a, b = max(0, -at), min(len(item), len(words) - at)
-            same = np.zeros(len(item), np.int64)
-            same[a:b] = item[a:b] == words[at + a : at + b]
-            width = min(STRETCH, len(item))
-            sums = np.concatenate([[0], np.cumsum(same)])
-            stretch = int((sums[width:] - sums[:-width]).max())
-            if stretch >= AGREE * width:
-                best[i] = max(best.get(i, (-1, 0, 0)), (int(same.sum()), stretch, -at))
+        pairs = self.hits(words)
+        for group in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+            i = int(group[0, 0])
+            if found := agreeing(self.items[i], words, group[:, 1]):
+                best[i] = found
         if self.unspaced:
             whole = b" ".join(told)
             for i, run in self.unspaced:
                 at, n = whole.find(run), len(self.items[i])
                 if at >= 0 and i not in best:
-                    best[i] = (n, n, -whole.count(b" ", 0, at))
-        return [(self.ids[i], total, len(self.items[i]), -at, stretch) for i, (total, stretch, at) in sorted(best.items())]
+                    best[i] = (n, n, whole.count(b" ", 0, at))
+        return [(self.ids[i], total, len(self.items[i]), at, stretch) for i, (total, stretch, at) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = -(-int(total) // block_bytes) or 1
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+_FOUND = ("item_id", "n_matched", "n_item_tokens", "first_token", "best_stretch")
+_FOUND_TYPES = ", ".join(f"{c} long" for c in _FOUND)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, item_id, n_matched, n_item_tokens, first_token, best_stretch), a row for each document and item that overlap."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _found(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([x[j] for x in rows], pa.int64()) for j in range(len(_FOUND))]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *columns], ["id", *_FOUND])
 
-    def of_block(items: list[tuple[int | None, str]]) -> DataFrame:
-        held = sc.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(held.value)
-            for batch in batches:
-                at, found = [], []
-                for k, text in enumerate(texts_of(batch, "text")):
-                    for x in seeds.overlaps(text):
+# ---- a benchmark that fits in one place
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+
+
+def _bytes(items: DataFrame) -> int:
+    return int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
+
+
+def _held(items: DataFrame) -> list[Item]:
+    return sorted(((r["item"], r["text"]) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+def _looked_up(rows: DataFrame, items: DataFrame) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(_held(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = Seeds(held.value)
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(texts_of(batch, "text")):
+                for x in seeds.overlaps(text):
+                    at.append(k)
+                    found.append(x)
+            yield _found(batch, at, found)
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
+
+
+# ---- one that does not
+
+
+class _Numbers:
+    """Tokens of texts as numbers, words remembered."""
+
+    def __init__(self) -> None:
+        self.memory: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if len(self.memory) > MEMORY_WORDS:
+            self.memory.clear()
+        memory, out = self.memory, []
+        for w in tokens(text):
+            if (h := memory.get(w)) is None:
+                h = memory[w] = numbered(w)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+
+def _seed_table(rows: DataFrame, name: str, kept: np.ndarray | None = None) -> DataFrame:
+    """(key, seed, at) of every text, all masks if kept is given (a bit map: only seeds that may be in it), else the text's own."""
+    held = None if kept is None else rows.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        for batch in batches:
+            key, seed, place = [], [], []
+            for k, text in zip(batch.column("key").to_pylist(), texts_of(batch, "text"), strict=True):
+                words = number(text)
+                for m in ALL_MASKS if held is not None else masks_of(len(words)) if len(words) else ():
+                    h = hashed(words, m)
+                    at = np.arange(len(h))
+                    if held is not None:
+                        bit = h >> np.uint64(64 - _MAP_BITS)
+                        at = np.flatnonzero(held.value[bit >> np.uint64(3)] & (np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)))
+                    key += [k] * len(at)
+                    seed.append(h[at].view(np.int64))
+                    place.append(at)
+            seeds, places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (seed, place))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(seeds, pa.int64()), pa.array(places, pa.int64())], ["key", "seed", "at"])
+
+    return scratch_table(rows.select("key", "text").mapInArrow(run, "key string, seed long, at long"), name)
+
+
+def _map_of(seeds: DataFrame) -> np.ndarray:
+    """Bit map of a seed table: 2^_MAP_BITS bits, made on executors as words of 64 bits."""
+    bit = F.shiftrightunsigned("seed", 64 - _MAP_BITS)
+    words = seeds.select(bit.alias("b")).select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    told = words.toArrow()
+    out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    out[told.column("w").to_numpy()] = told.column("m").to_numpy()
+    return out.view(np.uint8)
+
+
+def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The same rows by a join of seeds; texts go by their MD5, so equal texts are looked at once."""
+    rows = rows.where("text is not null").withColumn("key", F.md5("text"))
+    items = scratch_table(items.withColumn("key", F.concat_ws(":", F.md5("text"), "item")), "benchmark-items")
+    own = _seed_table(items, "benchmark-seeds")
+    theirs = _seed_table(rows.select("key", "text"), "document-seeds", _map_of(own))
+    # Both are plain tables and neither is broadcast, so a hot seed can be split.
+    pairs = theirs.select("seed", F.col("key").alias("text_key"), F.col("at").alias("p")).hint("merge").join(own.select("seed", F.col("key").alias("item_key"), F.col("at").alias("q")), "seed")
+    pairs = scratch_table(pairs.select("text_key", "item_key", (F.col("p") - F.col("q")).alias("at")).distinct(), "seed-pairs")
+    per_text = pairs.groupBy("text_key").agg(F.approx_count_distinct("item_key").alias("n"))
+    dealt = pairs.join(per_text, "text_key").withColumn("portion", F.pmod(F.xxhash64("item_key"), F.ceil(F.col("n") / PORTION)))
+    dealt = dealt.groupBy("text_key", "portion", "item_key").agg(F.collect_set("at").alias("at"))
+    dealt = dealt.join(items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text")), "item_key")
+    dealt = scratch_table(dealt.groupBy("text_key", "portion").agg(F.collect_list(F.struct("item", "item_text", "at")).alias("pairs")), "seed-portions")
+    marked = marked_by_ids(rows, "key", dealt.select("text_key"), "text_key").where("_map_maybe").drop("_map_maybe")
+    met = marked.join(dealt.select(F.col("text_key").alias("key"), "pairs"), "key").select("id", "text", "pairs")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(texts_of(batch, "text")):
+                words = number(text)
+                for pair in batch.column("pairs")[k].as_py():
+                    item = number(pair["item_text"])
+                    if best := agreeing(item, words, np.array(pair["at"], np.int64)):
                         at.append(k)
-                        found.append(x)
-                columns = [pa.array([x[j] for x in found], pa.int64()) for j in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *columns], ["id", "item_id", "n_matched", "n_item_tokens", "first_token", "best_stretch"])
+                        found.append((pair["item"], best[0], len(item), best[2], best[1]))
+            yield _found(batch, at, found)
+
+    return met.mapInArrow(verified, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
+
 
-        return rows.mapInArrow(run, f"id {kind}, item_id long, n_matched long, n_item_tokens long, first_token long, best_stretch long")
+def _parted(items: DataFrame) -> DataFrame:
+    """Items with the column ``unspaced``: short ones of a script without blanks, which seeds of tokens cannot find inside tokens."""
 
-    return reduce(DataFrame.unionByName, map(of_block, _blocks(benchmark, item_col, item_text_col, block_bytes)))
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [0 < len(tokens(t)) < UNSPACED_BELOW and _UNSPACED.search(t) is not None for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(short, pa.bool_())], ["item", "text", "unspaced"])
+
+    return scratch_table(items.select("item", "text").mapInArrow(told, "item long, text string, unspaced boolean"), "parted-items")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, item_id, n_matched, n_item_tokens, first_token, best_stretch), a row for each document and item that overlap."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = _items(benchmark, item_col, item_text_col)
+    if _bytes(items) <= block_bytes:
+        return _looked_up(rows, items)
+    parted = _parted(items)
+    found = [_joined(rows, parted.where("not unspaced").drop("unspaced"))]
+    # Those few go in blocks, each a pass over the documents.
+    rest = parted.where("unspaced").drop("unspaced")
+    n = -(-_bytes(rest) // block_bytes)
+    found += [_looked_up(rows, rest.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)) for k in range(n)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that overlap no item, all their columns kept."""
-    sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
-        held = sc.broadcast(items)
+    items = _items(benchmark, "item_id", "text")
+    if _bytes(items) <= block_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(_held(items))
 
-        def rule(held: object = held) -> Callable[[str | None], bool]:
+        def rule() -> Callable[[str | None], bool]:
             seeds = Seeds(held.value)
             return lambda text: not seeds.overlaps(text)
 
-        docs = texts_kept(docs, text_col, rule)
-    return docs
+        return texts_kept(docs, text_col, rule)
+    texts = docs.select(F.md5(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    found = overlaps(texts, benchmark, id_col="_key", text_col="_text", block_bytes=block_bytes)
+    leaked = scratch_table(found.select(F.col("id").alias("_leaked")).distinct(), "leaked-texts")
+    marked = marked_by_ids(docs.withColumn("_key", F.md5(text_col)), "_key", leaked, "_leaked")
+    rest = marked.where("_map_maybe").join(leaked, F.col("_key") == F.col("_leaked"), "left_anti").select(*docs.columns)
+    return marked.where("not _map_maybe").select(*docs.columns).unionByName(rest)

@@ -117,15 +117,12 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 _TOKENS = r"regexp_extract_all(lower(text), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+')"
-_MASKED = " OR ".join(
-    f"list_bool_or(list_transform(range(0, n - {len(m) - 1}), lambda s: list_has_all(qs, [{', '.join(f's + {k}' for k, c in enumerate(m) if c == '1')}])))" for m in decontaminate.MASKS
-)
 _LEAKS = f"""
 WITH d AS (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS p FROM documents),
-b AS (SELECT item_id, len({_TOKENS}) AS n, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS q FROM benchmark),
-g AS (SELECT doc_id, item_id, p - q AS o, any_value(n) AS n, list(q ORDER BY q) AS qs FROM d JOIN b ON b.w = d.w WHERE n >= {decontaminate.LEAST} GROUP BY 1, 2, 3 HAVING count(*) >= {decontaminate.AGREE} * least({decontaminate.STRETCH}, any_value(n))),
-k AS (SELECT *, list_max(list_transform(range(0, n - least({decontaminate.STRETCH}, n) + 1), lambda s: len(list_filter(qs, lambda q: q >= s AND q < s + least({decontaminate.STRETCH}, n))))) AS stretch FROM g),
-h AS (SELECT * FROM k WHERE stretch >= {decontaminate.AGREE} * least({decontaminate.STRETCH}, n) AND (len(qs) = n OR (n >= 9 AND ({_MASKED}))))
+b AS (SELECT item_id, len({_TOKENS}) AS n, least({decontaminate.STRETCH}, len({_TOKENS})) AS wide, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS q FROM benchmark),
+g AS (SELECT doc_id, item_id, p - q AS o, any_value(n) AS n, any_value(wide) AS wide, list(q ORDER BY q) AS qs FROM d JOIN b ON b.w = d.w GROUP BY 1, 2, 3 HAVING 100 * count(*) >= {decontaminate.AGREE} * any_value(wide)),
+k AS (SELECT *, list_max(list_transform(range(0, n - wide + 1), lambda s: len(list_filter(qs, lambda q: q >= s AND q < s + wide)))) AS stretch FROM g),
+h AS (SELECT * FROM k WHERE 100 * stretch >= {decontaminate.AGREE} * wide)
 SELECT DISTINCT ON (doc_id, item_id) doc_id, item_id, CAST(len(qs) AS BIGINT) AS n_matched, CAST(n AS BIGINT) AS n_item_tokens, CAST(o AS BIGINT) AS first_token, CAST(stretch AS BIGINT) AS best_stretch FROM h ORDER BY doc_id, item_id, len(qs) DESC, stretch DESC, o"""
 
 ORACLE_SQL: dict[str, str] = {
