@@ -80,7 +80,7 @@ def test_like_all_diagonals_on_few_words(spark):
     rng = random.Random(11)
     few = lambda n: " ".join(rng.choices("a b c d e".split(), k=n))
     bench = [(k, few(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15]))) for k in range(25)] + [(90, "水は"), (None, few(30))]
-    docs = documents(spark, [(k, few(rng.randint(0, 60)) if k % 4 else few(3) + "、水は、", None, None) for k in range(60)] + [(1, "same row", None, None)] * 2 + [(None, None, None, None)])
+    docs = documents(spark, [(k, few(rng.randint(0, 60)) if k % 4 else few(3) + "、水は、", None, None) for k in range(1, 60)] + [(1001, "same row", None, None)] * 2 + [(None, None, None, None)])
     rows = [B.overlaps(docs, items(spark, bench), block_bytes=n) for n in (1 << 20, 10)]
     got = [sorted(tuple(-1 if x is None else x for x in r) for r in r.collect()) for r in rows]
     assert got[0] == got[1] and len(got[0]) > 100
