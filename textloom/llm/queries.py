@@ -53,8 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    account = mixing.mix(read(spark, sf_dir, "documents"))[1]
-    return account.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.account(*mixing.mix(read(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 QUERIES = {
