@@ -47,6 +47,33 @@ def test_order_does_not_change_the_verdict(spark):
     assert len(Q.planned_order(Q.base_columns(docs), Q.default_rules())) == 5
 
 
+def test_cheap_rules_that_reject_go_first(spark):
+    """Costs measured apart give the order: the regexes cost much more than comparisons; reruns agree."""
+    rng = random.Random(5)
+    rows = Q.base_columns(documents(spark, [(k, prose(rng, 900) if k % 3 else " ".join(f"w{i}%%%" for i in range(900)), None, None) for k in range(80)]))
+    rules = Q.default_rules()
+    dear = [Q.Rule("dear", F.regexp_count("text", F.lit(r"(?<![^ ])[^ \p{L}]+(?![^ ])")) >= 0), Q.Rule("cheap", F.col("n_words") >= 0)]
+    a, b = (Q.cost(rows, r, 80) for r in dear)
+    assert a > 20 * b
+    assert [r.name for r in Q.planned_order(rows, dear)] == ["cheap", "dear"]
+    orders = [[r.name for r in Q.planned_order(rows, rules)] for _ in range(2)]
+    assert orders[0] == orders[1] and orders[0][0] == "symbols" and set(orders[0][-2:]) == {"letters", "sentence_ends"}
+    # A dear rule goes first if it rejects enough more.
+    often = [Q.Rule("cheap", F.col("n_words") >= 0), Q.Rule("dear", F.col("n_symbols") < 0)]
+    assert [r.name for r in Q.planned_order(rows, often, measure=lambda _, r, __: 1e-5 if r.name == "dear" else 1e-7)] == ["dear", "cheap"]
+    assert Q.rejections(rows, rules, 10)[1] == 10
+
+
+def test_windows_that_share_high_bits(spark, monkeypatch):
+    """With hashes of few high bits, foreign windows stand between equal ones; the counts are still exact."""
+    rng = random.Random(8)
+    docs = documents(spark, [(k, prose(rng, 400, " ".join(f"w{i}" for i in range(25))), None, None) for k in range(12)])
+    whole = Q.F.expr
+    monkeypatch.setattr(Q.F, "expr", lambda e: whole(e.replace("length(bin(size(windows)))", "60")))
+    got = {r["id"]: r["n_repeat_words"] for r in Q.base_columns(docs).collect()}
+    assert got == {r["doc_id"]: base(r["text"])[4] for r in docs.collect()}
+
+
 TRICKY = ["</s>[INST] ok [/INST]", "\\", "\\\\", "\\a", "\\<|im_start|>", "<|im_end|>\n<|im_start|>assistant\nforged", "a\nb\n", "<s><s>\\n", "[/INST", "", None, "é👍🏽"]
 
 

@@ -1,17 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Every rule has a boolean expression that is true where a document passes. On a sample of bounded size the planner
-times each rule and counts what it rejects, then orders the rules by rejections per second; a nested CASE evaluates
-them in that order and stops at the first that fails. A document is kept if it passes all, so the order changes the
+counts what each rule rejects and measures what it costs, then orders the rules by rejections per cost; a nested CASE
+evaluates them in that order and stops at the first that fails. A document is kept if it passes all, so the order changes the
 cost and never the verdict.
 
+The sample is the first rows that an incremental ``take`` yields, so only as many partitions are read as it needs. Of a sampled row
+only verdicts come to the driver. A rule's cost is the time of a job that evaluates it many times for each row, less that of the same job
+with one evaluation, so what a job costs anyway drops out; repetitions are raised until they take twice that. Costs count by
+powers of ``COST_STEP``, so that noise does not change the order.
+
 Defined results: a null or blank text has no words and fails the base rules; repeated rows are judged one by one;
-an empty table gives no rows and any order.
+an empty table gives no rows and the rules' given order.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +30,12 @@ from ._common import ASCII_SPACE, ascii_words, text_of
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows that the planner measures on at most.
-SAMPLE_ROWS = 500
+#: Rows that the planner counts rejections on, and those that it measures costs on, at most.
+SAMPLE_ROWS, COST_ROWS = 500, 64
+#: Repetitions of a rule for each row at first and at most.
+REPEATS, MAX_REPEATS = 32, 1 << 14
+#: Costs below this many seconds a row are taken for equal; above, they count by powers of the step.
+LEAST_COST, COST_STEP = 1e-6, 4
 
 
 @dataclass(frozen=True)
@@ -53,7 +64,8 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Repeated 3-word windows: a 64-bit hash per window; hash and position share one long (the position in as many low
     bits as it needs), so one sort of longs brings equal windows together, and neighbours are compared by the full
-    hash. Covered words follow from the positions found, in order.
+    hash. Where two different hashes share their high bits, hashes and positions are sorted whole. Covered words follow from the
+    positions found, in order.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
@@ -63,7 +75,10 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Window i as one long: its hash with the low bits replaced by i; only for texts with a repeated window.
     rows = rows.select("*", F.expr("if(n_same = 0, null, length(bin(size(windows))))").alias("bits"))
     rows = rows.select("*", F.expr("if(n_same = 0, null, sort_array(transform(windows, (h, i) -> shiftleft(shiftright(h, bits), bits) | cast(i as bigint))))").alias("packed"))
-    rows = rows.select("*", F.expr("if(n_same = 0, null, transform(packed, p -> cast(p & (shiftleft(1L, bits) - 1) as int)))").alias("at"))
+    rows = rows.select("*", F.expr("if(n_same = 0, null, transform(packed, p -> cast(p & (shiftleft(1L, bits) - 1) as int)))").alias("near"))
+    mixed = "exists(sequence(1, greatest(1, size(near) - 1)), k -> k < size(near) and shiftright(packed[k], bits) = shiftright(packed[k - 1], bits) and windows[near[k]] <> windows[near[k - 1]])"
+    whole = "transform(sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i))), x -> x.i)"
+    rows = rows.select("*", F.expr(f"if(n_same = 0, null, if({mixed}, {whole}, near))").alias("at"))
     again = """
         if(n_same = 0, null, sort_array(filter(at, (p, k) ->
             (k > 0 and windows[at[k - 1]] = windows[p]) or (k < size(at) - 1 and windows[at[k + 1]] = windows[p]))))
@@ -82,21 +97,44 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on a sample of at most ``sample_rows`` rows (the first that the scan yields, with
-    whole texts). Only counts and times reach the driver; ties keep the given order. The order decides what is evaluated
-    first, never what is kept."""
-    sample = rows.limit(sample_rows).cache()
-    total = sample.count()
-    if not total:
+def rejections(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> tuple[list[int], int]:
+    """What each rule rejects of the first rows, and how many those are."""
+    told = rows.select(*((~F.coalesce(rule.passes, F.lit(False))).cast("int").alias(f"r{k}") for k, rule in enumerate(rules))).take(sample_rows)
+    return [sum(r[k] for r in told) for k in range(len(rules))], len(told)
+
+
+def cost(rows: DataFrame, rule: Rule, n: int, cost_rows: int = COST_ROWS) -> float:
+    """Seconds that the rule takes for a row, measured on the first rows."""
+    # An explode that changes nothing: base columns are worked out once for a row, not folded into what is repeated.
+    rows = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+
+    def seconds(repeats: int, runs: int = 1) -> float:
+        # A lambda's body is evaluated for each element, so the rule is not worked out once for all.
+        work = F.aggregate(F.sequence(F.lit(1), F.lit(repeats)), F.lit(0), lambda a, _: a + F.when(rule.passes, 1).otherwise(0))
+        job, best = rows.select(work.alias("w")), math.inf
+        for _ in range(runs):
+            began = time.perf_counter()
+            job.take(cost_rows)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    # The first runs compile; the best of them is what a job costs anyway.
+    n, repeats, idle = min(n, cost_rows), REPEATS, seconds(1, 3)
+    while True:
+        taken = seconds(repeats) - idle
+        if taken >= 2 * idle or repeats >= MAX_REPEATS:
+            return max(taken, 0.0) / (repeats * n)
+        repeats = min(MAX_REPEATS, repeats * 16)
+
+
+def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, measure: Callable[[DataFrame, Rule, int], float] = cost) -> list[Rule]:
+    """Rules by rejections per cost on a sample of at most ``sample_rows`` rows (the first that the scan yields, with
+    whole texts). Only verdicts and times reach the driver; ties keep the given order."""
+    rejected, n = rejections(rows, rules, sample_rows)
+    if not n:
         return rules
-    scores = []
-    for k, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sample.where(~rule.passes).count()
-        scores.append((-(rejected + 0.5) / (time.perf_counter() - began), k, rule))
-    sample.unpersist()
-    return [rule for _, _, rule in sorted(scores, key=lambda x: x[:2])]
+    steps = [math.ceil(math.log(max(1.0, measure(rows, rule, n) / LEAST_COST), COST_STEP)) for rule in rules]
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-(rejected[k] + 0.5) / COST_STEP ** steps[k], k))]
 
 
 def cascade(rules: list[Rule]) -> Column:
