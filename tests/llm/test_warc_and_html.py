@@ -33,15 +33,28 @@ def test_round_trip(spark):
 
 
 def test_records_are_plain_warc():
-    out = b"".join(W.page_records("0-1", 7, "http://a.example/", b"z" * 9000, hashlib.sha256(b"z" * 9000).hexdigest(), None, False, 4000))
+    out = b"".join(W.page_records("0-1", 7, "http://a.example/", b"z" * 9000, hashlib.sha256(b"z" * 9000).hexdigest(), None, 4000))
     text = gzip.decompress(out)
     assert text.count(b"WARC/1.0\r\n") == 3 and text.count(b"WARC-Type: continuation") == 2 and text.count(b"WARC-Segment-Total-Length") == 1
     assert len(list(W.records(out))) == len(list(W.records(text))) == 3
 
 
+def test_revisits_are_resolved_against_what_was_read(spark):
+    rows = pages(spark, [(3, None, "same " * 40), (1, None, "same " * 40), (2, None, "same " * 40), (2, None, "other " * 40), (2, None, "other " * 40), (4, None, "other " * 40)])
+    archives = [r["content"] for r in W.write_archives(rows).collect()]
+    told = [h for c in archives for h, _ in W.records(c) if h["warc-type"] in ("response", "revisit")]
+    ids = [h["warc-record-id"] for h in told]
+    assert len(set(ids)) == len(ids) == 6 and {h["warc-refers-to"] for h in told if h["warc-type"] == "revisit"} <= set(ids)
+    assert all("warc-payload-length" not in h for h in told)
+    # The response of one payload is lost, that of the other is damaged.
+    lost = [b"".join(m for m in W.members(c) if not (b"WARC-Type: response" in m and b"same" in m)).replace(b"other other", b"other 0ther") for c in archives]
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or -1, r["payload_bytes"] or -1, r["complete"]) for r in W.read_archives(spark.createDataFrame([("a", c) for c in lost], "name string, content binary")).collect())
+    assert got == [(2, "response", -1, 240, False)] * 2 + [(2, "revisit", -1, -1, False), (3, "revisit", -1, -1, False), (4, "revisit", 2, 240, False)]
+
+
 def test_missing_segment_is_told(spark):
-    parts = list(W.page_records("0-1", 7, None, b"z" * 9000, hashlib.sha256(b"z" * 9000).hexdigest(), None, False, 4000))
-    rows = spark.createDataFrame([("a", b"".join(parts[:2])), ("b", b"".join(W.page_records("0-2", 8, None, b"ok", hashlib.sha256(b"ok").hexdigest(), None, False, 4000)))], "name string, content binary")
+    parts = list(W.page_records("0-1", 7, None, b"z" * 9000, hashlib.sha256(b"z" * 9000).hexdigest(), None, 4000))
+    rows = spark.createDataFrame([("a", b"".join(parts[:2])), ("b", b"".join(W.page_records("0-2", 8, None, b"ok", hashlib.sha256(b"ok").hexdigest(), None, 4000)))], "name string, content binary")
     got = {r["page_id"]: r["complete"] for r in W.read_archives(rows).collect()}
     assert got == {7: False, 8: True}
     # Segments in several archives, out of order, come together.

@@ -1,17 +1,20 @@
 """WARC archives: writing pages, and reading them back with segment reassembly.
 
-Writing: a page is an HTTP response in chunked transfer coding, in a ``response`` record, or a ``revisit`` record that
-names the page of smallest id with an equal payload (of at least ``LEAST_REVISIT`` bytes). A block longer than
+Writing: a page is an HTTP response in chunked transfer coding, in a ``response`` record, or a ``revisit`` record whose
+``WARC-Refers-To`` is the identifier of the response of smallest page id with an equal payload (of at least ``LEAST_REVISIT`` bytes). Only payloads
+that may be repeated are moved for that. A block longer than
 ``segment_bytes`` is split over a first record and ``continuation`` records. Each record is a gzip member. Archives are
 rows (name, content) of about ``archive_bytes``, so that any store Spark can write to holds them.
 
 Reading: records are parsed archive by archive. Those not segmented are decoded on the spot; segments are grouped by
 the identifier of their origin record, put in order of their number, checked against the total length that the last
 one tells, joined, and freed of the chunked framing. A record's group is its own segments, so a group is one payload.
-Declared digests are compared with those of the payloads read.
+Declared digests are compared with those of the payloads read. A revisit has no payload: its length, digest and page
+are those of the response that it refers to, as that was read.
 
 Defined results: a null html is an empty payload; a null url leaves the target out; repeated rows are records of their
-own; a missing or surplus segment, broken framing or a digest that disagrees gives complete = false; an empty table
+own (of several with the smallest page id, all are responses and one is referred to); a missing or surplus segment, broken framing, a digest that
+disagrees, or a revisit whose response is not there or not complete gives complete = false; an empty table
 gives no archives and no rows.
 """
 
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch_table
+from ._common import marked_by_ids, scratch_table
 
 LEAST_REVISIT = 100
 SEGMENT_BYTES = 16 << 10
@@ -34,7 +37,7 @@ CHUNK_BYTES = 4 << 10
 ARCHIVE_BYTES = 2 << 20
 DATE = "2020-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-_RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, complete boolean"
+_RECORD = "page_id long, url string, record_type string, record_id string, refers_id string, payload_bytes long, payload_digest string, complete boolean"
 
 
 # ---- writing
@@ -55,13 +58,17 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return squeeze.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def page_records(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
-    """The records of a page; name sets rows of equal id apart."""
+def record_id(page_id: int | None, name: str) -> str:
+    return f"<urn:page:{page_id}:{name}>"
+
+
+def page_records(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
+    """The records of a page; name sets rows of equal id apart, refers_to is the identifier of the record that this one revisits."""
     url = None if url is None else "".join(url.split())
-    own = f"<urn:page:{page_id}:{name}>"
+    own = record_id(page_id, name)
     base = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    if revisit:
-        more = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Payload-Length", len(payload))]
+    if refers_to is not None:
+        more = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to)]
         yield record([*more, *base], _HTTP)
         return
     block = _HTTP + chunked(payload)
@@ -77,9 +84,18 @@ def page_records(name: str, page_id: int | None, url: str | None, payload: bytes
 
 def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(name, content) rows from (page_id, url, html)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    same = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(same, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
+    # The row number tells rows of one page id and payload apart, and only those.
+    per_page = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    same = per_page.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n", "row")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    same = scratch_table(same.select("digest", F.col("first.page_id").alias("first"), F.col("first.n").alias("n_first"), F.col("first.row").alias("first_row")), "repeated-payloads")
+    marked = marked_by_ids(rows, "digest", same, "digest")
+    alone = marked.where("not _map_maybe").select(*rows.columns, *(F.lit(None).cast("long").alias(c) for c in ("first", "n_first", "first_row")))
+    rows = alone.unionByName(marked.where("_map_maybe").drop("_map_maybe").join(same, "digest", "left").select(*alone.columns))
+    repeated = F.col("n_first").isNotNull()
+    rows = rows.withColumn("revisit", repeated & ~F.col("page_id").eqNullSafe(F.col("first")))
+    # The response that others refer to has an identifier that they can tell: its page and payload.
+    rows = rows.withColumn("named", repeated & ~F.col("revisit") & ((F.col("n_first") == 1) | (F.col("row") == F.col("first_row"))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -90,9 +106,9 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, arch
             return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{part:05d}.warc.gz"]), pa.array([b"".join([head, *held])], pa.binary())], ["name", "content"])
 
         for batch in batches:
-            for page_id, url, payload, digest, first, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "revisit")), strict=True):
+            for page_id, url, payload, digest, first, revisit, named in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "revisit", "named")), strict=True):
                 k += 1
-                for r in page_records(f"{task}-{k}", page_id, url, payload, digest, first, revisit, segment_bytes):
+                for r in page_records(digest if named else f"{task}-{k}", page_id, url, payload, digest, record_id(first, digest) if revisit else None, segment_bytes):
                     held.append(r)
                     n += len(r)
                 if n >= archive_bytes:
@@ -101,7 +117,7 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, arch
         if held:
             yield archive()
 
-    return rows.select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(packed, "name string, content binary")
+    return rows.select("page_id", "url", "payload", "digest", "first", "revisit", "named").mapInArrow(packed, "name string, content binary")
 
 
 # ---- reading
@@ -163,15 +179,15 @@ def _page(urn: str | None) -> int | None:
 
 def _row(headers: dict[str, str], block: bytes, whole: bool) -> tuple:
     declared = headers.get("warc-payload-digest", "").partition(":")[2]
-    page, url, kind = _page(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"]
+    own, url, kind = headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-type"]
     if kind == "revisit":
-        return page, url, kind, _page(headers.get("warc-refers-to")), int(headers["warc-payload-length"]), declared, whole
+        return _page(own), url, kind, own, headers.get("warc-refers-to"), None, declared, whole
     try:
         payload = payload_of(block)
     except ValueError:
-        return page, url, kind, None, None, declared, False
+        return _page(own), url, kind, own, None, None, declared, False
     digest = hashlib.sha256(payload).hexdigest()
-    return page, url, kind, None, len(payload), digest, whole and digest == declared
+    return _page(own), url, kind, own, None, len(payload), digest, whole and digest == declared
 
 
 _NAMES = [x.split()[0] for x in _RECORD.split(", ")]
@@ -195,7 +211,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if "warc-segment-number" in headers:
                         origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
                         total = headers.get("warc-segment-total-length")
-                        rows.append((None,) * 7)
+                        rows.append((None,) * len(_NAMES))
                         parts.append((origin, int(headers["warc-segment-number"]), None if total is None else int(total), headers.get("warc-payload-digest"), headers.get("warc-target-uri"), block))
                     else:
                         rows.append(_row(headers, block, True))
@@ -217,4 +233,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     found = scratch_table(archives.mapInArrow(parsed, f"{_RECORD}, origin string, number long, total long, declared string, target string, block binary"), "warc-records")
     segments = found.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "declared", "target", "block")).alias("segments"))
-    return found.where("origin is null").select(*_NAMES).unionByName(segments.mapInArrow(joined, _RECORD))
+    pages = scratch_table(found.where("origin is null").select(*_NAMES).unionByName(segments.mapInArrow(joined, _RECORD)), "warc-pages")
+    response = pages.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest"), F.col("complete").alias("whole"))
+    revisits = pages.where("record_type = 'revisit'").join(response, "refers_id", "left")
+    agrees = F.col("complete") & F.coalesce("whole", F.lit(False)) & F.coalesce(F.col("digest") == F.col("payload_digest"), F.lit(False))
+    revisits = revisits.select("page_id", "url", "record_type", "refers_to", F.col("n").alias("payload_bytes"), F.coalesce("digest", "payload_digest").alias("payload_digest"), agrees.alias("complete"))
+    return pages.where("record_type <> 'revisit'").select("page_id", "url", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", "complete").unionByName(revisits)
