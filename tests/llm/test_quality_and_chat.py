@@ -91,7 +91,7 @@ def test_escape_round_trip(spark):
 def test_digests(spark):
     rng = random.Random(7)
     turns = [(c, t, rng.choice(["user", "assistant", "system", None, "odd\nrole"]), rng.choice(TRICKY)) for c in [*range(30), None] for t in range(rng.randint(1, 9))]
-    turns += [(3, 0, "assistant", "same turn"), (3, 0, "assistant", "same turn")]
+    turns += [(3, 0, "assistant", "same turn"), (3, 0, "assistant", "same turn"), (4, 0, "assistant", "<s>"), (4, 0, "assistant", "<t")]
     rows = spark.createDataFrame([(*r, "x", 1) for r in turns], "conv_id long, turn long, role string, text string, turns string, examples int")
     want = {}
     for conv in {r[0] for r in turns}:
@@ -100,12 +100,7 @@ def test_digests(spark):
         told = "".join(f"{role}\n{x}\n" for _, role, x in own)
         want[conv] = (len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in C.digests(rows).collect()}
-    assert {k: v[:1] for k, v in got.items()} == {k: v[:1] for k, v in want.items()}
-    # Turns of equal number are ordered by role and text as escaped; only such ties may differ from the plain order.
-    ties = {c for c, n in Counter((r[0], r[1]) for r in turns).items() if n > 1}
-    for k in want:
-        if not any(c == k for c, _ in ties):
-            assert got[k] == want[k]
+    assert got == want
     assert C.digests(rows.limit(0)).collect() == []
 
 

@@ -9,7 +9,7 @@ Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Control strings inside roles
 doubled, a control string becomes a backslash and its letter, in a role a line feed becomes ``\\n``. ``unescaped``
 undoes it exactly: pairs of backslashes are split off first, so every remaining backslash starts an escape.
 
-A conversation ends up in one row, as its digest needs all of it in one place; turns are gathered on the map side.
+A conversation ends up in one row, as its digest needs all of it in one place.
 
 Defined results: null texts and roles are empty; a null conv_id is a conversation of its own; turns of equal number
 are ordered by role, then text; repeated rows are turns like others; a conversation without an assistant turn has no
@@ -18,7 +18,7 @@ example and an empty loss; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -46,21 +46,19 @@ def unescaped(text: Column, role: bool = False) -> Column:
 
 def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, examples array<struct<target, context_end, loss_start, loss_end>>); offsets in code points."""
-    role = escaped(F.col(role_col), role=True)
-    rows = conversations.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"), escaped(F.col(text_col)).alias("body")).alias("t"),
-    )
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    rows = rows.select("conv_id", "turns", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"))
+    rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    head, body = F.concat(F.lit(OPEN), escaped(F.col("role"), role=True), F.lit("\n")), escaped(F.col("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "turn", "role", "text", head.alias("head"), body.alias("body"))
+    # Each turn's place is a running sum; a turn is never empty, so places tell the order from here on.
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    rows = rows.select("conv_id", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("int").alias("at"), (F.row_number().over(order) - 1).alias("k"), (F.col("role") == TRAINED_ROLE).alias("trained"), F.length("head").alias("n_head"), F.concat("head", "body", F.lit(CLOSE)).alias("said"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "k", "trained", "n_head", "said"))).alias("turns"))
     spans = f"""
-        aggregate(turns, named_struct('at', 0, 'k', 0, 'spans', cast(array() as array<struct<target:int, context_end:int, loss_start:int, loss_end:int>>)),
-            (a, t) -> named_struct(
-                'at', a.at + length(t.head) + length(t.body) + {len(CLOSE)}, 'k', a.k + 1,
-                'spans', if(t.role = '{TRAINED_ROLE}', array_append(a.spans, named_struct('target', a.k, 'context_end', a.at, 'loss_start', a.at + length(t.head), 'loss_end', a.at + length(t.head) + length(t.body))), a.spans)),
-            a -> a.spans)
+        transform(filter(turns, t -> t.trained), t -> named_struct(
+            'target', t.k, 'context_end', t.at, 'loss_start', t.at + t.n_head, 'loss_end', t.at + length(t.said) - {len(CLOSE)}))
     """
-    return rows.select("conv_id", "formatted", F.expr(spans).alias("examples"))
+    return rows.select("conv_id", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"), F.expr(spans).alias("examples"))
 
 
 def expand(rendered: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
