@@ -6,7 +6,7 @@ from textloom.llm import token_counts as T
 
 from .helpers import awkward
 
-PIECES = [*"aZ'é́ s t\x1c\x85 İΣς힣ᄀ가각👍🏽<|>_1２½ǅ\n\t ", "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "it's", "hello", "ﬁ", "Å", "ẛ̣", "straße", "ẞ", "world "]
+PIECES = [*"aZ'é́ s t\x1c\x85 İΣς힣ᄀ가각👍🏽<|>_1２½ǅ\n\t ", "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "it's", "hello", "ﬁ", "Å", "ẛ̣", "straße", "ẞ", "world ", "\u208f", "\u209d", "\u209f", "\ua7cb", "\ua7dc"]
 
 
 def library():

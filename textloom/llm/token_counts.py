@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from os.path import commonprefix
 from pathlib import Path
 
 import pyarrow as pa
@@ -105,7 +105,8 @@ def counter(source: str, whole: frozenset[str]) -> Callable[[str | None], int]:
     from tokenizers import Tokenizer
 
     spec = Spec(source)
-    model = Tokenizer.from_str(source).model
+    library = Tokenizer.from_str(source)
+    model, normalize, split = library.model, library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
     letters = byte_letters()
     table = [letters[b] for b in range(256)]
     pieces = regex.compile(spec.pattern)
@@ -113,15 +114,16 @@ def counter(source: str, whole: frozenset[str]) -> Callable[[str | None], int]:
     blank = regex.compile(r"[\t-\r\x85\p{Z}]+")
     odd = re.compile("[\x1c-\x1f]")
     special = re.compile("|".join(map(re.escape, sorted(spec.specials, key=len, reverse=True)))) if spec.specials else None
+    hint = commonprefix(spec.specials)
     memory: dict[str, int] = {}
 
     def of_word(word: str) -> int:
-        # Lower case goes letter by letter, so that no rule about a word's end applies.
-        lower = "".join(map(str.lower, unicodedata.normalize("NFC", word))) if not word.isascii() else word.lower()
-        n = 0
-        for piece in pieces.findall(lower):
-            form = piece if piece.isascii() and piece.isprintable() else "".join([table[b] for b in piece.encode()])
-            n += 1 if form in whole else len(model.tokenize(form))
+        if word.isascii():
+            forms = [p if p.isprintable() else "".join([table[b] for b in p.encode()]) for p in pieces.findall(word.lower())]
+        else:
+            # The library's own tables of letters and cases, which differ from Python's for a few code points.
+            forms = [p for p, _ in split(normalize(word))]
+        n = sum(1 if form in whole else len(model.tokenize(form)) for form in forms)
         if len(memory) >= MEMORY_WORDS:
             memory.clear()
         memory[word] = n
@@ -144,7 +146,7 @@ def counter(source: str, whole: frozenset[str]) -> Callable[[str | None], int]:
     def of_text(text: str | None) -> int:
         if not text:
             return 0
-        if special is None or "<|" not in text:
+        if special is None or hint not in text or not special.search(text):
             return of_plain(text)
         parts = special.split(text)
         return len(parts) - 1 + sum(map(of_plain, parts))
@@ -155,9 +157,9 @@ def counter(source: str, whole: frozenset[str]) -> Callable[[str | None], int]:
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, over: int = OVER_LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of whole texts."""
     path = path or default_file()
-    source = Path(path).read_text()
-    if len(source) > MAX_FILE_BYTES:
+    if Path(path).stat().st_size > MAX_FILE_BYTES:
         raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes")
+    source = Path(path).read_text()
     held = docs.sparkSession.sparkContext.broadcast((source, whole_tokens(path)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
