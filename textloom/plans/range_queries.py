@@ -98,7 +98,7 @@ SQL = {
     "compress_numbers": f"""WITH n AS (SELECT DISTINCT doc, s % 60 AS n FROM ({_SOURCE})), i AS (SELECT doc, n, n - row_number() OVER (PARTITION BY doc ORDER BY n) AS k FROM n),
         g AS (SELECT doc, min(n) AS lo, max(n) AS hi FROM i GROUP BY doc, k)
         SELECT doc, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '–' || hi END, ', ' ORDER BY lo) AS label FROM g GROUP BY doc""",
-    "blank_ranges": """WITH t AS (SELECT doc_id, substring(text, 1, 400) AS x, (doc_id % 7 + 2) * 3 AS a, (doc_id % 7 + 10) * 3 AS b, (doc_id % 7 + 40) * 3 AS c FROM documents WHERE text IS NOT NULL),
+    "blank_ranges": """WITH t AS (SELECT doc_id, text AS x, (doc_id % 7 + 2) * 3 AS a, (doc_id % 7 + 10) * 3 AS b, (doc_id % 7 + 40) * 3 AS c FROM documents WHERE text IS NOT NULL),
         u AS (SELECT doc_id, x, b, c, CASE WHEN length(x) > a THEN rtrim(substring(x, 1, a), ' ') || repeat(' ', greatest(1, length(substring(x, 1, a)) - length(rtrim(substring(x, 1, a), ' ')))) ELSE x END AS o, CASE WHEN length(x) > a THEN a + 4 ELSE 0 END AS p1, a FROM t),
         v AS (SELECT doc_id, x, c, CASE WHEN length(x) > b THEN o || substring(x, p1 + 1, b - p1) ELSE o END AS o, CASE WHEN length(x) > b THEN b + 9 ELSE p1 END AS p2, b, p1, a FROM u),
         w AS (SELECT doc_id, x, c, p2, b, CASE WHEN length(x) > b AND right(o, 1) <> ' ' THEN o || ' ' ELSE o END AS o FROM v),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tools as T
 from ..functions import text as X
+from ..functions.quote_stream import QUOTE_LIMIT
 from ..sources import files as S
 from ..sources.tables import read
 from ..streaming import quotes as Q
@@ -127,12 +128,14 @@ QUERIES = {f.__name__: f for f in (
     quote_events, quote_events_streamed, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines,
 )}
 
-_MESSAGES = """SELECT conv_id * 1000 + turn AS m, (conv_id + turn) % 7 = 0 AS s, (conv_id + turn) % 5 = 0 AS broken, substring(text, 1, 40) AS a, substring(text, 41, 40) AS q, substring(text, 81, 200) AS z FROM conversations WHERE length(text) > 100"""
-_EVENTS = f"""SELECT m, 0 AS o, 'not_found' AS type, NULL AS tag, NULL AS text, NULL AS reason FROM ({_MESSAGES}) WHERE s UNION ALL SELECT m, 1, 'text', NULL, a, NULL FROM ({_MESSAGES}) UNION ALL SELECT m, 2, 'quote_open', 'D2', NULL, NULL FROM ({_MESSAGES})
-    UNION ALL SELECT m, 3, CASE WHEN broken THEN 'quote_abandoned' ELSE 'quote' END, 'D2', CASE WHEN broken THEN q || z ELSE q END, CASE WHEN broken THEN 'truncated' END FROM ({_MESSAGES}) UNION ALL SELECT m, 4, 'text', NULL, z, NULL FROM ({_MESSAGES}) WHERE NOT broken"""
+_MESSAGES = """SELECT conv_id * 1000 + turn AS m, k % 7 = 0 AS s, k % 5 = 0 AS broken, substring(t, 1, 40) AS a, CASE WHEN k % 3 = 0 THEN substring(t, 41) ELSE substring(t, 41, 40) END AS q, CASE WHEN k % 3 = 0 THEN '' ELSE substring(t, 81) END AS z
+    FROM (SELECT conv_id, turn, conv_id + turn AS k, coalesce(text, '') AS t FROM conversations)"""
+_QUOTES = f"SELECT *, CASE WHEN broken THEN q || z ELSE q END AS said, length(CASE WHEN broken THEN q || z ELSE q END) > {QUOTE_LIMIT} AS over FROM ({_MESSAGES})"
+_EVENTS = f"""SELECT m, 0 AS o, 'not_found' AS type, NULL AS tag, NULL AS text, NULL AS reason FROM ({_MESSAGES}) WHERE s UNION ALL SELECT m, 1, 'text', NULL, a, NULL FROM ({_MESSAGES}) WHERE a <> '' UNION ALL SELECT m, 2, 'quote_open', 'D2', NULL, NULL FROM ({_MESSAGES})
+    UNION ALL SELECT m, 3, CASE WHEN broken OR over THEN 'quote_abandoned' ELSE 'quote' END, 'D2', CASE WHEN over THEN '' ELSE said END, CASE WHEN broken OR over THEN 'truncated' END FROM ({_QUOTES}) UNION ALL SELECT m, 4, 'text', NULL, z, NULL FROM ({_MESSAGES}) WHERE NOT broken AND z <> ''"""
 SQL = {
     "quote_events": f"SELECT m AS msg_id, row_number() OVER (PARTITION BY m ORDER BY o) - 1 AS seq, type, tag, text, reason FROM ({_EVENTS})",
-    "quote_events_streamed": f"""SELECT m AS msg_id, md5(a || CASE WHEN broken THEN '' ELSE z END) AS text, CASE WHEN s THEN 'not_found,' ELSE '' END || CASE WHEN broken THEN 'quote_open,quote_abandoned' ELSE 'quote_open,quote' END AS events FROM ({_MESSAGES})""",
+    "quote_events_streamed": f"""SELECT m AS msg_id, md5(a || CASE WHEN broken THEN '' ELSE z END) AS text, CASE WHEN s THEN 'not_found,' ELSE '' END || CASE WHEN broken OR over THEN 'quote_open,quote_abandoned' ELSE 'quote_open,quote' END AS events FROM ({_QUOTES})""",
     "quote_event_order": f"""WITH e AS (SELECT m, o, type, 0 AS h FROM ({_EVENTS}) WHERE type <> 'quote' UNION ALL SELECT m, o, 'citation', 0 FROM ({_EVENTS}) WHERE type = 'quote' UNION ALL SELECT m, o, 'mark', 1 FROM ({_EVENTS}) WHERE type = 'quote'),
         p AS (SELECT type, row_number() OVER (PARTITION BY m ORDER BY o, h) - 1 AS p FROM e) SELECT type, count(*) AS n, CAST(sum(p) AS BIGINT) AS places FROM p GROUP BY type""",
     "events_until_done": """WITH d AS (SELECT user_id AS m, min(event_id) FILTER (WHERE event_type = 'error' AND event_id % 9 = 0) AS f FROM events GROUP BY 1)

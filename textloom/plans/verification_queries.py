@@ -180,13 +180,13 @@ SQL = {
     "normalized_spaced": f"SELECT doc_id, md5({spaced_sql('text')}) AS digest FROM documents",
     "normalized_compact": f"SELECT item_id, {_COMPACT.format('text')} AS compact FROM benchmark",
     "dehyphenated": "SELECT item_id, regexp_replace(regexp_replace(text, '([aeiou])(nt|th|re)', '\\1-' || chr(10) || '\\2', 'g'), '[-\\x{AD}\\x{2010}\\x{2011}][ \\t\\r\\x{A0}]*\\n[ \\t\\r\\n\\x{A0}]*(\\p{Ll})', '\\1', 'g') AS text FROM benchmark",
-    "precleaned_quotes": """WITH q AS (SELECT item_id, item_id % 4 AS k, substring(text, 1, 60) AS t FROM benchmark), c AS (SELECT item_id, k, trim(regexp_replace(regexp_replace(t, '\\r?\\n+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM q)
+    "precleaned_quotes": """WITH q AS (SELECT item_id, item_id % 4 AS k, text AS t FROM benchmark), c AS (SELECT item_id, k, trim(regexp_replace(regexp_replace(t, '\\r?\\n+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM q)
         SELECT item_id, t AS quote FROM c""",
     "extracted_numbers": """WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*'), lambda x: replace(x, ',', '')) AS n FROM documents)
         SELECT doc_id, len(n) AS n_numbers, array_to_string(n, ' ') AS numbers FROM n WHERE len(n) > 0""",
     "number_guard": "SELECT printf('%.2f', l_extendedprice) = printf('%.1f', l_extendedprice) AS same, count(*) AS n FROM lineitem GROUP BY 1",
-    "find_positions": """WITH d AS (SELECT doc_id, substring(lower(text), 1, 2000) AS h FROM documents), a AS (SELECT doc_id, list_filter(range(0, greatest(length(h) - 2, 0) + 1), lambda i: substring(h, CAST(i + 1 AS BIGINT), 2) = 'an') AS a FROM d)
-        SELECT doc_id, len(a) AS n, array_to_string(a[1:25], ',') AS places FROM a""",
+    "find_positions": """WITH d AS (SELECT doc_id, string_split(lower(text), 'an') AS p FROM documents)
+        SELECT doc_id, len(p) - 1 AS n, array_to_string(list_transform(range(1, least(25, len(p) - 1) + 1), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x) + 2)) - 2), ',') AS places FROM d""",
     "short_quotes": f"""WITH d AS (SELECT doc_id, {spaced_sql("text")} AS t FROM documents), q AS (SELECT doc_id, t, array_to_string(string_split(t, ' ')[2:3], ' ') AS q FROM d)
         SELECT doc_id, CASE WHEN instr(t, q) = 0 THEN 'not_found' WHEN instr(substring(t, instr(t, q) + 1), q) = 0 THEN 'verified' ELSE 'too_short' END AS verdict FROM q WHERE q <> ''""",
     "citation_locations": """WITH d AS (SELECT doc_id AS doc, length(text) AS n FROM documents WHERE length(text) > 0), f AS (SELECT doc, n, doc % n AS s, least(doc % n + 700, n) AS e FROM d)
