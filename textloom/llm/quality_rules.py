@@ -7,7 +7,8 @@ cost and never the verdict.
 
 The sample is the first rows that an incremental ``take`` yields, so only as many partitions are read as it needs. Of a sampled row
 only verdicts come to the driver. A rule's cost is the time of a job that evaluates it many times for each row, less that of the same job
-with one evaluation, so what a job costs anyway drops out; repetitions are raised until they take twice that. Costs count by
+with one evaluation, so what a job costs anyway drops out; repetitions are raised until they take twice that, or the rule is known to
+cost less than ``LEAST_COST``. Costs count by
 powers of ``COST_STEP``, so that noise does not change the order.
 
 Defined results: a null or blank text has no words and fails the base rules; repeated rows are judged one by one;
@@ -32,10 +33,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Rows that the planner counts rejections on, and those that it measures costs on, at most.
 SAMPLE_ROWS, COST_ROWS = 500, 64
-#: Repetitions of a rule for each row at first and at most.
-REPEATS, MAX_REPEATS = 32, 1 << 14
+#: Repetitions of a rule for each row at first.
+REPEATS = 32
 #: Costs below this many seconds a row are taken for equal; above, they count by powers of the step.
-LEAST_COST, COST_STEP = 1e-6, 4
+LEAST_COST, COST_STEP = 1e-5, 4
 
 
 @dataclass(frozen=True)
@@ -103,37 +104,44 @@ def rejections(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROW
     return [sum(r[k] for r in told) for k in range(len(rules))], len(told)
 
 
-def cost(rows: DataFrame, rule: Rule, n: int, cost_rows: int = COST_ROWS) -> float:
-    """Seconds that the rule takes for a row, measured on the first rows."""
+def costs(rows: DataFrame, rules: list[Rule], n: int, cost_rows: int = COST_ROWS) -> list[float]:
+    """Seconds that each rule takes for a row, measured on the first rows; ``LEAST_COST`` where it takes no more than that."""
     # An explode that changes nothing: base columns are worked out once for a row, not folded into what is repeated.
-    rows = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+    rows, n = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*"), min(n, cost_rows)
 
-    def seconds(repeats: int, runs: int = 1) -> float:
+    def seconds(passes: Column, repeats: int) -> float:
         # A lambda's body is evaluated for each element, so the rule is not worked out once for all.
-        work = F.aggregate(F.sequence(F.lit(1), F.lit(repeats)), F.lit(0), lambda a, _: a + F.when(rule.passes, 1).otherwise(0))
-        job, best = rows.select(work.alias("w")), math.inf
-        for _ in range(runs):
-            began = time.perf_counter()
-            job.take(cost_rows)
-            best = min(best, time.perf_counter() - began)
-        return best
-
-    # The first runs compile; the best of them is what a job costs anyway.
-    n, repeats, idle = min(n, cost_rows), REPEATS, seconds(1, 3)
-    while True:
-        taken = seconds(repeats) - idle
-        if taken >= 2 * idle or repeats >= MAX_REPEATS:
-            return max(taken, 0.0) / (repeats * n)
-        repeats = min(MAX_REPEATS, repeats * 16)
-
-
-def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, measure: Callable[[DataFrame, Rule, int], float] = cost) -> list[Rule]:
+        work = F.aggregate(F.sequence(F.lit(1), F.lit(repeats)), F.lit(0), lambda a, _: a + F.when(passes, 1).otherwise(0))
+        began = time.perf_counter()
+        rows.select(work.alias("w")).take(cost_rows)
+        return time.perf_counter() - began
+
+    # What a job costs anyway; the first runs compile.
+    idle = min(seconds(F.col("n_words") >= 0, 1) for _ in range(3))
+    # So many repetitions of a rule at the least cost take twice that.
+    enough = max(REPEATS, math.ceil(2 * idle / (LEAST_COST * n)))
+    out = []
+    for rule in rules:
+        repeats = REPEATS
+        while True:
+            taken = seconds(rule.passes, repeats) - idle
+            if taken >= 2 * idle:
+                # The first run of a rule compiles; what counts is the second.
+                taken = min(taken, seconds(rule.passes, repeats) - idle)
+            if taken >= 2 * idle or repeats >= enough:
+                break
+            repeats = min(enough, math.ceil(repeats * max(2, 3 * idle / max(taken, idle / 16))))
+        out.append(max(LEAST_COST, taken / (repeats * n)))
+    return out
+
+
+def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, measure: Callable[[DataFrame, list[Rule], int], list[float]] = costs) -> list[Rule]:
     """Rules by rejections per cost on a sample of at most ``sample_rows`` rows (the first that the scan yields, with
     whole texts). Only verdicts and times reach the driver; ties keep the given order."""
     rejected, n = rejections(rows, rules, sample_rows)
     if not n:
         return rules
-    steps = [math.ceil(math.log(max(1.0, measure(rows, rule, n) / LEAST_COST), COST_STEP)) for rule in rules]
+    steps = [math.ceil(math.log(c / LEAST_COST, COST_STEP)) for c in measure(rows, rules, n)]
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-(rejected[k] + 0.5) / COST_STEP ** steps[k], k))]
 
 
