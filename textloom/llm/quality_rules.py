@@ -8,8 +8,8 @@ cost and never the verdict.
 The sample is the first rows that an incremental ``take`` yields, so only as many partitions are read as it needs. Of a sampled row
 only verdicts come to the driver. A rule's cost is the time of a job that evaluates it many times for each row, less that of the same job
 with one evaluation, so what a job costs anyway drops out; repetitions are raised until they take twice that, or the rule is known to
-cost less than ``LEAST_COST``. Costs count by
-powers of ``COST_STEP``, so that noise does not change the order.
+cost less than ``LEAST_COST``. Costs without a gap of ``COST_GAP`` times between
+them count as one, so that noise does not change the order.
 
 Defined results: a null or blank text has no words and fails the base rules; repeated rows are judged one by one;
 an empty table gives no rows and the rules' given order.
@@ -35,8 +35,8 @@ MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS, COST_ROWS = 500, 64
 #: Repetitions of a rule for each row at first.
 REPEATS = 32
-#: Costs below this many seconds a row are taken for equal; above, they count by powers of the step.
-LEAST_COST, COST_STEP = 1e-5, 4
+#: Costs below this many seconds a row are taken for equal, and so are costs each less than so many times the next.
+LEAST_COST, COST_GAP = 1e-5, 3
 
 
 @dataclass(frozen=True)
@@ -141,8 +141,11 @@ def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_
     rejected, n = rejections(rows, rules, sample_rows)
     if not n:
         return rules
-    steps = [math.ceil(math.log(c / LEAST_COST, COST_STEP)) for c in measure(rows, rules, n)]
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-(rejected[k] + 0.5) / COST_STEP ** steps[k], k))]
+    taken = measure(rows, rules, n)
+    by_cost, level = sorted(range(len(rules)), key=lambda k: taken[k]), dict[int, float]()
+    for before, k in zip([by_cost[0], *by_cost], by_cost, strict=False):
+        level[k] = level[before] if before in level and taken[k] < COST_GAP * taken[before] else taken[k]
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-(rejected[k] + 0.5) / level[k], k))]
 
 
 def cascade(rules: list[Rule]) -> Column:
