@@ -139,7 +139,7 @@ def planned_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_
     """Rules by rejections per cost on a sample of at most ``sample_rows`` rows (the first that the scan yields, with
     whole texts). Only verdicts and times reach the driver; ties keep the given order."""
     rejected, n = rejections(rows, rules, sample_rows)
-    if not n:
+    if not n or not rules:
         return rules
     taken = measure(rows, rules, n)
     by_cost, level = sorted(range(len(rules)), key=lambda k: taken[k]), dict[int, float]()
