@@ -67,17 +67,20 @@ def filled(first: DataFrame, then: DataFrame, limit: int = LEG_LIMIT) -> DataFra
 
 
 def phrase_leg(chunks: DataFrame, phrases: DataFrame, limit: int = PHRASE_LIMIT) -> DataFrame:
-    """Chunks that hold a phrase (question_id, phrase) letter by letter in any case, in text order. A phrase's first word
-    (of three letters or more) is the equality key; phrases without one are compared with every chunk."""
+    """Chunks that hold a phrase (question_id, phrase) letter by letter in any case, in text order. The equality key is the phrase's second word
+    (of three letters or more), which stands whole wherever the phrase does; for phrases without one it is their first three characters, and
+    chunks are then keyed by all their runs of three. Phrases of under three characters find nothing."""
     words = F.regexp_extract_all(F.lower("phrase"), F.lit("(?<![a-z0-9])[a-z0-9]{3,}(?![a-z0-9])"), 0)
-    keyed = phrases.withColumn("key", F.get(words, F.lit(1)))
+    keyed = phrases.withColumn("low", F.lower("phrase")).withColumn("word", F.get(words, F.lit(1)))
     body = chunks.select("doc", "ord", F.lower("text").alias("body"))
     # Keys are exploded without the texts; those where a key was met are read again.
     at = body.select("doc", "ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]{3,}"), 0))).alias("key"))
-    met = at.join(keyed.where("key is not null"), "key").select("doc", "ord", "question_id", "phrase").distinct()
-    found = met.join(body, ["doc", "ord"]).where(F.contains("body", F.lower("phrase")))
-    rest = body.join(keyed.where("key is null"), F.contains("body", F.lower("phrase")))
-    rows = found.select("question_id", "doc", "ord").unionByName(rest.select("question_id", "doc", "ord")).distinct()
+    met = at.join(keyed.where("word is not null").select(F.col("word").alias("key"), "question_id", "low"), "key")
+    short = keyed.where("word is null and length(low) >= 3").select(F.substring("low", 1, 3).alias("key"), "question_id", "low")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - 2), lambda i: F.substring(F.col("body"), i, F.lit(3))))
+    runs = body.where("length(body) >= 3").select("doc", "ord", F.explode(runs).alias("key")).join(short.select("key").distinct(), "key", "left_semi")
+    met = met.unionByName(runs.join(short, "key")).select("doc", "ord", "question_id", "low").distinct()
+    rows = met.join(body, ["doc", "ord"]).where(F.contains("body", "low")).select("question_id", "doc", "ord").distinct()
     return _ranked(rows, [F.col("doc"), F.col("ord")], limit)
 
 
@@ -107,25 +110,65 @@ def fused(legs: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return best.select("question_id", "doc", "ord", "score", F.row_number().over(w).alias("rank"))
 
 
-def within_budget(ranked: DataFrame, tokens: DataFrame, budget: int, limit: int = FUSED_LIMIT) -> DataFrame:
-    """(question_id, doc, ord, place): in rank order what still fits is taken, what does not is passed over; choosing ends at 97 %
-    of the budget. One fold over at most ``limit`` ranks of each question."""
-    rows = ranked.where(F.col("rank") <= limit).join(tokens.select("doc", "ord", "tokens"), ["doc", "ord"])
+def within_budget(ranked: DataFrame, tokens: DataFrame, budget: int, limit: int | None = FUSED_LIMIT, nearly: float | None = NEARLY) -> DataFrame:
+    """(question_id, doc, ord, tokens, place): in rank order what still fits is taken, what does not is passed over. Choosing ends at ``nearly``
+    of the budget, or, with None, goes on to the last rank. One fold over a question's ranks, at most ``limit`` of them unless that is None."""
+    rows = (ranked if limit is None else ranked.where(F.col("rank") <= limit)).join(tokens.select("doc", "ord", "tokens"), ["doc", "ord"])
     rows = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", "ord", "tokens"))).alias("r"))
+    over = "false" if nearly is None else f"a.used + x.tokens >= {budget} * {nearly}"
     fold = f"""
         aggregate(r, named_struct('used', 0L, 'over', false, 'kept', cast(array() as array<int>)), (a, x) -> if(
             a.over or a.used + x.tokens > {budget}, a,
-            named_struct('used', a.used + x.tokens, 'over', a.used + x.tokens >= {budget} * {NEARLY}, 'kept', array_append(a.kept, x.rank))), a -> a.kept)
+            named_struct('used', a.used + x.tokens, 'over', {over}, 'kept', array_append(a.kept, x.rank))), a -> a.kept)
     """
     rows = rows.select("question_id", "r", F.expr(fold).alias("kept")).select("question_id", F.posexplode(F.expr("filter(r, x -> array_contains(kept, x.rank))")).alias("place", "x"))
     return rows.select("question_id", "x.doc", "x.ord", "x.tokens", "place")
 
 
-def with_neighbours(chosen: DataFrame, chunks: DataFrame, top: int = 3) -> DataFrame:
-    """(question_id, doc, ord): the chosen chunks and those before and after the first ``top``, where they exist."""
-    near = chosen.where(F.col("place") < top).select("question_id", "doc", F.explode(F.array(F.col("ord") - 1, F.col("ord") + 1)).alias("ord"))
-    near = near.join(chunks.select("doc", "ord"), ["doc", "ord"], "left_semi")
-    return chosen.select("question_id", "doc", "ord").unionByName(near.select("question_id", "doc", "ord")).distinct()
+def with_neighbours(chosen: DataFrame, chunks: DataFrame, top: int = 3, budget: int | None = None) -> DataFrame:
+    """(question_id, doc, ord): the chosen chunks and those before and after the first ``top``, where they exist. With a budget of tokens
+    (chosen and chunks then have tokens) a neighbour comes only if there is room left, those of better places first."""
+    sides = F.array(F.col("ord") - 1, F.col("ord") + 1)
+    near = chosen.where(F.col("place") < top).select("question_id", "doc", "place", F.posexplode(sides).alias("side", "ord"))
+    near = near.groupBy("question_id", "doc", "ord").agg(F.min(F.struct("place", "side")).alias("at"))
+    near = near.join(chosen.select("question_id", "doc", "ord"), ["question_id", "doc", "ord"], "left_anti")
+    if budget is None:
+        near = near.join(chunks.select("doc", "ord"), ["doc", "ord"], "left_semi")
+        return chosen.select("question_id", "doc", "ord").unionByName(near.select("question_id", "doc", "ord"))
+    used = chosen.groupBy("question_id").agg(F.sum("tokens").alias("used"))
+    near = near.join(chunks.select("doc", "ord", "tokens"), ["doc", "ord"]).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("at", "doc", "ord", "tokens"))).alias("n"))
+    fold = f"""
+        aggregate(n, named_struct('used', used, 'kept', cast(array() as array<struct<doc:bigint,ord:bigint>>)), (a, x) -> if(
+            a.used + x.tokens > {budget}, a, named_struct('used', a.used + x.tokens, 'kept', array_append(a.kept, named_struct('doc', cast(x.doc as bigint), 'ord', cast(x.ord as bigint))))), a -> a.kept)
+    """
+    near = near.join(used, "question_id").select("question_id", F.explode(F.expr(fold)).alias("x")).select("question_id", "x.doc", "x.ord")
+    return chosen.select("question_id", "doc", "ord").unionByName(near)
+
+
+def excerpts(chosen: DataFrame, chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(question_id, doc, place, start, end, heading, text, percent): chosen chunks (question_id, doc, ord) in text order, those that touch or overlap merged,
+    each under the section that holds its start; percent of the document that a question's excerpts are, one at least.
+
+    chunks (doc, ord, start, end), docs (doc, text), sections (doc, start, end, level, ord, number, title).
+    """
+    from . import ranges as R
+
+    spans = chosen.select("question_id", "doc", "ord").join(chunks.select("doc", "ord", "start", "end"), ["doc", "ord"])
+    merged = R.merge(spans.select(F.struct("question_id", F.col("doc").alias("d")).alias("doc"), "start", "end")).select("doc.question_id", F.col("doc.d").alias("doc"), "start", "end")
+    place = F.row_number().over(Window.partitionBy("question_id", "doc").orderBy("start"))
+    rows = merged.withColumn("place", place)
+    points = rows.select("doc", F.struct("question_id", "place").alias("id"), F.col("start").alias("pos"))
+    inner = R.containing(points, sections.select("doc", "start", "end", "level", "ord", "number", "title"))
+    label = F.when(F.col("number").isNotNull(), F.concat_ws(" ", F.concat(F.lit("§"), "number"), "title")).otherwise(F.col("title"))
+    inner = inner.groupBy("doc", "id").agg(F.max_by(label, F.struct("level", "ord")).alias("label")).select("doc", "id.question_id", "id.place", "label")
+    shown = rows.groupBy("question_id", "doc").agg(F.sum(F.col("end") - F.col("start")).alias("shown"))
+    rows = rows.join(inner, ["doc", "question_id", "place"], "left").join(shown, ["question_id", "doc"]).join(docs.select("doc", F.col("text").alias("body")), "doc")
+    percent = F.greatest(F.lit(1), F.round(100 * F.col("shown") / F.greatest(F.lit(1), F.length("body")))).cast("long")
+    body = F.substring("body", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    heading = F.coalesce(F.concat(F.lit("── "), "label", F.lit(" ──")), F.lit("──"))
+    from .scan import clean_slice
+
+    return rows.select("question_id", "doc", "place", "start", "end", heading.alias("heading"), clean_slice(body).alias("text"), percent.alias("percent"))
 
 
 def outline(sections: DataFrame, budget: int) -> DataFrame:
@@ -199,6 +242,21 @@ def overview_questions(questions: DataFrame, specific: DataFrame) -> DataFrame:
     return rows.select("question_id", (~F.col("text").rlike(r"(?i)(clause|section|article|§)\s*\d") & F.coalesce(wide, F.lit(False))).alias("overview"))
 
 
+def places_of(texts: DataFrame, needle: str, most: int = 15, around: int = 120) -> DataFrame:
+    """(doc, n, place, start, context): the first ``most`` places of a needle in spaced texts (doc, text), with what stands around; n counts up to 1000."""
+    rows = texts.select("doc", "text", F.split("text", f"(?={re_quoted(needle)})").alias("parts"))
+    ends = F.expr("transform(sequence(1, least(size(parts), 16)), k -> aggregate(slice(parts, 1, k), 0, (a, x) -> a + length(x)))")
+    rows = rows.select("doc", "text", F.least(F.lit(1000), F.size(F.filter("parts", lambda x: x.startswith(needle)))).alias("n"), F.concat(F.array(F.lit(0)), ends).alias("at"), "parts")
+    starts = F.slice(F.filter(F.transform(F.slice("parts", 1, most + 1), lambda x, k: F.when(x.startswith(needle), F.get(F.col("at"), k))), lambda x: x.isNotNull()), 1, most)
+    rows = rows.select("doc", "text", "n", F.posexplode(starts).alias("place", "start"))
+    lo = F.greatest(F.lit(0), F.col("start") - around)
+    return rows.select("doc", "n", "place", "start", F.substring("text", lo + 1, F.col("start") + len(needle) + around - lo).alias("context"))
+
+
+def re_quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "") + "\\E"
+
+
 def did_you_mean(asked: DataFrame, sections: DataFrame, limit: int = 3) -> DataFrame:
     """(ask_id, number, title, place): up to three sections of the asked document, those whose title holds the query first, then by edits from
     their number, half an edit less for the same leading number. asked: (ask_id, doc, query)."""

@@ -16,6 +16,19 @@ from . import verification as V
 #: An extractor takes a question and a window's text and gives quotes; it stands for a language model.
 Extractor = Callable[[str, str], list[str]]
 MOST_FINDINGS = 6
+#: What an overview of a contract should show, by topic, in the order of patterns.
+KEY_TOPICS = [
+    ("term", [r"\bterm of (this|the) agreement\b", r"\binitial term\b", r"\bshall (commence|continue)\b", r"\brenew"]),
+    ("liability", [r"\b(total|aggregate) liability\b", r"\bliability cap\b", r"\bshall not be liable\b"]),
+    ("termination", [r"\bterminate this agreement\b", r"\bmay terminate\b"]),
+    ("law", [r"\bgoverned by\b", r"\bgoverning law\b"]),
+    ("payment", [r"\b(fees|charges)\b[^.\n]{0,120}\b(pay|payable|invoice|within)\b", r"\bshall pay\b"]),
+    ("confidentiality", [r"\bconfidential information\b"]),
+    ("indemnity", [r"\bindemnif"]),
+    ("force_majeure", [r"\bforce majeure event\b", r"\bforce majeure\b"]),
+    ("intellectual_property", [r"\bintellectual property\b"]),
+    ("data", [r"\bpersonal data\b", r"\bdata protection\b"]),
+]
 
 
 def sentence_picker(question: str, text: str, most: int = 2) -> list[str]:
@@ -64,9 +77,11 @@ def clean_slice(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
 
 
-def first_topics(lines: DataFrame, topics: list[tuple[str, list[str]]], length: int = 700) -> DataFrame:
+def first_topics(lines: DataFrame, topics: list[tuple[str, list[str]]] = KEY_TOPICS, length: int = 700, furniture: DataFrame | None = None) -> DataFrame:
     """(doc, topic, start, end): for each topic the first line of six words and more that fits its first pattern, or else its next;
-    contents lines do not count."""
+    contents lines do not count, nor do lines of furniture (doc, start, end)."""
+    if furniture is not None:
+        lines = lines.join(R.overlap_join(lines.select("doc", "ord", "start", "end"), furniture.select("doc", "start", "end")).select("doc", "ord").distinct(), ["doc", "ord"], "left_anti")
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     rows = lines.where((words >= 6) & ~F.col("text").rlike(r"(\.{4,}|…{2,}|(\s\.){3,})\s*\d+\s*$"))
     hit = F.filter(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(t).alias("topic"), F.lit(k).alias("k"))) for t, patterns in topics for k, p in enumerate(patterns)]), lambda x: x.isNotNull())

@@ -29,6 +29,38 @@ SUB_ITEM = r"(?i)^\(?([a-z]{1,3}|[ivxlc]{1,6}|\d{1,2})\)"
 TOC_LINE = r"(\.{3,}|…{2,}|\s\.\s\.\s\.)\s*\d+\s*$"
 PAGE_NUMBER = r"(?i)^\s*(page\s*)?#(\s*(of|/)\s*#)?\s*$"
 DASHED_NUMBER = r"^\s*[-–—]\s*#\s*[-–—]\s*$"
+#: The standard clauses by a section's title, and by the first 200 characters of one whose title says nothing; Java patterns, case does
+#: not count.
+CLAUSE_TITLES = [
+    ("term_and_renewal", r"\b(term of (the )?agreement|duration|renewal|renew|commencement and term|^term\b|initial term)"),
+    ("termination", r"terminat|\bexpiry\b|\bexpiration\b"),
+    ("payment", r"\b(payment|fees?|charges|invoic|price|pricing|remuneration|compensation)\b"),
+    ("limitation_of_liability", r"limitation of liability|limits? (of|on) liability|liabilit(y|ies)\b|exclusion of (certain )?damages|consequential"),
+    ("indemnification", r"indemn"),
+    ("confidentiality", r"confidential|non-?disclosure"),
+    ("intellectual_property", r"intellectual property|\bip rights\b|ownership of (work|deliverables)|licen[cs]e|proprietary rights"),
+    ("warranties", r"warrant|representations"),
+    ("governing_law", r"governing law|applicable law|choice of law"),
+    ("dispute_resolution", r"dispute|arbitrat|jurisdiction|mediation|litigation"),
+    ("assignment", r"\bassign(ment)?\b|subcontract|change of control"),
+    ("force_majeure", r"force majeure|acts? of god"),
+    ("notices", r"\bnotices?\b"),
+    ("non_compete_non_solicit", r"non-?compet|non-?solicit|restrictive covenant|exclusivity"),
+    ("data_protection", r"data protection|personal data|privacy|gdpr|data processing"),
+    ("entire_agreement", r"entire agreement|whole agreement|integration clause"),
+]
+CLAUSE_BODIES = [
+    ("limitation_of_liability", r"(aggregate|total) liability|shall not be liable"),
+    ("indemnification", r"indemnif"),
+    ("confidentiality", r"confidential information"),
+    ("governing_law", r"governed by (and construed in accordance with )?the laws? of"),
+    ("force_majeure", r"force majeure"),
+    ("non_compete_non_solicit", r"non-?compet|shall not (directly or indirectly )?(solicit|compete)"),
+    ("data_protection", r"personal data|data protection"),
+    ("termination", r"may terminate"),
+    ("entire_agreement", r"entire agreement"),
+]
+LEAST_HEADINGS, LEAST_NUMBERED, LEAST_UNNUMBERED = 3, 2, 5
 ROMAN_NUMBER = r"(?i)^\s*(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\s*$"
 
 
@@ -204,6 +236,72 @@ def fallback_parts(lines: DataFrame, lengths: DataFrame, size: int = PART_CHARS)
     return rows.select("doc", "ord", F.concat(F.lit("Part "), F.col("ord") + 1).alias("title"), "start", F.coalesce(F.get("cuts", F.col("ord") + 1), "n").alias("end"))
 
 
+def fallback_pages(pages: DataFrame) -> DataFrame:
+    """A part for each page that has text, for documents without headings that have pages (doc, page_no, start, end)."""
+    rows = pages.where("end > start")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page_no")) - 1
+    return rows.select("doc", place.alias("ord"), F.concat(F.lit("Page "), F.col("page_no")).alias("title"), "start", "end")
+
+
+def detected_sections(heads: DataFrame, texts: DataFrame, lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc, ord, number, title, level, parent, start, end, structured): the sections of every text (doc, text) that is not empty.
+
+    heads are its headings, in sequence and without a table of contents. Fewer than three, or, where pages are known,
+    fewer than two with a number and five in all, are no structure: then pages, or else parts of lines, are the sections. Where text stands before the first
+    heading, a section Preamble comes first, so sections cover the text.
+    """
+    texts = texts.where("text is not null and text <> ''").select("doc", "text", F.length("text").alias("n"))
+    few = (F.col("heads") < LEAST_HEADINGS) | (F.lit(pages is not None) & (F.col("numbered") < LEAST_NUMBERED) & (F.col("heads") < LEAST_UNNUMBERED))
+    told = heads.groupBy("doc").agg(F.count("*").alias("heads"), F.count("number").alias("numbered"), F.min("start").alias("first"))
+    told = texts.join(told, "doc", "left").select("doc", "n", "first", (~F.coalesce(few, F.lit(True))).alias("structured"), F.expr("trim(BOTH ' \t\n\r' FROM substring(text, 1, coalesce(first, 0))) <> ''").alias("leads"))
+    kept = heads.join(told.where("structured").select("doc"), "doc", "left_semi").select("doc", F.col("start").cast("long").alias("start"), "number", "title", F.col("level").cast("int").alias("level"))
+    lead = told.where("structured and leads").select("doc", F.lit(0).cast("long").alias("start"), F.lit(None).cast("string").alias("number"), F.lit("Preamble").alias("title"), F.lit(1).alias("level"))
+    tree = section_tree(kept.unionByName(lead), told.select("doc", F.col("n").cast("long").alias("n")))
+    rest = told.where("not structured").select("doc", "n")
+    parts = fallback_parts(lines.join(rest.select("doc"), "doc", "left_semi"), rest) if pages is None else fallback_pages(pages.join(rest.select("doc"), "doc", "left_semi"))
+    names = ["doc", "ord", "number", "title", "level", "parent", "start", "end"]
+    parts = parts.select("doc", "ord", F.lit(None).cast("string").alias("number"), "title", F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return tree.select(*names).withColumn("structured", F.lit(True)).unionByName(parts.select(*names).withColumn("structured", F.lit(False)))
+
+
+def analyzed(docs: DataFrame, lines: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Everything the other operators need of texts: sections, chunks, clauses, and a row for each document.
+
+    docs (doc, text, furniture array<struct<start, end>>), lines (doc, ord, start, end, text) without furniture, pages (doc, page_no, start, end, text, has_image) or
+    None. The rows of documents: (doc, structured, n_sections, n_chunks, n_clauses, tokens, unreadable array of page numbers, warnings array<string>); a text
+    that is empty has neither sections nor chunks.
+    """
+    bad = None if pages is None else pages.where(unreadable(F.col("text"), F.col("has_image"))).select("doc", "page_no", "start", "end")
+    if bad is not None:
+        from . import ranges as R
+
+        lines = lines.join(R.overlap_join(lines.select("doc", "ord", "start", "end"), bad.select("doc", "page_no", "start", "end")).select("doc", "ord").distinct(), ["doc", "ord"], "left_anti")
+    heads = in_sequence(without_contents(headings(lines)))
+    sections = detected_sections(heads, docs, lines, None if pages is None else pages.select("doc", "page_no", "start", "end"))
+    parts = chunks(docs, sections)
+    clauses = clause_tags(sections, docs.select("doc", "text"), CLAUSE_TITLES, CLAUSE_BODIES)
+    clauses = clauses.join(sections.select("doc", "ord", "start", "end"), ["doc", "ord"])
+    hidden = F.aggregate(F.coalesce("furniture", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0), lambda a, r: a + r["end"] - r["start"])
+    told = docs.select("doc", F.ceil((F.length(F.coalesce("text", F.lit(""))) - hidden) / 4).alias("tokens"))
+    counts = sections.groupBy("doc").agg(F.bool_and("structured").alias("structured"), F.count("*").alias("n_sections"))
+    told = told.join(counts, "doc", "left").join(parts.groupBy("doc").agg(F.count("*").alias("n_chunks")), "doc", "left").join(clauses.groupBy("doc").agg(F.count("*").alias("n_clauses")), "doc", "left")
+    none = F.array().cast("array<int>")
+    if bad is None:
+        told = told.withColumn("unreadable", none)
+    else:
+        told = told.join(bad.groupBy("doc").agg(F.sort_array(F.collect_list(F.col("page_no").cast("int"))).alias("unreadable")), "doc", "left")
+    told = told.select("doc", F.coalesce("structured", F.lit(False)).alias("structured"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sections", "n_chunks", "n_clauses")), "tokens", F.coalesce("unreadable", none).alias("unreadable"))
+    warnings = F.filter(F.array(F.when(F.size("unreadable") > 0, "partial_scan"), F.when(~F.col("structured"), "no_structure_detected")), lambda w: w.isNotNull())
+    return sections, parts, clauses, told.withColumn("warnings", warnings)
+
+
+def clauses_of(clauses: DataFrame, type_: str | None = None, most: int = 40) -> DataFrame:
+    """(doc, place, type, ord, start, end): the clauses of a document in text order, of one type or all; a list shows ``most``."""
+    rows = clauses if type_ is None else clauses.where(F.col("type") == type_)
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("start", "ord", "type"))
+    return rows.select("doc", place.alias("place"), "type", "ord", "start", "end").where(F.col("place") <= most)
+
+
 def clause_tags(sections: DataFrame, texts: DataFrame, title_rules: list[tuple[str, str]], body_rules: list[tuple[str, str]]) -> DataFrame:
     """(doc, ord, type, confidence): every title rule that fits, at 0.8; where none does and the section has a number, every
     body rule that fits its first 200 characters, at 0.4. Rules are (type, Java pattern)."""
