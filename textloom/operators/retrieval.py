@@ -209,24 +209,34 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))).alias("word")).distinct()
 
 
-def _deletes(word: Column, twice: Column) -> Column:
-    """The word and it with one letter left out, or two if ``twice``."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    first = F.array_append(one(word), word)
-    return F.array_distinct(F.when(twice, F.flatten(F.transform(first, lambda w: F.array_append(one(w), w)))).otherwise(first))
+def _pieces(word: Column) -> Column:
+    """The word in three pieces of about equal length, as (number of the piece, where it starts, text)."""
+    n = F.length(word)
+    cut = lambda k: F.floor(n * k / 3).cast("int")
+    piece = lambda k: F.struct(F.lit(k).alias("k"), cut(k).alias("at"), F.substring(word, cut(k) + 1, cut(k + 1) - cut(k)).alias("text"))
+    return F.array(*[piece(k) for k in range(3)])
+
+
+def _runs(word: Column) -> Column:
+    """All runs of letters of a word that may be one of the three pieces of another within two edits: (text, where it starts)."""
+    n = F.length(word)
+    # Pieces of words of length n - 2 to n + 2 are of floor((n - 2) / 3) to ceil((n + 2) / 3) letters.
+    widths = F.sequence(F.greatest(F.lit(1), F.floor((n - 2) / 3).cast("int")), F.ceil((n + 2) / 3).cast("int"))
+    every = F.transform(widths, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(n - w, F.lit(0))), lambda i: F.struct(i.alias("at"), F.substring(word, i + 1, w).alias("text"))))
+    return F.array_distinct(F.flatten(every))
 
 
 def specific_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, specific): a word of the vocabulary narrows a search; so does one far from it; a short unknown word or a slip
-    (one edit, two from seven letters on) does not. Slips meet their word over a shared form with letters left out, an equality
-    join, and are then measured."""
+    (one edit, two from seven letters on) does not. Two edits leave one of a word's three pieces as it is, moved by two letters at most: slips
+    meet their word over such a piece, an equality join that adds three rows for each word of the vocabulary, and are then measured."""
     words = words.select("word").distinct()
     known = words.join(vocab, "word", "left_semi").withColumn("specific", F.lit(True))
     unknown = words.join(vocab, "word", "left_anti")
-    reach = F.when(F.length("word") >= 7, 2).otherwise(1)
-    asked = unknown.where(F.length("word") >= 4).select("word", reach.alias("k"), F.explode(_deletes(F.col("word"), F.length("word") >= 7)).alias("form"))
-    held = vocab.select(F.col("word").alias("near"), F.explode(_deletes(F.col("word"), F.length("word") >= 5)).alias("form"))
-    slips = asked.join(held, "form").where(F.levenshtein("word", "near") <= F.col("k")).select("word").distinct()
+    asked = unknown.where(F.length("word") >= 4).select("word", F.when(F.length("word") >= 7, 2).otherwise(1).alias("k"), F.explode(_runs(F.col("word"))).alias("r"))
+    held = vocab.select(F.col("word").alias("near"), F.explode(_pieces(F.col("word"))).alias("p")).select("near", F.col("p.at").alias("from"), F.col("p.text").alias("piece"))
+    met = asked.select("word", "k", F.col("r.at").alias("at"), F.col("r.text").alias("piece")).join(held, "piece").where((F.abs(F.col("at") - F.col("from")) <= F.col("k")) & (F.abs(F.length("word") - F.length("near")) <= F.col("k")))
+    slips = met.where(F.levenshtein("word", "near") <= F.col("k")).select("word").distinct()
     rest = unknown.join(slips.withColumn("slip", F.lit(True)), "word", "left").select("word", (F.col("slip").isNull() & (F.length("word") >= 4)).alias("specific"))
     return known.unionByName(rest)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import ranges as R
 from . import verification as V
+from ..session import shipped
 
 #: An extractor takes a question and a window's text and gives quotes; it stands for a language model.
 Extractor = Callable[[str, str], list[str]]
@@ -60,7 +61,7 @@ def scan(windows: DataFrame, docs: DataFrame, questions: DataFrame, extract: Ext
                     failed.append(True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("question_id", "doc", "index")), pa.array(quotes, pa.list_(pa.string())), pa.array(failed, pa.bool_())], ["question_id", "doc", "index", "quotes", "failed"])
 
-    told = rows.mapInArrow(run, f"question_id {questions.schema['question_id'].dataType.simpleString()}, doc {rows.schema['doc'].dataType.simpleString()}, index int, quotes array<string>, failed boolean")
+    told = rows.transform(shipped).mapInArrow(run, f"question_id {questions.schema['question_id'].dataType.simpleString()}, doc {rows.schema['doc'].dataType.simpleString()}, index int, quotes array<string>, failed boolean")
     asked = told.select("question_id", "doc", "index", F.posexplode("quotes").alias("k", "quote"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     quotes = asked.select(F.struct("question_id", "doc", "index", "k").alias("quote_id"), F.col("doc").alias("doc_id"), F.col("quote").alias("text"), empty.alias("context"))

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 # Fixed values of the rules.
 BAND, SHARE, LEAST_PAGES = 0.08, 0.4, 3
 CHUNK_TOKENS, OVERLAP_TOKENS, PART_CHARS = 700, 60, 2000
@@ -416,7 +418,7 @@ def chunks(docs: DataFrame, sections: DataFrame, *, most: int = CHUNK_TOKENS, ov
                     found.append((doc, k, section, lo, hi, body, f"{label[section]} — {body}", estimate(body)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
-    return rows.select(F.col("doc").cast("long").alias("doc"), "text", "furniture", "sections").mapInArrow(run, out)
+    return rows.select(F.col("doc").cast("long").alias("doc"), "text", "furniture", "sections").transform(shipped).mapInArrow(run, out)
 
 
 def windows(chunk_rows: DataFrame, lengths: DataFrame, size: int) -> DataFrame:

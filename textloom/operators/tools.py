@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 ENVELOPE_CHARS = 8000
 
 
@@ -139,7 +141,7 @@ def normalized_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("seq"), batch.column("tool"), *own], ["run_id", "seq", "tool", "args", "ignored", "error"])
 
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
-    told = rows.mapInArrow(run, f"run_id {kinds['run_id']}, seq {kinds['seq']}, tool string, args string, ignored array<string>, error string")
+    told = rows.transform(shipped).mapInArrow(run, f"run_id {kinds['run_id']}, seq {kinds['seq']}, tool string, args string, ignored array<string>, error string")
     again = F.row_number().over(Window.partitionBy("run_id", "tool", "args", "error").orderBy("seq")) > 1
     return told.withColumn("repeat", F.col("error").isNull() & again)
 

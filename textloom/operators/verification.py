@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching as M
 from ..functions import text as X
+from ..session import shipped
 
 #: Quotes of one document that are worked on together.
 GROUP = 500
@@ -49,13 +50,37 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("doc_id", "item_id", (F.instr("spaced", F.col("passage")) - 1).cast("long").alias("position"))
 
 
+def _letter_runs(compact: Column, width: int) -> Column:
+    """64-bit hashes of all runs of ``width`` letters."""
+
+    def hashes(letters: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(letters) - width), lambda i: F.xxhash64(*[F.get(letters, i + k) for k in range(width)]))
+        return F.when(F.size(letters) < width, F.array().cast("array<bigint>")).otherwise(every)
+
+    return X.let(F.split(compact, ""), hashes)
+
+
 def compact_passages(docs: DataFrame, items: DataFrame, prefix: int = 16) -> DataFrame:
-    """(doc_id, item_id): items that stand in a document letter by letter, whatever the white space and punctuation,
-    with the item's numbers read alike. Few items are meant (a quote list); they are broadcast while small."""
-    items = items.select("item_id", X.compact(F.col("text")).alias("needle"), X.numbers(F.col("text")).alias("numbers")).where(F.length("needle") >= prefix)
-    docs = docs.select("doc_id", X.compact(F.col("text")).alias("hay"), F.col("text").alias("source"))
-    rows = docs.join(items, F.contains("hay", "needle"))
-    return rows.where(F.size(F.array_except("numbers", X.numbers(F.col("source")))) == 0).select("doc_id", "item_id")
+    """(doc_id, item_id): items of ``prefix`` letters and more that stand in a document letter by letter, whatever the white space and punctuation, at
+    a place whose numbers read as the item's.
+
+    An item's first letters are the equality key, as in ``passages``: only ids and runs are exploded, and a text is read again where a run
+    was met. There the numbers of the span itself are compared.
+    """
+    items = items.select("item_id", F.col("text").alias("item"), X.compact(F.col("text")).alias("needle")).where(F.length("needle") >= prefix)
+    items = items.withColumn("run", F.get(_letter_runs(F.substring("needle", 1, prefix), prefix), F.lit(0)))
+    hay = docs.select("doc_id", F.col("text").alias("source"), X.compact(F.col("text")).alias("hay"))
+    at = hay.select("doc_id", F.explode(F.array_distinct(_letter_runs(F.col("hay"), prefix))).alias("run"))
+    met = at.join(items.select("run", "item_id", "item", "needle"), "run").select("doc_id", "item_id", "item", "needle").distinct()
+    rows = met.join(hay, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "item", "source")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stands = [bool(M.Document(text).loose(item)) for item, text in zip(batch.column("item").to_pylist(), batch.column("source").to_pylist(), strict=True)]
+            yield batch.select(["doc_id", "item_id"]).filter(pa.array(stands, pa.bool_()))
+
+    return rows.transform(shipped).mapInArrow(run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}")
 
 
 def _spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -97,7 +122,7 @@ def verify_quotes(docs: DataFrame, quotes: DataFrame, *, group: int = GROUP) ->
                     ["quote_id", "doc_id", *(c.split()[0] for c in VERDICT.split(", "))],
                 )
 
-    return rows.mapInArrow(run, f"quote_id {quote_type}, doc_id {doc_type}, {VERDICT}")
+    return rows.transform(shipped).mapInArrow(run, f"quote_id {quote_type}, doc_id {doc_type}, {VERDICT}")
 
 
 def attribute(docs: DataFrame, chats: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -113,8 +138,18 @@ def attribute(docs: DataFrame, chats: DataFrame, quotes: DataFrame) -> DataFrame
     first = verify_quotes(docs, asked.select("quote_id", "doc_id", "text", empty.alias("context")))
     missed = first.where("status = 'unverified' and doc_id is not null").select("quote_id", F.col("doc_id").alias("claimed"))
     others = missed.join(asked.select("quote_id", "chat_id", "text"), "quote_id").join(chats.select("chat_id", "doc_id", number.alias("n")), "chat_id").where("doc_id <> claimed")
-    again = verify_quotes(docs, others.select(F.struct("quote_id", "n").alias("quote_id"), "doc_id", "text", empty.alias("context")))
-    again = again.where("status = 'verified' and method in ('normalized', 'compact', 'elided')").groupBy(F.col("quote_id.quote_id").alias("quote_id")).agg(F.min_by("doc_id", "quote_id.n").alias("found_in"))
+    # Only whether a quote stands there is asked of other documents, not where, and not nearly.
+    told = others.select("quote_id", "n", "doc_id", "text").join(docs.select("doc_id", F.col("text").alias("body"), "furniture"), "doc_id")
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(*(batch.column(c).to_pylist() for c in ("text", "body", "furniture")), strict=True)
+            there = [body is not None and M.exists_exactly(M.Document(body, tuple((r["start"], r["end"]) for r in furniture or ())), text or "") for text, body, furniture in texts]
+            yield batch.select(["quote_id", "n", "doc_id"]).filter(pa.array(there, pa.bool_()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in told.schema}
+    there = told.transform(shipped).mapInArrow(standing, f"quote_id {kinds['quote_id']}, n int, doc_id {kinds['doc_id']}")
+    again = there.groupBy("quote_id").agg(F.min_by("doc_id", "n").alias("found_in"))
     rows = first.join(again, "quote_id", "left")
     return rows.withColumn("status", F.when(F.col("found_in").isNotNull(), "misattributed").otherwise(F.col("status")))
 
@@ -163,7 +198,11 @@ def highlight_boxes(pages: DataFrame, spans: DataFrame) -> DataFrame:
     pages: (doc, page_no, width, height, items array<struct<start,len,x,y,w,h>>), coordinates from 0 to 1, furniture
     items left out; spans: (doc, id, start, end). Rows of one page fold in order inside one array expression.
     """
-    rows = spans.join(pages.select("doc", "page_no", "width", "height", F.explode("items").alias("i")), "doc").where("i.len > 0 and i.start < end and i.start + i.len > start")
+    from . import ranges as R
+
+    items = pages.select("doc", "page_no", "width", "height", F.explode("items").alias("i")).where("i.len > 0")
+    items = items.select("doc", F.col("i.start").alias("start"), (F.col("i.start") + F.col("i.len")).alias("end"), F.struct("page_no", "width", "height", "i").alias("at"))
+    rows = R.overlap_join(spans.select("doc", "id", "start", "end"), items).select("doc", "id", "start", "end", "r_at.*")
     lo, hi = F.greatest("start", "i.start") - F.col("i.start"), F.least(F.col("end"), F.col("i.start") + F.col("i.len")) - F.col("i.start")
     share = F.col("i.w") / F.col("i.len")
     rect = F.struct(F.col("i.start").alias("at"), (F.col("i.x") + share * lo).alias("x"), F.col("i.y").alias("y"), (share * (hi - lo)).alias("w"), F.col("i.h").alias("h"))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(source, source.relative_to(home.parent))
         spark.sparkContext.addPyFile(str(path))
     return spark
+
+
+def shipped(rows: DataFrame) -> DataFrame:
+    """rows, with the package sent to the workers of their session: for operators on DataFrames that the library has not read itself."""
+    ship(rows.sparkSession)
+    return rows

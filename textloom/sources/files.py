@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..session import shipped
 
 # Fixed values.
 MAX_BYTES = 50 * 1024 * 1024
@@ -61,7 +62,7 @@ def with_kind(files: DataFrame) -> DataFrame:
 
     rows = files.withColumn("kind", sniffed(F.col("content")))
     rows = rows.withColumn("kind", F.when(F.col("kind") == "ole", "doc").otherwise(F.col("kind")))
-    zips = rows.where("kind = 'zip'").mapInArrow(look, rows.schema)
+    zips = rows.where("kind = 'zip'").transform(shipped).mapInArrow(look, rows.schema)
     return rows.where("kind <> 'zip'").unionByName(zips)
 
 
@@ -249,7 +250,7 @@ def html_text(pages: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], ["page_id", "ord", "tag", "start", "end", "text"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, ord int, tag string, start int, end int, text string")
+    return pages.select("page_id", "html").transform(shipped).mapInArrow(run, "page_id long, ord int, tag string, start int, end int, text string")
 
 
 def canonical(paragraphs: DataFrame) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it names none (tests on one machine)."""
+    """spark.checkpoint.dir as the session has it. Where it names none, a temporary folder, but only if driver and executors are one process: a
+    cluster's machines would not see each other's files there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return sc.getCheckpointDir()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.quote_stream import Parser, parse
+from ..session import shipped
 
 EVENTS = "msg_id long, seq int, type string, quote_id string, tag string, text string, reason string"
 _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
@@ -26,7 +27,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int32(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], _NAMES)
 
-    return messages.select(F.col("msg_id").cast("long").alias("msg_id"), "text").mapInArrow(run, EVENTS)
+    return messages.select(F.col("msg_id").cast("long").alias("msg_id"), "text").transform(shipped).mapInArrow(run, EVENTS)
 
 
 def streamed(deltas: DataFrame, idle: str | None = None) -> DataFrame:
