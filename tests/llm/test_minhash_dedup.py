@@ -33,12 +33,17 @@ def brute(rows):
                 up[max(root(a), root(b))] = min(root(a), root(b))
     least = {}
     for k, (i, _) in enumerate(sets):
-        least[root(k)] = min(least.get(root(k), i), i)
-    return sorted((i, len(s), least[root(k)], i == least[root(k)]) for k, (i, s) in enumerate(sets))
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return ordered((i, len(s), i if not s else least.get(root(k)), not s or i == least.get(root(k))) for k, (i, s) in enumerate(sets))
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
 
 
 def found(docs):
-    return sorted((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in D.deduplicate(docs).collect())
+    return ordered((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in D.deduplicate(docs).collect())
 
 
 def edited(rng, text, share):
@@ -67,8 +72,33 @@ def test_one_large_group_in_blocks(spark, monkeypatch, share):
     assert found(docs) == want
 
 
+def test_groups_that_stay_apart_from_their_pivot(spark, monkeypatch):
+    """Chains in which the ends are far from each other, several of them in one candidate group."""
+    rng = random.Random(6)
+    words, rows = prose(rng, 300).split(), []
+    for k in range(90):
+        words[(7 * k) % 300] = f"step{k}"
+        rows.append((k + 5, " ".join(words)))
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    monkeypatch.setattr(D, "BLOCK", 16)
+    assert found(docs) == brute(rows)
+
+
+def test_null_ids_and_shared_names(spark, monkeypatch):
+    rng = random.Random(9)
+    base, other = prose(rng, 200), prose(rng, 150)
+    rows = [(None, base), (1, base.replace("crate", "box", 1)), (None, other), (None, other), (None, None), (4, prose(rng, 90)), (None, prose(rng, 80))]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    assert found(docs) == brute(rows)
+    # The second half of a digest tells sets of one name apart.
+    node = D._node
+    monkeypatch.setattr(D, "_node", lambda s: (node(s)[0] % 2, node(s)[1]))
+    rows = [(i, t) for i, t in rows if i is not None] + [(9, base), (10, other), (11, other)]
+    assert found(documents(spark, [(i, t, None, None) for i, t in rows])) == brute(rows)
+
+
 def test_awkward_rows(spark):
-    docs = awkward(spark).where("doc_id is not null")
+    docs = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert found(docs) == brute(rows)
     assert found(docs.limit(0)) == []
