@@ -83,3 +83,27 @@ def test_toxicity_on_rows_held_out(spark):
 def test_query_columns(spark, small):
     rows = op9_toxicity(spark, small)
     assert rows.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+
+
+def test_toxicity_of_the_table_on_rows_held_out(spark, medium):
+    labels = spark.read.parquet(f"{medium}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = op9_toxicity(spark, medium).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    right = sum(r["toxic"] == r["predicted"] for r in rows)
+    found = [r["predicted"] for r in rows if r["toxic"]]
+    assert len(rows) >= 50 and right >= 0.9 * len(rows) and (not found or sum(found) >= 0.5 * len(found)), (len(rows), right, found)
+
+
+def test_rows_without_id_are_held_out(spark):
+    none = spark.createDataFrame([(None,), (1,)], "id long")
+    assert [r[0] for r in none.select(L.is_training_row("id")).collect()][0] is False
+    assert [r[0] for r in none.select(X.is_training_row("id")).collect()][0] is False
+
+
+def test_repeated_labels_count_by_their_maximum(spark):
+    rng = random.Random(8)
+    rows = toxic_rows(rng, 200)
+    docs = documents(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(rows)])
+    once = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    more = once.unionByName(once.withColumn("toxic", F.lit(0))).unionByName(once.withColumn("toxic", F.lit(None).cast("int")))
+    a, b = ({r["id"]: r["score"] for r in X.score(docs, X.train(docs, x)).collect()} for x in (once, more))
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in a)

@@ -3,11 +3,11 @@ the languages of that family.
 
 Features are hashed counts of letter 1- to 3-grams over the whole text (letters lower-cased, everything else a
 blank), square-rooted and scaled to length 1. Both steps are linear support vector machines fitted in numpy on the
-driver from at most about ``per_language`` labelled rows of each language, picked by a hash of their id; every row is then
-scored on the executors.
+driver from at most about ``per_language`` (``PER_LANGUAGE``) labelled rows of each language, picked by a hash of their id, none of
+more than ``MAX_FIT_CHARS`` characters; every row is then scored on the executors.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled row all are ``und``;
-with one language that one is predicted; repeated rows are scored one by one; an empty table gives no rows.
+with one language that one is predicted; a row with a null id is held out, and predicted like others; repeated rows are scored one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def is_training_row(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 4 != 2
+    """A row without an id has no remainder: it is never learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 != 2, F.lit(False))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:

@@ -7,11 +7,11 @@ small random values; all are trained. Thresholds are set for each language on fi
 being guessed from the words by a naive Bayes table of the same fit, and the score is shifted so that 0.5 is the
 threshold.
 
-The fit takes at most about ``per_class`` labelled rows of each class, picked by a hash of their id. Every row is
-scored over its whole text, in pieces of bounded size.
+The fit takes at most about ``per_class`` (``PER_CLASS``) labelled rows of each class, picked by a hash of their id, none of more than
+``MAX_FIT_CHARS`` characters. Every row is scored over its whole text, in pieces of bounded size.
 
 Defined results: null and empty texts score as texts without words (below 0.5); without labelled rows of both
-classes every score is 0; a repeated label counts by its maximum; repeated rows are scored one by one; an empty table
+classes every score is 0; a row with a null id is held out, and scored like others; a repeated label counts by its maximum; repeated rows are scored one by one; an empty table
 gives no rows.
 """
 
@@ -199,7 +199,8 @@ def _threshold(logits: np.ndarray, truth: np.ndarray, default: float) -> float:
 
 
 def is_training_row(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 != 0
+    """A row without an id has no remainder: it is never learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS) -> Net | None:
