@@ -62,10 +62,8 @@ def unit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unit_alignment(spark, sf_dir)
-    none = F.expr("cast(array() as array<struct<kind:string,before:string,after:string,ratio:double>>)")
-    rows = rows.withColumn("severity", G.severity(F.col("type"), F.col("text_changed"), none, F.lit("")))
-    return G.counted(rows, "b")
+    """Changes of each later version by type and severity, facts and titles included."""
+    return G.counted(G.drafted(G.paragraph_units(text_lines(spark, sf_dir)), _pairs(spark, sf_dir)), "b")
 
 
 def word_redlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +155,10 @@ SQL = {
     "changed_facts": f"SELECT o_orderkey, kind, before, after, CAST(floor(ratio * 10) AS BIGINT) AS ratio_tenths FROM ({_FACTS})",
     "change_severity": f"""WITH f AS ({_FACTS}), g AS (SELECT k, max(CASE WHEN kind = 'jurisdiction' OR ratio >= 5 OR ratio <= 0.2 THEN 3 WHEN kind IS NOT NULL THEN 2 ELSE 0 END) AS r FROM ({_CLAUSE}) c LEFT JOIN f ON f.o_orderkey = c.k GROUP BY k)
         SELECT (['cosmetic', 'minor', 'major', 'critical'])[r + 1] AS severity, count(*) AS n FROM g GROUP BY 1""",
+    "change_summaries": f"""WITH f AS (SELECT *, list_position(['money', 'percent', 'duration', 'date', 'modality', 'negation', 'jurisdiction'], kind) AS n FROM ({_FACTS})),
+        p AS (SELECT o_orderkey, n, CASE kind WHEN 'negation' THEN '“' || after || '” added' WHEN 'modality' THEN '“' || before || '” changed to “' || after || '”'
+            ELSE CASE kind WHEN 'money' THEN 'amount' WHEN 'percent' THEN 'percentage' WHEN 'duration' THEN 'period' ELSE kind END || ' changed from ' || before || ' to ' || after END AS t FROM f QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n) <= 2),
+        s AS (SELECT o_orderkey, string_agg(t, '; ' ORDER BY n) AS t FROM p GROUP BY 1) SELECT o.o_orderkey, coalesce('Price: ' || t || '.', 'Changed; classification unavailable.') AS summary FROM orders o LEFT JOIN s ON s.o_orderkey = o.o_orderkey""",
     "multiset_difference": """WITH v AS (SELECT l_orderkey AS k, l_returnflag AS x, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n, 0 AS s FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber), 1 FROM lineitem),
         d AS (SELECT k, x, n, min(s) AS s FROM v GROUP BY k, x, n HAVING count(*) = 1) SELECT o.k AS l_orderkey, coalesce((SELECT string_agg(x, '' ORDER BY x) FROM d WHERE d.k = o.k AND s = 0), '') AS removed, coalesce((SELECT string_agg(x, '' ORDER BY x) FROM d WHERE d.k = o.k AND s = 1), '') AS added
         FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o""",

@@ -125,6 +125,10 @@ _TREE = f"""SELECT h.*, coalesce((SELECT min(b.start) FROM ({_HEADS}) b WHERE b.
 _TEXTS = f"SELECT doc, string_agg(rpad(text, 100, ' '), '' ORDER BY ord) AS text FROM ({_NUMBERED}) GROUP BY doc"
 
 SQL = {
+    "document_bundles": """WITH RECURSIVE l AS (SELECT doc, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p
+            FROM (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents WHERE text <> '')),
+        c AS (SELECT doc, CAST(0 AS BIGINT) AS p, 1 AS k FROM l WHERE p = 0 UNION SELECT c.doc, min(l.p), c.k + 1 FROM c JOIN l ON l.doc = c.doc AND l.p - c.p >= 2000 GROUP BY c.doc, c.p, c.k), n AS (SELECT doc, count(*) AS n FROM c GROUP BY doc)
+        SELECT doc_id AS doc, n AS n_pages, n AS n_sections, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents LEFT JOIN n ON n.doc = doc_id WHERE text IS NOT NULL""",
     "clean_slices": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(text, '.' || chr(10), '.  ' || chr(10) || chr(10) || chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM documents",
     "topic_passages": f"""WITH l AS (SELECT doc, p, x, len(list_filter(regexp_split_to_array(trim(x, ' '), '\\s+'), lambda w: w <> '')) AS n FROM ({_LINES})),
         t AS (SELECT doc, 'the' AS topic, 0 AS k, p FROM l WHERE n >= 6 AND regexp_matches(x, '(?i) this the ') UNION ALL SELECT doc, 'the', 1, p FROM l WHERE n >= 6 AND regexp_matches(x, '(?i) the of ') UNION ALL SELECT doc, 'et', 0, p FROM l WHERE n >= 6 AND regexp_matches(x, '(?i) et la ')

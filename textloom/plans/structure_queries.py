@@ -88,7 +88,7 @@ def headings_without_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headings_in_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.in_sequence(S.headings(_numbered_lines(spark, sf_dir))).select("doc", "ord", "kind", "number", "title")
+    return S.in_sequence(S.headings(_numbered_lines(spark, sf_dir))).select("doc", F.col("ord").cast("long").alias("ord"), "kind", "number", "title")
 
 
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,13 @@ SQL = {
     "headings_without_contents": f"""WITH h AS (SELECT *, coalesce(number, '') || '|' || trim(regexp_replace(regexp_replace(lower(title), '\\s*\\d+\\s*$', ''), '[^a-z0-9]+', ' ', 'g'), ' ') AS key FROM ({_HEADS}) WHERE m <> 6),
         c AS (SELECT *, count(*) OVER (PARTITION BY doc, key) AS n, row_number() OVER (PARTITION BY doc, key ORDER BY ord DESC) AS back FROM h), r AS (SELECT *, sum(CASE WHEN n > 1 AND back = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc) AS recur FROM c)
         SELECT doc, ord, number, title FROM r WHERE recur < 3 OR back = 1""",
+    "headings_in_sequence": f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i, kind = 'article' OR NOT contains(number, '.') AS flat,
+            CASE WHEN kind = 'article' THEN list_position(['I', 'II', 'III', 'IV', 'V', 'VI'], number) WHEN kind IN ('section', 'numbered') THEN CAST(string_split(number, '.')[1] AS INTEGER) END AS top FROM ({_HEADS})),
+        s AS (SELECT DISTINCT doc, CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS reached, []::VARCHAR[] AS seen, false AS took FROM h UNION ALL
+            SELECT s.doc, h.i, CASE WHEN h.kind = 'schedule' THEN NULL WHEN h.kind <> 'caps' AND ok THEN h.top ELSE s.reached END, CASE WHEN h.kind = 'schedule' THEN [] WHEN h.kind <> 'caps' AND ok THEN list_append(s.seen, h.number) ELSE s.seen END, ok
+            FROM s JOIN h ON h.doc = s.doc AND h.i = s.i + 1, LATERAL (SELECT h.kind IN ('caps', 'schedule') OR (h.top IS NOT NULL AND NOT list_contains(s.seen, h.number)
+                AND CASE WHEN s.reached IS NULL THEN h.top <= 3 WHEN h.flat THEN h.top BETWEEN s.reached + 1 AND s.reached + 2 ELSE h.top BETWEEN s.reached AND s.reached + 2 END) AS ok) AS o)
+        SELECT h.doc, CAST(h.ord AS BIGINT) AS ord, h.kind, h.number, h.title FROM s JOIN h ON h.doc = s.doc AND h.i = s.i WHERE s.took""",
     "section_tree": f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY start) - 1 AS i FROM ({_HEADS}))
         SELECT a.doc, a.i AS ord, CAST(a.level AS BIGINT) AS level, (SELECT max(b.i) FROM h b WHERE b.doc = a.doc AND b.i < a.i AND b.level < a.level) AS parent, a.start,
             coalesce((SELECT min(b.start) FROM h b WHERE b.doc = a.doc AND b.i > a.i AND b.level <= a.level), 4000) AS "end", a.title FROM h a""",
