@@ -43,6 +43,34 @@ def touched(ranges: DataFrame, parts: DataFrame, number: str, least: int = 20) -
     return R.compress_numbers(sums, ["doc"], number)
 
 
+def touched_sections(ranges: DataFrame, sections: DataFrame, least: int = 20, most: int = 12) -> DataFrame:
+    """(doc, label) of the top sections (doc, ord, start, end, level, number, title) that ranges overlap by more than ``least`` characters: compressed
+    numbers if all are whole, else up to ``most`` numbers or titles and how many more there are."""
+    top = sections.where((F.col("level") == 1) & ~F.col("title").rlike(r"^(Preamble|Page \d+|Part \d+)$")).select("doc", "ord", "start", "end", "number", "title")
+    hits = R.overlap_join(top, ranges.select("doc", "start", "end"))
+    hits = hits.groupBy("doc", "ord").agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("n"), F.first("number").alias("number"), F.first("title").alias("title")).where(F.col("n") > least)
+    whole = F.col("number").try_cast("int")
+    numbers = hits.select("doc", whole.alias("k"))
+    plain = R.compress_numbers(numbers.where("k is not null"), ["doc"], "k").select("doc", F.array_join(F.transform(F.split("label", ", "), lambda p: F.concat(F.lit("§"), p)), ", ").alias("plain"))
+    shown = F.when(F.col("number").isNotNull(), F.concat(F.lit("§"), "number")).otherwise(F.col("title"))
+    named = hits.groupBy("doc").agg(F.bool_and(whole.isNotNull()).alias("all_whole"), F.sort_array(F.collect_list(F.struct("ord", shown.alias("t")))).alias("t"))
+    named = named.join(plain, "doc", "left")
+    more = F.size("t") - most
+    text = F.concat(F.array_join(F.slice(F.col("t.t"), 1, most), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return named.select("doc", F.when(F.col("all_whole"), F.col("plain")).otherwise(text).alias("label"))
+
+
+def notices(answers: DataFrame) -> DataFrame:
+    """(answer_id, code) for answers (answer_id, text, complete, unreadable, n_citations, n_verified): a claim that something is absent from what was not read
+    whole, pages that could not be read, and no verified quote under a text that is not empty."""
+    codes = F.array(
+        F.when(absence_claim(F.col("text")) & ~F.col("complete"), "ABSENCE_UNVERIFIED"),
+        F.when(F.col("unreadable") > 0, "UNREADABLE_PAGES"),
+        F.when((F.trim("text") != "") & (F.col("n_verified") == 0), F.when(F.col("n_citations") > 0, "QUOTES_NOT_FOUND").otherwise("NO_QUOTES")),
+    )
+    return answers.select("answer_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+
+
 def unique_findings(findings: DataFrame) -> DataFrame:
     """Findings (doc, start, end, window) once each, from the first window that has them."""
     return findings.groupBy("doc", "start", "end").agg(F.min("window").alias("window"))

@@ -79,6 +79,29 @@ def retry_or_fail(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.select("job_id", F.when(left, "queued").otherwise("failed").alias("status"), F.when(left, now + F.make_interval(secs=delay)).alias("run_after"))
 
 
+def heartbeat(jobs: DataFrame, held: DataFrame, now: Column) -> DataFrame:
+    """jobs with the leases of those held (job_id) extended; a job that is no longer running keeps what it has, and ``alive`` tells its
+    worker so (null for jobs that nobody holds)."""
+    rows = jobs.join(held.select("job_id").distinct().withColumn("_held", F.lit(True)), "job_id", "left")
+    alive = F.when(F.col("_held"), F.col("status") == "running")
+    lease = F.when(F.coalesce(alive, F.lit(False)), now + F.make_interval(secs=F.lit(LEASE_SECONDS))).otherwise(F.col("locked_until"))
+    return rows.withColumn("locked_until", lease).withColumn("alive", alive).select(*jobs.columns, "alive")
+
+
+def complete(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """jobs with those in done (job_id, error_code) finished: done, or failed where there is an error; only running jobs change."""
+    ended = done.groupBy("job_id").agg(F.max("error_code").alias("_error"), F.lit(True).alias("_ended"))
+    rows = jobs.join(ended, "job_id", "left")
+    ends = F.coalesce("_ended", F.lit(False)) & (F.col("status") == "running")
+    status = F.when(ends, F.when(F.col("_error").isNull(), "done").otherwise("failed")).otherwise(F.col("status"))
+    return rows.withColumn("locked_until", F.when(~ends, F.col("locked_until"))).withColumn("status", status).select(*jobs.columns)
+
+
+def comparison_retryable(status: Column) -> Column:
+    """A comparison may be tried again whenever it failed."""
+    return F.coalesce(status == "failed", F.lit(False))
+
+
 def enqueue(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted (type, target_id) that no queued or running job serves."""
     return wanted.distinct().join(jobs.where("status in ('queued', 'running')").select("type", "target_id"), ["type", "target_id"], "left_anti")

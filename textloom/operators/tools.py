@@ -152,3 +152,18 @@ def affordable(calls: DataFrame, most_calls: int, most_tokens: int) -> DataFrame
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     fits = (F.count("*").over(w) <= most_calls) & (F.sum("n_tokens").over(w) <= most_tokens)
     return calls.select("run_id", "seq", fits.alias("fits")).select("run_id", "seq", F.bool_and("fits").over(w).alias("allowed"))
+
+
+def fitted(head: Column, items: Column, most: int = ENVELOPE_CHARS) -> Column:
+    """struct(kept, truncated, json) of a result of JSON items in order of rank: as many of the first as fit with the head's members into ``most`` characters, one
+    at least; if even one does not fit, a small envelope that says so. The text is valid JSON whatever is left out."""
+    body = lambda kept: F.concat(F.lit("{"), head, F.lit(',"items":['), F.array_join(kept, ","), F.lit("]"))
+    whole = F.concat(body(items), F.lit("}"))
+    note = F.concat(F.lit(',"truncated":true,"chars_available":'), F.length(whole).cast("string"), F.lit("}"))
+    room = F.lit(most) - F.length(body(F.array().cast("array<string>"))) - F.length(note)
+    sums = F.aggregate(items, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("used")), lambda a, x: F.when(a["used"] + 1 + F.length(x) <= room, F.struct((a["n"] + 1).alias("n"), (a["used"] + 1 + F.length(x)).alias("used"))).otherwise(F.struct(a["n"].alias("n"), F.lit(1 << 30).alias("used"))))
+    fits = F.length(whole) <= most
+    kept = F.when(fits, F.size(items)).otherwise(sums["n"])
+    cut = F.concat(body(F.slice(items, F.lit(1), F.greatest(sums["n"], F.lit(1)))), note)
+    small = F.concat(F.lit('{"error":"RESULT_TOO_LARGE","truncated":true,"chars_available":'), F.length(whole).cast("string"), F.lit("}"))
+    return F.struct(kept.alias("kept"), (~fits).alias("truncated"), F.when(fits, whole).when(sums["n"] > 0, cut).otherwise(small).alias("json"))

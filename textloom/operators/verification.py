@@ -224,3 +224,23 @@ def highlight_boxes(pages: DataFrame, spans: DataFrame) -> DataFrame:
     padded = """transform(m, r -> named_struct('x', round(greatest(0, r.x - 0.15 * r.h * ar), 4), 'y', round(greatest(0, r.y - 0.15 * r.h), 4),
         'w', round(least(1, r.w + 0.3 * r.h * ar), 4), 'h', round(least(1, r.h + 0.3 * r.h), 4)))"""
     return rows.select("doc", "id", "page_no", F.expr(padded).alias("rects"))
+
+
+def rendered_spans(positions: DataFrame, spans: DataFrame) -> DataFrame:
+    """positions (doc, pos, ...) with the rendered span (doc, start, node, length) that holds them, the last one starting at or before, and the offset in
+    it, which never passes the span's end."""
+    from . import ranges as R
+
+    rows = R.last_starting(positions, spans.select("doc", "start", "node", "length", F.col("start").alias("at")), ["node", "length", "at"])
+    return rows.select(*positions.columns, "node", F.least(F.col("pos") - F.col("at"), F.col("length")).alias("offset"))
+
+
+def built_citations(verdicts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(quote_id, status, display) of verdicts (quote_id, doc_id, status, occurrences, primary, segments): the document's own words of the parts of a quote, joined
+    by " … "; a quote that is not verified, or whose stream was cut off (status abandoned), shows nothing and is unverified."""
+    at = F.when(F.size("segments") > 0, F.col("segments")).otherwise(F.slice("occurrences", F.col("primary") + 1, F.lit(1)))
+    good = F.col("status").isin("verified", "verified_close")
+    rows = verdicts.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id", "left").withColumn("at", at)
+    words = lambda r: F.trim(F.regexp_replace(F.regexp_replace(F.substring(F.col("body"), r["start"] + 1, r["end"] - r["start"]), r"(\p{L})-[ \t]*\n\s*(?=\p{Ll})", "$1"), r"\s+", " "))
+    status = F.when(good | (F.col("status") == "misattributed"), F.col("status")).otherwise("unverified")
+    return rows.select("quote_id", status.alias("status"), F.when(good, F.array_join(F.transform("at", words), " … ")).alias("display"))

@@ -66,11 +66,27 @@ def with_kind(files: DataFrame) -> DataFrame:
     return rows.where("kind <> 'zip'").unionByName(zips)
 
 
+MAX_PAGES, LEAST_TEXT = 500, 50
+
+
 def intake_error(kind: Column, size: Column, limit: int = MAX_BYTES) -> Column:
     """The code for which a file is rejected, null if it is taken."""
     return F.when(size == 0, "empty_document").when(size > limit, "too_large").when(kind == "doc", "legacy_word").when(~kind.isin("pdf", "docx"), "unsupported_type")
 
 
+def content_error(encrypted: Column, readable: Column, pages: Column, solid: Column, kind: Column) -> Column:
+    """The code for which a file that was taken in fails once it is read, null if it does not: encrypted, not readable as its kind, of too
+    many pages, or with too few characters that are not blanks."""
+    empty = F.when(kind == "pdf", "no_text_layer").otherwise("empty_document")
+    return F.when(encrypted, "encrypted").when(~readable, "damaged").when(pages > MAX_PAGES, "too_many_pages").when(solid < LEAST_TEXT, empty)
+
+
+def split_by_error(files: DataFrame, code: Column) -> tuple[DataFrame, DataFrame]:
+    """(taken, rejected): the latter with code and HTTP status."""
+    told = files.withColumn("code", code)
+    return told.where("code is null").drop("code"), told.where("code is not null").withColumn("status", error_status(F.col("code")))
+
+
 ERROR_STATUS = {"empty_document": 400, "too_large": 413, "legacy_word": 415, "unsupported_type": 415, "encrypted": 422, "damaged": 422, "too_many_pages": 422, "no_text_layer": 422}
 
 
