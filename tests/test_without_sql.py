@@ -354,6 +354,21 @@ def test_analysis_of_a_contract(spark):
     assert by_page[3].where("doc = 1").first()["unreadable"] == [2] and by_page[3].where("doc = 1").first()["warnings"] == ["partial_scan", "no_structure_detected"]
 
 
+def test_documents_without_text(spark, small):
+    import zlib
+
+    pages = defaultdict(list)
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        name = "/".join(x for x in (r["source"], r["lang"], str(r["doc_id"] // 50)) if x is not None)
+        crc = zlib.crc32(name.encode())
+        text = (r["text"] or "")[: crc % 40] if crc % 3 else r["text"] or ""
+        solid = len(re.sub(r"[ \t\n\x0b\f\r]+", "", text))
+        words = sum(c.isalnum() for c in text)
+        pages[name].append(((solid > 0 and words / solid < 0.5) or (solid < 20 and r["doc_id"] % 4 == 0), solid))
+    want = {d for d, own in pages.items() if all(bad for bad, _ in own) or sum(n for bad, n in own if not bad) < 50}
+    assert {r["doc"] for r in query("documents_without_text")(spark, small).collect()} == want and want
+
+
 def test_excerpts_merge_and_neighbours_need_room(spark):
     text = "Aa aa aa.  \nBb bb bb. Cc cc cc. Dd dd dd."
     docs = spark.createDataFrame([(1, text)], "doc long, text string")

@@ -12,7 +12,7 @@ from ..operators import scan as N
 from ..operators import structure as S
 from ..operators import tools as T
 from ..sources.tables import read
-from .retrieval_queries import _KEYWORD, _LINES, _index, _questions
+from .retrieval_queries import _KEYWORD, _LINES, _PHRASE, _QUESTIONS, _index, _phrases, _questions
 from .structure_queries import _HEADS, _NUMBERED, _numbered_lines, lengths, text_lines
 
 #: Titles and first words of sections, dealt to parts.
@@ -99,6 +99,15 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", "doc", F.col("place").cast("long").alias("place"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "heading", F.md5("text").alias("digest"), "percent")
 
 
+def fused_with_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords, phrases and, with weight 3, the section that a question names: the first part of the document of its number."""
+    lines, questions = text_lines(spark, sf_dir), _questions(spark, sf_dir)
+    parts = S.fallback_parts(lines, lengths(spark, sf_dir)).withColumn("number", (F.col("ord") + 1).cast("string"))
+    named = R.section_leg(lines, parts, questions.select("question_id", F.col("question_id").alias("doc"), F.lit("1").alias("number")))
+    rows = R.fused([(R.keyword_leg(_index(spark, sf_dir), questions), 1.0), (R.phrase_leg(lines, _phrases(spark, sf_dir)), 1.5), (named, 3.0)])
+    return rows.select("question_id", "doc", F.col("ord").cast("long").alias("ord"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def affordable_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events", "event_id", "user_id").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 400).alias("n_tokens"))
     return T.affordable(rows, 20, 3000).groupBy("run_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n"))
@@ -135,7 +144,7 @@ def top_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top_changes(changes).select("pair", F.col("place").cast("long").alias("place"), "change_id")
 
 
-QUERIES = {f.__name__: f for f in (standard_clauses, clause_lookup, detected_sections, analyzed_documents, key_topics, find_places, budget_passages, excerpts, affordable_calls, repaired_calls, spelled_facts, top_changes)}
+QUERIES = {f.__name__: f for f in (standard_clauses, clause_lookup, detected_sections, analyzed_documents, key_topics, find_places, budget_passages, excerpts, fused_with_sections, affordable_calls, repaired_calls, spelled_facts, top_changes)}
 
 
 def _list(values: tuple[str, ...]) -> str:
@@ -169,6 +178,10 @@ SQL = {
         c AS (SELECT k.q, l.doc, l.x, l.s, l.s + length(l.x) AS e FROM ({_KEYWORD}) k JOIN l ON l.doc = k.doc AND l.ord = k.ord WHERE k.rank <= 5 AND length(l.x) > 0), g AS (SELECT q, doc, sum(e - s) AS shown FROM c GROUP BY 1, 2)
         SELECT c.q AS question_id, c.doc, row_number() OVER (PARTITION BY c.q, c.doc ORDER BY c.s) AS place, c.s AS start, c.e AS "end", '── Part ' || (SELECT max(k) FROM parts WHERE parts.doc = c.doc AND parts.p <= c.s) || ' ──' AS heading, md5(trim(c.x, chr(32) || chr(9) || chr(13) || chr(10))) AS digest,
             CAST(greatest(1, round(100 * shown / greatest(1, length(d.text)))) AS BIGINT) AS percent FROM c JOIN g ON g.q = c.q AND g.doc = c.doc JOIN documents d ON d.doc_id = c.doc""",
+    "fused_with_sections": f"""WITH {_PARTS}, l AS (SELECT doc, ord, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM ({_LINES})),
+        n AS (SELECT q.q, l.doc, l.ord, row_number() OVER (PARTITION BY q.q ORDER BY l.ord) AS rank FROM ({_QUESTIONS}) q JOIN l ON l.doc = q.q WHERE length(l.x) > 0 AND NOT EXISTS (SELECT 1 FROM parts WHERE parts.doc = l.doc AND parts.k = 2 AND parts.p <= l.s) QUALIFY rank <= 6),
+        b AS (SELECT q, doc, ord, round(sum(s), 9) AS score, min((leg, rank)) AS k FROM (SELECT q, doc, ord, rank, 1.0::DOUBLE / (60 + rank) AS s, 0 AS leg FROM ({_KEYWORD}) UNION ALL SELECT q, doc, ord, rank, 1.5::DOUBLE / (60 + rank), 1 FROM ({_PHRASE}) UNION ALL SELECT q, doc, ord, rank, 3.0::DOUBLE / (60 + rank), 2 FROM n) GROUP BY 1, 2, 3)
+        SELECT q AS question_id, doc, ord, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, k, doc, ord) AS rank FROM b""",
     "affordable_calls": """WITH c AS (SELECT user_id AS r, row_number() OVER w AS k, sum(event_id % 400) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT r AS run_id, count(*) FILTER (WHERE k <= 20 AND t <= 3000) AS allowed, count(*) AS n FROM c GROUP BY r""",
     "repaired_calls": """WITH c AS (SELECT event_id AS e, user_id AS r, event_type AS t, event_id % 6 AS m, json_extract_string(props, '$.k') AS k FROM events),
