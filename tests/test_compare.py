@@ -89,3 +89,33 @@ def test_unit_similarity_takes_every_unit(spark, small):
         both = r["a_idx"] is not None and r["b_idx"] is not None
         assert both == (r["similarity"] is not None)
         assert not both or digests[r["a"], r["a_idx"]] != digests[r["b"], r["b_idx"]] or r["similarity"] > 0.9
+
+
+def test_long_units_are_split_and_few_sections_give_paragraphs(spark):
+    from textloom.operators import compare as G
+
+    long = "\n".join(f"line {k} says that crates are sent on to the buyer" for k in range(60))
+    texts = [(1, "".join(f"{k}. Head {k}\nThis is what section {k} has to say.\n" for k in range(1, 5)) + "5. Long\n" + long), (2, "Only a preamble stands here.\nAnd a second paragraph of it.")]
+    sections = [(1, k, str(k + 1), f"Head {k + 1}", texts[0][1].index(f"{k + 1}. "), 0) for k in range(5)] + [(2, 0, None, "Preamble", 0, 0)]
+    lines = []
+    for doc, text in texts:
+        at = 0
+        for k, line in enumerate(text.split("\n")):
+            lines.append((doc, k, at, at + len(line), line))
+            at += len(line) + 1
+    frames = spark.createDataFrame(sections, "doc long, ord int, number string, title string, start int, end int"), spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(lines, "doc long, ord int, start int, end int, text string")
+    rows = sorted(G.comparison_units(*frames, most=200).collect(), key=lambda r: (r["doc"], r["idx"]))
+    assert [r["text"] for r in rows if r["doc"] == 2] == texts[1][1].split("\n")
+    first = [r for r in rows if r["doc"] == 1]
+    assert [r["title"] for r in first[:4]] == ["Head 1", "Head 2", "Head 3", "Head 4"] and all(r["title"].startswith("Head 5 (part ") for r in first[4:])
+    assert [r["idx"] for r in first] == list(range(len(first))) and len(first) > 6
+    # Parts are as long as they can be, break at line starts and leave nothing out.
+    whole = "5. Long\n" + long
+    s, last, want = 0, 0, []
+    for i, c in enumerate(whole):
+        if c == "\n":
+            if -(-(i - s) // 4) > 200 and last > s:
+                want.append(whole[s:last].strip())
+                s = last
+            last = i + 1
+    assert [r["text"] for r in first[4:]] == [*want, whole[s:].strip()]
