@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +120,29 @@ def canonical_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.canonical(rows).select("doc", "ord", "start", "end", F.md5("html").alias("html"))
 
 
+def _packed_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations as Word files: each turn a numbered paragraph, an assistant's in a heading style; every ninth file is cut off."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for batch in batches:
+        made = []
+        for doc, turns in zip(batch.column("doc").to_pylist(), batch.column("turns").to_pylist(), strict=True):
+            paragraph = lambda t: f'<w:p><w:pPr>{"<w:pStyle w:val=%sHead%s/>" % (chr(34), chr(34)) if t["role"] == "assistant" else ""}<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>{escape(t["text"] or "")}</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p>'
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="Base"><w:pPr><w:outlineLvl w:val="2"/></w:pPr></w:style><w:style w:styleId="Head"><w:basedOn w:val="Base"/></w:style></w:styles>')
+                z.writestr("word/numbering.xml", f'<w:numbering {w}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="2"/><w:numFmt w:val="decimal"/><w:lvlText w:val="(%1)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>')
+                z.writestr("word/document.xml", f'<w:document {w}><w:body>{"".join(map(paragraph, turns))}</w:body></w:document>')
+            content = out.getvalue()
+            made.append(content if doc % 9 else content[: len(content) // 2])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(made, pa.binary())], ["doc", "content"])
+
+
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = S.word_rows(turns.mapInArrow(_packed_word, "doc long, content binary"))
+    return rows.select("doc", F.col("ord").cast("long").alias("ord"), F.col("start").cast("long").alias("start"), F.md5("text").alias("digest"), F.col("heading_level").cast("long").alias("heading_level"), "label", "error")
+
+
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines from items: order lines as items, two to a visual line."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
@@ -125,7 +153,7 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quote_events, quote_events_streamed, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines,
+    quote_events, quote_events_streamed, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines, word_rows,
 )}
 
 _MESSAGES = """SELECT conv_id * 1000 + turn AS m, k % 7 = 0 AS s, k % 5 = 0 AS broken, substring(t, 1, 40) AS a, CASE WHEN k % 3 = 0 THEN substring(t, 41) ELSE substring(t, 41, 40) END AS q, CASE WHEN k % 3 = 0 THEN '' ELSE substring(t, 81) END AS z
@@ -152,6 +180,9 @@ SQL = {
     "file_kinds": "SELECT p_partkey, (['pdf', 'text', 'ole', 'zip', 'unknown'])[p_partkey % 5 + 1] AS kind FROM part",
     "canonical_offsets": """WITH c AS (SELECT conv_id AS doc, turn AS ord, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM conversations)
         SELECT doc, ord, s AS start, s + length(text) AS "end", md5('<p data-o="' || s || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>') AS html FROM c""",
+    "word_rows": """WITH t AS (SELECT conv_id AS doc, coalesce(text, '') AS t, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
+        SELECT doc, k AS ord, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, md5(t) AS digest, CASE WHEN role = 'assistant' THEN 3 END AS heading_level, '(' || (k + 2) || ')' AS label, NULL AS error FROM t WHERE doc % 9 <> 0
+        UNION ALL SELECT DISTINCT doc, NULL, NULL, NULL, NULL, NULL, 'damaged' FROM t WHERE doc % 9 = 0""",
     "item_lines": """WITH i AS (SELECT l_orderkey AS d, l_linenumber AS k, min(l_returnflag || l_linestatus) AS t FROM lineitem GROUP BY 1, 2), g AS (SELECT *, lag(k) OVER (PARTITION BY d ORDER BY k) AS before FROM i),
         f AS (SELECT *, CASE WHEN before = k - 1 AND k % 2 = 0 THEN 0 ELSE 1 END AS fresh FROM g), l AS (SELECT *, sum(fresh) OVER (PARTITION BY d ORDER BY k) AS line FROM f), j AS (SELECT d, line, string_agg(CASE WHEN fresh = 0 AND d % 2 = 0 THEN ' ' || t ELSE t END, '' ORDER BY k) AS text FROM l GROUP BY 1, 2)
         SELECT text, count(*) AS n FROM j GROUP BY text""",

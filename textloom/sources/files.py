@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from ..session import shipped
+from ..session import ship, shipped
 
 # Fixed values.
 MAX_BYTES = 50 * 1024 * 1024
@@ -203,6 +202,32 @@ def word_paragraphs(content: bytes) -> list[dict]:
     return out
 
 
+def word_rows(contents: DataFrame) -> DataFrame:
+    """(doc, ord, start, end, text, style, heading_level, label, in_table, error) of Word files (doc, content): a row for each paragraph, with its place in
+    the text that joins them by line feeds. A file that is not readable gives one row with the error ``damaged``; a null content gives none."""
+    kind = contents.schema["doc"].dataType.simpleString()
+    fields = "ord int, start int, end int, text string, style string, heading_level int, label string, in_table boolean, error string"
+    types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, content in enumerate(batch.column("content")):  # one file at a time
+                if not content.is_valid:
+                    continue
+                try:
+                    at, rows = 0, []
+                    for n, p in enumerate(word_paragraphs(content.as_py())):
+                        rows.append((n, at, at + len(p["text"]), p["text"], p["style"], p["heading_level"], p["label"], p["in_table"], None))
+                        at += len(p["text"]) + 1
+                except (zipfile.BadZipFile, ElementTree.ParseError, TypeError, KeyError, ValueError):
+                    rows = [(None,) * 8 + ("damaged",)]
+                named = [f.split() for f in fields.split(", ")]
+                own = batch.column("doc").take(pa.array([k] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array([r[n] for r in rows], types[t]) for n, (_, t) in enumerate(named))], ["doc", *(n for n, _ in named)])
+
+    return contents.select("doc", "content").transform(shipped).mapInArrow(run, f"doc {kind}, {fields}")
+
+
 # ---- HTML
 
 
