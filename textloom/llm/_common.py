@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, shipped
 from ..sources.scratch import folder
 
 #: Fixed values of the contracts: words are runs of anything but these six ASCII characters.
@@ -80,4 +80,4 @@ def texts_kept(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[str
         for batch in batches:
             yield batch.filter(pa.array([passes(t) for t in texts_of(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(shipped).mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import scratch_table
 
 
@@ -37,7 +38,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     held = scratch_table(edges.select("a", "b"), "found-edges")
-    return held.repartition(-(-held.count() // EDGES_PER_TASK) or 1).mapInArrow(forest, "a long, b long")
+    return held.repartition(-(-held.count() // EDGES_PER_TASK) or 1).transform(shipped).mapInArrow(forest, "a long, b long")
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import marked_by_ids, scratch_table, texts_kept, texts_of
 
 STRETCH, AGREE = 12, 80
@@ -215,7 +216,7 @@ def _looked_up(rows: DataFrame, items: DataFrame) -> DataFrame:
                     found.append(x)
             yield _found(batch, at, found)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
+    return rows.transform(shipped).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
 
 
 # ---- one that does not
@@ -260,7 +261,7 @@ def _seed_table(rows: DataFrame, name: str, kept: np.ndarray | None = None) -> D
             seeds, places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (seed, place))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(seeds, pa.int64()), pa.array(places, pa.int64())], ["key", "seed", "at"])
 
-    return scratch_table(rows.select("key", "text").mapInArrow(run, "key string, seed long, at long"), name)
+    return scratch_table(rows.select("key", "text").transform(shipped).mapInArrow(run, "key string, seed long, at long"), name)
 
 
 def _map_of(seeds: DataFrame) -> np.ndarray:
@@ -303,7 +304,7 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
                         found.append((pair["item"], best[0], len(item), best[2], best[1]))
             yield _found(batch, at, found)
 
-    return met.mapInArrow(verified, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
+    return met.transform(shipped).mapInArrow(verified, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
 
 
 def _parted(items: DataFrame) -> DataFrame:
@@ -314,7 +315,7 @@ def _parted(items: DataFrame) -> DataFrame:
             short = [0 < len(tokens(t)) < UNSPACED_BELOW and _UNSPACED.search(t) is not None for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(short, pa.bool_())], ["item", "text", "unspaced"])
 
-    return scratch_table(items.select("item", "text").mapInArrow(told, "item long, text string, unspaced boolean"), "parted-items")
+    return scratch_table(items.select("item", "text").transform(shipped).mapInArrow(told, "item long, text string, unspaced boolean"), "parted-items")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import scratch_table, texts_of
 
 #: Tags by what they do.
@@ -514,7 +515,7 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
             yield forms()
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    rows = scratch_table(rows.mapInArrow(seen, "host string, form string, path bigint, slot bigint, page bigint"), "page-forms")
+    rows = scratch_table(rows.transform(shipped).mapInArrow(seen, "host string, form string, path bigint, slot bigint, page bigint"), "page-forms")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -526,7 +527,7 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
         if (counts.agg(F.max("n").alias("n")).first()["n"] or 0) <= 1:
             break
         dealt = partial.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("form"), F.ceil(F.col("n") / fan_in)))
-        partial = scratch_table(dealt.groupBy("host", "part").agg(F.collect_list("form").alias("forms")).select("host", "forms").mapInArrow(joined, "host string, form string"), "merged-forms")
+        partial = scratch_table(dealt.groupBy("host", "part").agg(F.collect_list("form").alias("forms")).select("host", "forms").transform(shipped).mapInArrow(joined, "host string, form string"), "merged-forms")
     texts = rows.where("form is null").select("host", "path", "slot", "page").distinct()
     per_slot = texts.groupBy("host", "path", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     per_path = texts.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
@@ -555,5 +556,5 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", k
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name[0] != "_")
-    out = rows.mapInArrow(extracted, f"{told}, text string")
+    out = rows.transform(shipped).mapInArrow(extracted, f"{told}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import texts_kept, texts_of
 
 #: Language families by ISO 639-1 code. A language not listed is a family of its own.
@@ -168,7 +169,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             found = [v.tobytes() if (v := grams(t)) is not None else None for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("id"), pa.array(found, pa.binary())], ["lang", "id", "v"])
 
-    rows = picked.mapInArrow(vectors, "lang string, id string, v binary").where("v is not null").collect()
+    rows = picked.transform(shipped).mapInArrow(vectors, "lang string, id string, v binary").where("v is not null").collect()
     return fit([(r["lang"], np.frombuffer(r["v"], np.float32)) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["v"]))])
 
 
@@ -201,4 +202,4 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column("id"), *more], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predicted, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.transform(shipped).mapInArrow(predicted, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")

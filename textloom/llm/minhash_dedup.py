@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import marked_by_ids, scratch_table, texts_of
 from ._components import components
 from ._shingles import Shingler, Signer
@@ -76,7 +77,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n", "node", "second", "sig"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return scratch_table(rows.mapInArrow(signed, f"id {rows.schema['id'].dataType.simpleString()}, n long, node long, second long, sig array<int>"), "signatures")
+    return scratch_table(rows.transform(shipped).mapInArrow(signed, f"id {rows.schema['id'].dataType.simpleString()}, n long, node long, second long, sig array<int>"), "signatures")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def _by_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.nda
             yield batch_of(edges(held))
 
     assert set(keys) <= set(names)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).transform(shipped).mapInArrow(run, "a long, b long")
 
 
 class _Sets:
@@ -290,7 +291,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, clashes: DataFrame | None
     texts = marked_by_ids(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", reps, "wanted_rep").where("_map_maybe").drop("_map_maybe")
     # A null id may be a class's only one.
     texts = texts.join(reps, F.col("rep").eqNullSafe(F.col("wanted_rep")), "left_semi")
-    sets = _renamed(texts.select("text").mapInArrow(full_sets, "node long, second long, shingles array<long>"), clashes)
+    sets = _renamed(texts.select("text").transform(shipped).mapInArrow(full_sets, "node long, second long, shingles array<long>"), clashes)
     sets = scratch_table(sets.select("node", "shingles").join(wanted.select("node", "component", "weight", "sig"), "node").dropDuplicates(["node"]), "sets")
     confirmed = _forests(sets, "component", ["node", "weight", "sig", "shingles"], _confirmed, lambda x, p: (_same_coordinates(x["sig"], p["sig"]) >= MATCHES) & _similar(x["shingles"], p["shingles"]))
     return components(confirmed)

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import texts_of
 
 OVER_LIMIT = 2048
@@ -169,5 +170,5 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), n], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(counted, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    rows = rows.transform(shipped).mapInArrow(counted, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > over)

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import texts_kept, texts_of
 
 BITS, DIM, FILTERS, WIDTHS = 15, 8, 6, (1, 2, 3)
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             found = [words(t).astype(np.uint16).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_label"), batch.column("lang"), pa.array(found, pa.binary())], ["id", "y", "lang", "v"])
 
-    rows = held.select(F.col(id_col).cast("string").alias("id"), F.col("_label").cast("int").alias("_label"), "lang", "text").mapInArrow(buckets, "id string, y int, lang string, v binary").collect()
+    rows = held.select(F.col(id_col).cast("string").alias("id"), F.col("_label").cast("int").alias("_label"), "lang", "text").transform(shipped).mapInArrow(buckets, "id string, y int, lang string, v binary").collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["v"]))
     return fit([(np.frombuffer(r["v"], np.uint16).reshape(-1, 3).astype(np.int64), r["y"], r["lang"]) for r in rows])
 
@@ -248,4 +249,4 @@ def score(docs: DataFrame, net: Net | None, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.transform(shipped).mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ._common import marked_by_ids, scratch_table
 
 LEAST_REVISIT = 100
@@ -117,7 +118,7 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, arch
         if held:
             yield archive()
 
-    return rows.select("page_id", "url", "payload", "digest", "first", "revisit", "named").mapInArrow(packed, "name string, content binary")
+    return rows.select("page_id", "url", "payload", "digest", "first", "revisit", "named").transform(shipped).mapInArrow(packed, "name string, content binary")
 
 
 # ---- reading
@@ -231,9 +232,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows.append(_row(headers | ({"warc-target-uri": target} if target is not None else {}), block, whole))
             yield pa.RecordBatch.from_arrays(_columns(rows), _NAMES)
 
-    found = scratch_table(archives.mapInArrow(parsed, f"{_RECORD}, origin string, number long, total long, declared string, target string, block binary"), "warc-records")
+    found = scratch_table(archives.transform(shipped).mapInArrow(parsed, f"{_RECORD}, origin string, number long, total long, declared string, target string, block binary"), "warc-records")
     segments = found.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "declared", "target", "block")).alias("segments"))
-    pages = scratch_table(found.where("origin is null").select(*_NAMES).unionByName(segments.mapInArrow(joined, _RECORD)), "warc-pages")
+    pages = scratch_table(found.where("origin is null").select(*_NAMES).unionByName(segments.transform(shipped).mapInArrow(joined, _RECORD)), "warc-pages")
     response = pages.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest"), F.col("complete").alias("whole"))
     revisits = pages.where("record_type = 'revisit'").join(response, "refers_id", "left")
     agrees = F.col("complete") & F.coalesce("whole", F.lit(False)) & F.coalesce(F.col("digest") == F.col("payload_digest"), F.lit(False))
