@@ -36,6 +36,8 @@ SLOTS_PER_SHARD = 8192
 DOCS_PER_BUCKET = 1000
 #: Rows that one window over numbers holds, about; totals of such runs go through a second one.
 RUN = 4096
+#: Sources whose bounds are broadcast at most: 17 rows for each, a few MB in all.
+MAX_BROADCAST_SOURCES = 4096
 #: Draws are numbers below 2^DRAW_BITS.
 DRAW_BITS = 40
 
@@ -191,7 +193,10 @@ def draw_counts(plan: DataFrame, *, slots_per_shard: int = SLOTS_PER_SHARD) -> D
     slots = spark.range(0, shards, 1, max(1, min(tasks, shards))).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(slots_per_shard).cast("long"), F.lit(total) - F.col("id") * slots_per_shard) - 1)).alias("j"))
     slots = slots.withColumn("draw", F.xxhash64(F.lit("draw"), "shard", "j").bitwiseAND(F.lit((1 << DRAW_BITS) - 1)))
     slots = slots.withColumn("cell", F.floor(F.col("draw") / ((1 << DRAW_BITS) // cells)))
-    drawn = slots.join(_thresholds(plan, max(total, 1), cells), "cell").where("draw >= lo and draw < hi").groupBy("skey", "shard").agg(F.count("*").alias("n"))
+    # The planner would judge the slots by the few rows that they are made from, and broadcast them; the sources are few, which is checked.
+    bounds = _thresholds(plan, max(total, 1), cells)
+    bounds = F.broadcast(bounds) if told["sources"] <= MAX_BROADCAST_SOURCES else bounds.hint("merge")
+    drawn = slots.join(bounds, "cell").where("draw >= lo and draw < hi").groupBy("skey", "shard").agg(F.count("*").alias("n"))
     drawn = running(scratch_table(drawn, "mix-drawn"), ["skey"], "shard", "n", "first")
     filled = drawn.groupBy("skey").agg(F.sum("n").alias("filled"))
     quotas = scratch_table(plan.select("skey", "quota").join(filled, "skey", "left").select("skey", "quota", F.coalesce("filled", F.lit(0)).alias("filled")), "mix-quotas")
@@ -207,7 +212,7 @@ def draw_counts(plan: DataFrame, *, slots_per_shard: int = SLOTS_PER_SHARD) -> D
     surplus = drawn.groupBy("shard").agg(F.sum("given").alias("n")).where("n > 0").withColumn("one", F.lit(0))
     surplus = running(surplus, ["one"], "shard", "n", "at").select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k"))
     surplus = surplus.select("shard", permuted(F.col("k"), handed, F.xxhash64(F.lit("handed"))).alias("number"))
-    return kept.unionByName(surplus.join(lacking, "number").select("shard", "skey", "first", F.lit(1).cast("long").alias("n")))
+    return kept.unionByName(surplus.hint("merge").join(lacking, "number").select("shard", "skey", "first", F.lit(1).cast("long").alias("n")))
 
 
 def draw_slots(plan: DataFrame, *, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
