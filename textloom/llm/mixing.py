@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, SPACE_CLASS, WORD_CLASS, scratch_table, text_of
+from ._common import ASCII_SPACE, scratch_table, text_of
 
 #: Default parameters.
 WEIGHTS = (5, 2, 1)
@@ -42,8 +42,17 @@ MAX_BROADCAST_SOURCES = 4096
 DRAW_BITS = 40
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text_of(text), F.lit(WORD_CLASS)).cast("long")
+def with_said(rows: DataFrame) -> DataFrame:
+    """rows with ``said``: the words of text, joined by single blanks. Regular expressions run only where there are blanks in a row."""
+    flat = text_of(F.col("text"))
+    for c in ASCII_SPACE[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    rows = rows.withColumn("said", F.btrim(flat, F.lit(" ")))
+    return rows.withColumn("said", F.when(F.contains("said", F.lit("  ")), F.regexp_replace("said", " {2,}", " ")).otherwise(F.col("said")))
+
+
+def words_in(said: Column) -> Column:
+    return F.when(said == "", F.lit(0)).otherwise(F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -84,8 +93,9 @@ def permuted(i: Column, n: Column, key: Column, *, back: bool = False) -> Column
     """
 
     def turn(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
-        return F.when(F.xxhash64(key, r, F.greatest(x, other)) % 2 == 0, x).otherwise(other)
+        # The partner is worked out once: it stands in an array of one.
+        partner = F.array(F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n))
+        return F.get(F.transform(partner, lambda other: F.when(F.xxhash64(key, r, F.greatest(x, other)) % 2 == 0, x).otherwise(other)), F.lit(0))
 
     rounds = rounds_for(n)
     return F.aggregate(F.sequence(rounds, F.lit(1)) if back else F.sequence(F.lit(1), rounds), i, turn)
@@ -118,7 +128,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 def sized(rows: DataFrame) -> DataFrame:
     """(id, source, skey, size), one row for each id and source, written to the shared folder."""
-    return scratch_table(rows.groupBy("id", "source", "skey").agg(F.sum(word_count(F.col("text"))).alias("size")), "mix-sizes")
+    sizes = with_said(rows).select("id", "source", "skey", words_in(F.col("said")).alias("size"))
+    return scratch_table(sizes.groupBy("id", "source", "skey").agg(F.sum("size").alias("size")), "mix-sizes")
 
 
 def packed(rows: DataFrame, sizes: DataFrame, *, block: int = BLOCK_WORDS, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
@@ -132,9 +143,8 @@ def packed(rows: DataFrame, sizes: DataFrame, *, block: int = BLOCK_WORDS, docs_
     bucket = F.pmod(F.xxhash64(F.lit("layout"), "id"), F.lit(buckets)).alias("bucket")
     starts = sizes.where("size > 0").groupBy("skey", bucket).agg(F.sum("size").alias("bucket_size"))
     starts = running(starts, ["skey"], "bucket", "bucket_size", "bucket_start").select("skey", "bucket", "bucket_start")
-    said = F.regexp_replace(F.btrim(text_of(F.col("text")), F.lit(ASCII_SPACE)), F.lit(SPACE_CLASS), F.lit(" "))
-    placed = rows.select("id", "skey", said.alias("said"), bucket, F.xxhash64(F.lit("order"), "id").alias("order_key"), F.xxhash64("text").alias("text_key")).where("said <> ''")
-    placed = placed.withColumn("size", (F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    placed = with_said(rows).select("id", "skey", "said", bucket, F.xxhash64(F.lit("order"), "id").alias("order_key"), F.xxhash64("text").alias("text_key")).where("said <> ''")
+    placed = placed.withColumn("size", words_in(F.col("said")))
     within = Window.partitionBy("skey", "bucket").orderBy("order_key", "id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["skey", "bucket"])
     placed = placed.select("id", "skey", F.split("said", " ").alias("said"), (F.col("bucket_start") + F.col("in_bucket")).alias("start"), "size")
@@ -221,8 +231,9 @@ def draw_slots(plan: DataFrame, *, slots_per_shard: int = SLOTS_PER_SHARD) -> Da
     # The rows are few until exploded: the number of tasks is stated, or the planner would put them into one.
     counts = counts.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "shard")
     slots = counts.select("shard", "skey", "n_blocks", "quota", "n_last", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("n_blocks"))
-    place = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), pass_key(F.col("skey"), turn))
+    # Key and index are columns, so that they are not worked out again in every round.
+    slots = slots.withColumns({"pass_key": pass_key(F.col("skey"), F.floor(F.col("slot") / F.col("n_blocks"))), "index": F.col("slot") % F.col("n_blocks")})
+    place = permuted(F.col("index"), F.col("n_blocks"), F.col("pass_key"))
     return slots.select("shard", "skey", "slot", place.alias("block_no"), F.when(F.col("slot") == F.col("quota") - 1, F.col("n_last")).alias("n_last"))
 
 
