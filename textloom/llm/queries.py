@@ -1,11 +1,11 @@
-"""Queries of the ten operators, by the contracts' columns, and their SQL where SQL can say the same."""
+"""Queries of the operators, by the contracts' columns, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_rules, token_counts, toxicity, warc
+from . import centroid_clusters, chat_format, collocations, decontaminate, embedding_dedup, html_extract, language_id, mining_sql, minhash_dedup, mixing, quality_rules, token_counts, toxicity, warc
 from ._common import read, scratch_table
 
 
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.account(*mixing.mix(read(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(collocations.mine(read(spark, sf_dir, "documents")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").drop("n_compared")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -130,4 +145,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": _QUALITY,
     "op5_warc": _WARC,
     "op8_chat_format": _CHAT,
+    "op11_embedding_dedup": mining_sql.LINKS,
+    "op12_collocations": mining_sql.PHRASES,
+    "op13_centroid_clusters": mining_sql.clusters(),
 }
