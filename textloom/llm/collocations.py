@@ -33,89 +33,122 @@ STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST_COUNT, ABSORBED = 10, 50
 #: Bits of a map of frequent phrases at most, and for each phrase.
 MAX_MAP_BITS, BITS_EACH = 1 << 26, 16
-#: Counts that a task holds before it sends them on; bytes of text that it cuts into words at once; words that it remembers.
-HELD_COUNTS, SEGMENT, REMEMBERED = 400_000, 1 << 20, 1 << 19
-#: Hash of Spark's xxhash64, which the maps are made with.
-SPARK_SEED = 42
+#: Counts that a task holds before it sends them on; bytes of text that it cuts into words at once; words whose hash it remembers.
+HELD_COUNTS, SEGMENT, REMEMBERED = 200_000, 1 << 20, 1 << 18
+#: Odd factors that mix the hashes of a pair's words.
+FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_TO_SPACE = bytes.maketrans(STOPS + BLANKS, b"\n" * len(STOPS) + b" " * len(BLANKS))
-_END = b"\n"
+_END = b"."
+_TO_SPACE = bytes.maketrans(STOPS + BLANKS, _END * len(STOPS) + b" " * len(BLANKS))
 
 
 def segments(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text in lower case (A-Z only), with b"\\n" between pieces; a long text in several lists, cut between pieces."""
+    """The words of a text in lower case (A-Z only), with b"." between pieces, which no word holds; a long text in several lists, cut between pieces."""
     data = (text or "").encode().lower().translate(_TO_SPACE)
     at = 0
     while at < len(data):
         end = data.find(_END, at + SEGMENT) if len(data) - at > SEGMENT else -1
         end = len(data) if end < 0 else end + 1
-        yield list(filter(None, data[at:end].replace(_END, b" \n ").split(b" ")))
+        yield data[at:end].replace(_END, b" . ").split()
         at = end
 
 
-class _Frequent(dict):
-    """Whether a phrase may be frequent, by the map; what was asked is remembered, up to a bound."""
+class _Hashes(dict):
+    """Hash of a word of a language, odd; 0 for the end of a piece. What was asked is remembered, up to a bound."""
 
-    def __init__(self, lang: str, bits: bytes) -> None:
+    def __init__(self, lang: str) -> None:
         super().__init__()
-        self.prefix, self.bits, self.n = lang.encode() + b"\n", bits, 8 * len(bits)
+        self.seed = xxhash.xxh32_intdigest(lang.encode())
 
-    def __missing__(self, phrase: bytes | tuple[bytes, ...]) -> bool:
-        words = phrase if isinstance(phrase, tuple) else (phrase,)
-        h = xxhash.xxh64_intdigest(self.prefix + b" ".join(words), SPARK_SEED) % self.n
-        told = _END not in words and bool(self.bits[h >> 3] >> (h & 7) & 1)
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[phrase] = told
-        return told
+        self[word] = h = 0 if word == _END else xxhash.xxh64_intdigest(word, self.seed) | 1
+        return h
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-def _map_of(frequent: DataFrame) -> bytes:
-    """A bit map of the (lang, phrase) rows; at most MAX_MAP_BITS reach the driver."""
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return (h[:-1] * FIRST + h[1:] * SECOND) >> np.uint64(1)
+
+
+def _map_of(frequent: DataFrame) -> np.ndarray:
+    """A bit map of the (lang, phrase) rows, phrases of one or of two words; at most MAX_MAP_BITS reach the driver."""
     bits = min(MAX_MAP_BITS, max(1 << 16, 1 << (BITS_EACH * frequent.count()).bit_length()))
-    spot = F.pmod(F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")), F.lit(bits))
-    words = frequent.select(spot.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("mask")).toArrow()
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, _Hashes] = {}
+        for batch in batches:
+            got = []
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
+                words = phrase.encode().split(b" ")
+                h = _of(hashes, lang).of(words)
+                got.append(int((h if len(words) == 1 else _pairs(h))[0]) % bits)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], ["h"])
+
+    found = frequent.select("lang", "phrase").mapInArrow(spots, "h long")
+    words = found.groupBy(F.floor(F.col("h") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("mask")).toArrow()
     out = np.zeros(bits // 64, "<i8")
     out[words.column("at").to_numpy()] = words.column("mask").to_numpy()
-    return out.tobytes()
+    return out.view(np.uint8)
+
+
+def _of(hashes: dict[str, _Hashes], lang: str) -> _Hashes:
+    if lang not in hashes:
+        if len(hashes) >= 64:
+            hashes.clear()
+        hashes[lang] = _Hashes(lang)
+    return hashes[lang]
 
 
-def _phrases(words: list[bytes], length: int, known: _Frequent | None) -> Iterator[bytes | tuple[bytes, ...]]:
+def _phrases(words: list[bytes], length: int, hashes: _Hashes, bits: np.ndarray | None) -> Iterator[bytes | tuple[bytes, ...]]:
+    """The phrases of that many words within pieces whose two parts, one word shorter, are in the map."""
     if length == 1:
-        return filter(_END.__ne__, words)
-    if length == 2:
-        ok = [known[w] for w in words]
-        return compress(zip(words, words[1:]), (x and y for x, y in zip(ok, ok[1:])))
-    ok = [known[p] for p in zip(words, words[1:])]
-    return compress(zip(words, words[1:], words[2:]), (x and y for x, y in zip(ok, ok[1:])))
+        return iter(words)
+    if len(words) < length:
+        return iter(())
+    of_words = hashes.of(words)
+    h = (of_words if length == 2 else _pairs(of_words)) & np.uint64(8 * len(bits) - 1)
+    may = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+    ok = (may[:-1] & may[1:]).astype(bool)
+    for k in range(length):
+        ok &= of_words[k : len(words) - length + 1 + k] != 0
+    return compress(zip(*(words[k:] for k in range(length))), ok.tolist())
 
 
 def counted(docs: DataFrame, length: int, frequent: DataFrame | None = None) -> DataFrame:
     """(lang, phrase, a) of all phrases of that many words whose parts may be frequent; docs has (lang, text)."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_map_of(frequent)) if frequent is not None else None
+    told = spark.sparkContext.broadcast(_map_of(frequent)) if frequent is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
-        known: dict[str, _Frequent] = {}
+        hashes: dict[str, _Hashes] = {}
+        bits, held = told.value if told is not None else None, 0
 
         def sent() -> pa.RecordBatch:
-            langs = [x for x, c in counts.items() for _ in range(len(c))]
-            phrases = [(b" ".join(p) if length > 1 else p).decode() for c in counts.values() for p in c]
+            langs = [pa.nulls(0, pa.string()), *(pa.repeat(pa.scalar(x, pa.string()), len(c)) for x, c in counts.items())]
+            phrases = [p for c in counts.values() for p in (map(b" ".join, c) if length > 1 else c)]
             n = [x for c in counts.values() for x in c.values()]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(langs), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
 
         for batch in batches:
             langs, texts = batch.column("lang"), batch.column("text")
             for k in range(batch.num_rows):
                 lang = langs[k].as_py()
-                if bits is not None and lang not in known:
-                    known[lang] = _Frequent(lang, bits.value)
+                mine = counts[lang]
                 for words in segments(texts[k].as_py()):
-                    counts[lang].update(_phrases(words, length, known.get(lang)))
-                    if sum(map(len, counts.values())) > HELD_COUNTS:
+                    held -= len(mine)
+                    mine.update(_phrases(words, length, _of(hashes, lang), bits))
+                    if length == 1:
+                        mine.pop(_END, None)
+                    held += len(mine)
+                    if held > HELD_COUNTS:
                         yield sent()
+                        mine, held = counts[lang], 0
         if counts:
             yield sent()
 
