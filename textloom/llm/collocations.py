@@ -34,7 +34,7 @@ LEAST_COUNT, ABSORBED = 10, 50
 #: Bits of a map of frequent phrases at most, and for each phrase.
 MAX_MAP_BITS, BITS_EACH = 1 << 26, 16
 #: Counts that a task holds before it sends them on; bytes of text that it cuts into words at once; words whose hash it remembers.
-HELD_COUNTS, SEGMENT, REMEMBERED = 200_000, 1 << 20, 1 << 18
+HELD_COUNTS, SEGMENT, REMEMBERED = 160_000, 1 << 20, 1 << 16
 #: Odd factors that mix the hashes of a pair's words.
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
