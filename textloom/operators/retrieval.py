@@ -68,18 +68,21 @@ def filled(first: DataFrame, then: DataFrame, limit: int = LEG_LIMIT) -> DataFra
 
 def phrase_leg(chunks: DataFrame, phrases: DataFrame, limit: int = PHRASE_LIMIT) -> DataFrame:
     """Chunks that hold a phrase (question_id, phrase) letter by letter in any case, in text order. The equality key is the phrase's second word
-    (of three letters or more), which stands whole wherever the phrase does; for phrases without one it is their first three characters, and
-    chunks are then keyed by all their runs of three. Phrases of under three characters find nothing."""
+    (of three letters or more), which stands whole wherever the phrase does. For phrases without one it is the words between blanks that hold the
+    phrase's longest piece between blanks: these are looked up among the distinct words of all chunks, so that only those are cut into runs of
+    characters. Phrases of under three characters, or of blanks, find nothing."""
     words = F.regexp_extract_all(F.lower("phrase"), F.lit("(?<![a-z0-9])[a-z0-9]{3,}(?![a-z0-9])"), 0)
     keyed = phrases.withColumn("low", F.lower("phrase")).withColumn("word", F.get(words, F.lit(1)))
     body = chunks.select("doc", "ord", F.lower("text").alias("body"))
     # Keys are exploded without the texts; those where a key was met are read again.
     at = body.select("doc", "ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]{3,}"), 0))).alias("key"))
     met = at.join(keyed.where("word is not null").select(F.col("word").alias("key"), "question_id", "low"), "key")
-    short = keyed.where("word is null and length(low) >= 3").select(F.substring("low", 1, 3).alias("key"), "question_id", "low")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - 2), lambda i: F.substring(F.col("body"), i, F.lit(3))))
-    runs = body.where("length(body) >= 3").select("doc", "ord", F.explode(runs).alias("key")).join(short.select("key").distinct(), "key", "left_semi")
-    met = met.unionByName(runs.join(short, "key")).select("doc", "ord", "question_id", "low").distinct()
+    longest = F.expr("aggregate(split(low, ' '), '', (a, x) -> if(length(x) > length(a), x, a))")
+    short = keyed.where("word is null and length(low) >= 3").select("question_id", "low", longest.alias("piece")).where("piece <> ''").withColumn("key", F.substring("piece", 1, 3))
+    parts = body.select("doc", "ord", F.explode(F.array_distinct(F.split("body", " "))).alias("part"))
+    runs = F.array_distinct(F.expr("flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, 3), n -> substring(part, i, n))))"))
+    holding = parts.select("part").distinct().where("part <> ''").select("part", F.explode(runs).alias("key")).join(short, "key").where(F.contains("part", "piece")).select("part", "question_id", "low").distinct()
+    met = met.select("doc", "ord", "question_id", "low").unionByName(parts.join(holding, "part").select("doc", "ord", "question_id", "low")).distinct()
     rows = met.join(body, ["doc", "ord"]).where(F.contains("body", "low")).select("question_id", "doc", "ord").distinct()
     return _ranked(rows, [F.col("doc"), F.col("ord")], limit)
 
