@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..functions.quote_stream import QUOTE_LIMIT
 from ..sources import files as S
 from ..sources.tables import read
+from ..streaming import answers as A
 from ..streaming import quotes as Q
 
 
@@ -35,24 +36,92 @@ def quote_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.parsed(_messages(spark, sf_dir)).select("msg_id", F.col("seq").cast("long").alias("seq"), "type", "tag", "text", "reason")
 
 
+def _pieces(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The messages in pieces of 23 characters, written to a folder; a message of no text has one empty piece."""
+    rows = _messages(spark, sf_dir).select("msg_id", F.posexplode(F.expr("transform(sequence(0, length(text) - 1, 23), i -> substring(text, i + 1, 23))")).alias("seq", "delta"), F.ceil(F.length("text") / 23).alias("n"))
+    rows = rows.select("msg_id", "seq", "delta", (F.col("seq") == F.col("n") - 1).alias("last"))
+    rows.write.parquet(f"{root}/deltas")
+    return rows
+
+
 def quote_events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages in pieces of 23 characters through Structured Streaming, to the events' table and back; neighbouring
     text events are joined."""
     from ..sources.scratch import folder
 
     root = f"{folder(spark)}/quote-stream-{uuid.uuid4().hex}"
-    rows = _messages(spark, sf_dir).select("msg_id", F.posexplode(F.expr("transform(sequence(0, length(text) - 1, 23), i -> substring(text, i + 1, 23))")).alias("seq", "delta"), F.ceil(F.length("text") / 23).alias("n"))
-    rows = rows.select("msg_id", "seq", "delta", (F.col("seq") == F.col("n") - 1).alias("last"))
-    rows.write.parquet(f"{root}/deltas")
+    rows = _pieces(spark, sf_dir, root)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/deltas")
     query = Q.streamed(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    events = spark.read.schema(Q.EVENTS).parquet(f"{root}/events")
-    per = events.groupBy("msg_id").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "text"))).alias("e"))
+    return _joined_events(spark.read.schema(Q.EVENTS).parquet(f"{root}/events"))
+
+
+def _joined_events(events: DataFrame, order: str = "seq") -> DataFrame:
+    per = events.groupBy("msg_id").agg(F.sort_array(F.collect_list(F.struct(order, "type", "text"))).alias("e"))
     text = F.array_join(F.transform(F.filter("e", lambda x: x["type"] == "text"), lambda x: x["text"]), "")
     return per.select("msg_id", F.md5(text).alias("text"), F.array_join(F.transform(F.filter("e", lambda x: x["type"] != "text"), lambda x: x["type"]), ",").alias("events"))
 
 
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the messages' pieces send, as a sink has written it; those of nothing found end early."""
+    from ..sources.scratch import folder
+
+    root = f"{folder(spark)}/answers-{uuid.uuid4().hex}"
+    rows = _pieces(spark, sf_dir, root)
+    if (none := _none_read(spark, f"{root}/deltas", A.SENT)) is not None:
+        return none
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/deltas")
+    query = A.sent(stream, escalate=True).writeStream.foreachBatch(A.table_sink(f"{root}/sent")).option("checkpointLocation", f"{root}/state").trigger(processingTime="200 milliseconds").start()
+    A.drained(query, spark.read.parquet(f"{root}/deltas").count())
+    return A.received(spark, f"{root}/sent")
+
+
+def _none_read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """An empty frame if the folder's table has no rows: a stream over it would send nothing and write no table."""
+    return spark.createDataFrame([], f"{schema}, batch_id long") if spark.read.parquet(path).isEmpty() else None
+
+
+def sent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered events of each message: whether the numbers have no gap, and the kinds in order; one done or escalated, at the end."""
+    rows = _sent(spark, sf_dir)
+    counts = rows.groupBy("msg_id").agg(F.max("id").alias("most"), F.count_distinct("id").alias("n"), F.count("id").alias("m"))
+    told = _joined_events(rows.where("id is not null"), "id").join(counts, "msg_id")
+    return told.select("msg_id", "text", "events", ((F.col("most") == F.col("n")) & (F.col("n") == F.col("m"))).alias("gapless"))
+
+
+def escalated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that ended early, each asked anew of the whole document of its conversation's number, in windows, with the deterministic extractor."""
+    from ..operators import scan as N
+    from ..operators import structure as S
+    from .document_queries import _docs
+    from .structure_queries import document_chunks, lengths
+
+    docs = _docs(spark, sf_dir)
+    stopped = A.escalated(_sent(spark, sf_dir)).withColumn("doc", F.floor(F.col("msg_id") / 1000))
+    turns = _messages(spark, sf_dir).select("msg_id", F.substring("text", 15, 60).alias("text"))
+    questions = stopped.join(docs.select("doc"), "doc").join(turns, "msg_id").select(F.col("msg_id").alias("question_id"), "doc", "text")
+    _, account = N.scan(S.windows(document_chunks(spark, sf_dir), lengths(spark, sf_dir), 1500), docs, questions, N.sentence_picker)
+    return account.select(F.col("question_id").alias("msg_id"), "doc", "n_windows", "n_failed")
+
+
+def saved_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as states of their users' messages, saved through a stream with timers; of what was saved, the latest."""
+    from ..sources.scratch import folder
+
+    root = f"{folder(spark)}/saved-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events", "event_id", "user_id", "props").select(F.col("user_id").alias("msg_id"), F.col("event_id").cast("int").alias("seq"), F.col("props").alias("content"))
+    ends = rows.groupBy(F.col("msg_id").alias("m")).agg(F.max("seq").alias("end"))
+    rows = rows.join(ends, F.col("msg_id").eqNullSafe(F.col("m"))).select("msg_id", "seq", "content", (F.col("seq") == F.col("end")).alias("last"))
+    rows.write.parquet(f"{root}/states")
+    if (none := _none_read(spark, f"{root}/states", A.FLUSHED)) is not None:
+        return none.select("msg_id", "content", F.col("seq").cast("long").alias("seq"))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/states")
+    query = A.saved(stream).writeStream.foreachBatch(A.table_sink(f"{root}/saved")).option("checkpointLocation", f"{root}/state").trigger(processingTime="200 milliseconds").start()
+    A.drained(query, spark.read.parquet(f"{root}/states").count())
+    return Q.latest_state(A.received(spark, f"{root}/saved", A.FLUSHED)).withColumn("seq", F.col("seq").cast("long"))
+
+
 def quote_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.citations_first(Q.parsed(_messages(spark, sf_dir)))
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
@@ -153,7 +222,7 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quote_events, quote_events_streamed, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines, word_rows,
+    quote_events, quote_events_streamed, sent_answers, escalated_findings, saved_states, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines, word_rows,
 )}
 
 _MESSAGES = """SELECT conv_id * 1000 + turn AS m, k % 7 = 0 AS s, k % 5 = 0 AS broken, substring(t, 1, 40) AS a, CASE WHEN k % 3 = 0 THEN substring(t, 41) ELSE substring(t, 41, 40) END AS q, CASE WHEN k % 3 = 0 THEN '' ELSE substring(t, 81) END AS z
@@ -164,6 +233,8 @@ _EVENTS = f"""SELECT m, 0 AS o, 'not_found' AS type, NULL AS tag, NULL AS text,
 SQL = {
     "quote_events": f"SELECT m AS msg_id, row_number() OVER (PARTITION BY m ORDER BY o) - 1 AS seq, type, tag, text, reason FROM ({_EVENTS})",
     "quote_events_streamed": f"""SELECT m AS msg_id, md5(a || CASE WHEN broken THEN '' ELSE z END) AS text, CASE WHEN s THEN 'not_found,' ELSE '' END || CASE WHEN broken OR over THEN 'quote_open,quote_abandoned' ELSE 'quote_open,quote' END AS events FROM ({_QUOTES})""",
+    "sent_answers": f"""SELECT m AS msg_id, md5(CASE WHEN s THEN '' ELSE a || CASE WHEN broken THEN '' ELSE z END END) AS text, CASE WHEN s THEN 'not_found,escalated' WHEN broken OR over THEN 'quote_open,quote_abandoned,done' ELSE 'quote_open,quote,done' END AS events, true AS gapless FROM ({_QUOTES})""",
+    "saved_states": "SELECT user_id AS msg_id, arg_max(props, event_id) AS content, max(event_id) AS seq FROM events GROUP BY 1",
     "quote_event_order": f"""WITH e AS (SELECT m, o, type, 0 AS h FROM ({_EVENTS}) WHERE type <> 'quote' UNION ALL SELECT m, o, 'citation', 0 FROM ({_EVENTS}) WHERE type = 'quote' UNION ALL SELECT m, o, 'mark', 1 FROM ({_EVENTS}) WHERE type = 'quote'),
         p AS (SELECT type, row_number() OVER (PARTITION BY m ORDER BY o, h) - 1 AS p FROM e) SELECT type, count(*) AS n, CAST(sum(p) AS BIGINT) AS places FROM p GROUP BY type""",
     "events_until_done": """WITH d AS (SELECT user_id AS m, min(event_id) FILTER (WHERE event_type = 'error' AND event_id % 9 = 0) AS f FROM events GROUP BY 1)

@@ -30,9 +30,10 @@ def parsed(messages: DataFrame) -> DataFrame:
     return messages.select(F.col("msg_id").cast("long").alias("msg_id"), "text").transform(shipped).mapInArrow(run, EVENTS)
 
 
-def streamed(deltas: DataFrame, idle: str | None = None) -> DataFrame:
+def streamed(deltas: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Events of a stream of pieces (msg_id, seq, delta, last). Pieces of a message may come in any order and over several
-    micro-batches: one that is early waits in the state until those before it have come. A message's state goes with its last piece."""
+    micro-batches: one that is early waits in the state until those before it have come. A message's state goes with its last piece, or
+    with ``idle_ms``, which a stream without end needs, after so long without any piece: what is open is then abandoned as stopped."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
@@ -42,7 +43,10 @@ def streamed(deltas: DataFrame, idle: str | None = None) -> DataFrame:
         for frame in frames:
             for seq, delta, last in zip(frame["seq"], frame["delta"], frame["last"], strict=True):
                 held[str(int(seq))] = [delta, bool(last)]
-        rows, done = [], False
+        rows, done = [], state.hasTimedOut
+        for e in parser.end("stopped") if done else []:
+            rows.append((int(key[0]), event, e["type"], e.get("id"), e.get("tag"), e.get("text"), e.get("reason")))
+            event += 1
         while not done and str(piece) in held:
             delta, done = held.pop(str(piece))
             piece += 1
@@ -54,9 +58,11 @@ def streamed(deltas: DataFrame, idle: str | None = None) -> DataFrame:
             state.remove()
         else:
             state.update((*parser.state(), piece, event, json.dumps(held)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=_NAMES)
 
-    return deltas.groupBy("msg_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("msg_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def until_done(events: DataFrame, key: str = "msg_id", seq: str = "seq", done: str = "done") -> DataFrame:
