@@ -1,7 +1,9 @@
-"""Queries of leases, intake codes, labels of what was read, notices, rendered spans, built citations and results that fit."""
+"""Queries of leases, intake codes, labels of what was read, notices, rendered spans and markup, built citations, results that fit and tables rewritten in part."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from ..operators import structure as S
 from ..operators import tools as T
 from ..operators import verification as V
 from ..sources import files
-from ..sources.tables import read
+from ..sources.files import BULLET, html_text, rendered, spans_of
+from ..sources.scratch import folder
+from ..sources.tables import read, rewrite_documents, write_partitioned
 from .relational_queries import _JOBS, _jobs, _now
 
 
@@ -89,7 +93,43 @@ def fitted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("l_orderkey", F.col("f.kept").cast("long").alias("kept"), "f.truncated", "f.json")
 
 
-QUERIES = {f.__name__: f for f in (queue_heartbeat, queue_complete, intake_split, documents_without_text, touched_sections, answer_notices, rendered_spans, built_citations, fitted_results)}
+def rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of all documents' digests; then a tenth is derived anew, twice, as after a run that was cut off."""
+    path = f"{folder(spark)}/rewritten-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").where("doc_id is not null")
+    write_partitioned(docs.select("doc_id", F.md5("text").alias("digest")), path, "doc_id")
+    fresh = docs.where("doc_id % 10 = 3").select("doc_id", F.md5(F.concat("text", F.lit("!"))).alias("digest"))
+    for _ in range(2):
+        rewrite_documents(spark, path, fresh)
+    return spark.read.parquet(path).select("doc_id", "digest")
+
+
+def _turn_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as paragraphs: numbered, bulleted and plain ones."""
+    k = F.col("turn") % 4
+    label = F.when(k == 0, F.concat(F.lit("<"), F.col("turn").cast("string"), F.lit(".>"))).when(k == 1, BULLET)
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.struct("turn", "role", "text").alias("ord"), F.lit("p").alias("tag"), label.alias("label"), "text")
+
+
+def _offsets(paragraphs: DataFrame) -> DataFrame:
+    """Of each document's markup, read back: spans, characters, and how many spans show something else than the text has at their offset."""
+    rows = rendered(paragraphs)
+    spans = spans_of(rows.select("doc", "ord", "html")).join(rows.select("doc", "ord", F.col("start").alias("from"), "text"), ["doc", "ord"])
+    wrong = F.substring("text", (F.col("start") - F.col("from") + 1).cast("int"), F.col("length")) != F.col("shown")
+    return spans.groupBy("doc").agg(F.count("*").alias("n_spans"), F.sum("length").alias("n_chars"), F.sum(F.col("start")).alias("starts"), F.count_if(wrong).alias("n_wrong"))
+
+
+def turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offsets(_turn_paragraphs(spark, sf_dir))
+
+
+def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every page."""
+    blocks = html_text(read(spark, sf_dir, "pages", "page_id", "html"))
+    return _offsets(blocks.select(F.col("page_id").alias("doc"), "ord", "tag", F.lit(None).cast("string").alias("label"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (queue_heartbeat, queue_complete, intake_split, documents_without_text, touched_sections, answer_notices, rendered_spans, built_citations, fitted_results, rewritten_documents, turn_offsets, page_offsets)}
 
 SQL = {
     "queue_heartbeat": f"""SELECT job_id, strftime(CASE WHEN job_id % 3 = 0 AND status = 'running' THEN TIMESTAMP '2024-01-15 00:02:00' ELSE locked_until END, '%Y-%m-%d %H:%M:%S') AS locked_until, CASE WHEN job_id % 3 = 0 THEN status = 'running' END AS alive FROM ({_JOBS})""",
@@ -108,6 +148,11 @@ SQL = {
     "built_citations": """WITH d AS (SELECT doc_id AS k, doc_id % 40 AS a, text AS t, (['verified', 'unverified', 'abandoned', 'verified_close', 'misattributed'])[doc_id % 5 + 1] AS s FROM documents WHERE length(text) >= 200),
         c AS (SELECT k, s, CASE WHEN k % 3 = 0 THEN [substring(t, CAST(a + 1 AS BIGINT), 20), substring(t, CAST(a + 61 AS BIGINT), 25)] WHEN k % 2 = 0 THEN [substring(t, CAST(a + 1 AS BIGINT), 30)] ELSE [substring(t, CAST(a + 51 AS BIGINT), 30)] END AS w FROM d)
         SELECT k AS quote_id, CASE WHEN s = 'abandoned' THEN 'unverified' ELSE s END AS status, CASE WHEN s IN ('verified', 'verified_close') THEN array_to_string(list_transform(w, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), ' … ') END AS display FROM c""",
+    "rewritten_documents": "SELECT doc_id, md5(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS digest FROM documents",
+    "turn_offsets": """WITH c AS (SELECT conv_id AS doc, turn, role, text, CASE WHEN turn % 4 = 0 THEN length('<' || turn || '.> ') ELSE 0 END AS a, length(coalesce(text, '')) AS b FROM conversations),
+        v AS (SELECT *, CAST(coalesce(sum(a + b + 1) OVER (PARTITION BY doc ORDER BY turn, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM c WHERE a > 0 OR regexp_matches(text, '[^\\s]'))
+        SELECT doc, CAST(sum(CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_spans, CAST(sum(a + b) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN a > 0 THEN s ELSE 0 END + CASE WHEN b > 0 THEN s + a ELSE 0 END) AS BIGINT) AS starts, CAST(0 AS BIGINT) AS n_wrong
+        FROM v GROUP BY doc""",
     "fitted_results": """WITH i AS (SELECT l_orderkey AS o, l_linenumber AS n, '{"n":' || l_linenumber || ',"mode":"' || min(l_returnflag) || '"}' AS t FROM lineitem GROUP BY 1, 2), l AS (SELECT o, list(t ORDER BY n) AS t FROM i GROUP BY o),
         w AS (SELECT *, '{"order":' || o || ',"items":[' || array_to_string(t, ',') || ']}' AS whole FROM l), r AS (SELECT *, ',"truncated":true,"chars_available":' || length(whole) || '}' AS note FROM w),
         k AS (SELECT *, len(list_filter(range(1, len(t) + 1), lambda j: length('{"order":' || o || ',"items":[' || array_to_string(t[1:j], ',') || ']') + length(note) <= 130)) AS j FROM r)

@@ -212,6 +212,31 @@ def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", F.col("ord").cast("long").alias("ord"), F.col("start").cast("long").alias("start"), F.md5("text").alias("digest"), F.col("heading_level").cast("long").alias("heading_level"), "label", "error")
 
 
+def _packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations as Word files with lists: levels second, first, second, third in turn, so that the first paragraph has no ancestor; the first level in Roman
+    numbers, the second in legal style, the third bullets. Every third file's list starts at 5."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    level = lambda k, form, text, more="": f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{form}"/>{more}<w:lvlText w:val="{text}"/></w:lvl>'
+    lists = level(0, "upperRoman", "%1.") + level(1, "lowerLetter", "%1.%2", "<w:isLgl/>") + level(2, "bullet", "\uf0b7")
+    numbering = f'<w:numbering {w}><w:abstractNum w:abstractNumId="3">{lists}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="3"/></w:num>'
+    numbering += '<w:num w:numId="2"><w:abstractNumId w:val="3"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>'
+    for batch in batches:
+        made = []
+        for doc, n in zip(batch.column("doc").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            paragraph = lambda k: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{(1, 0, 1, 2)[k % 4]}"/><w:numId w:val="{1 if doc % 3 else 2}"/></w:numPr></w:pPr></w:p>'  # noqa: E731, B023
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/numbering.xml", numbering)
+                z.writestr("word/document.xml", f'<w:document {w}><w:body>{"".join(map(paragraph, range(n)))}</w:body></w:document>')
+            made.append(out.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(made, pa.binary())], ["doc", "content"])
+
+
+def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.count("*").cast("int").alias("n"))
+    return S.word_rows(sizes.mapInArrow(_packed_lists, "doc long, content binary")).select("doc", F.col("ord").cast("long").alias("ord"), "label")
+
+
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines from items: order lines as items, two to a visual line."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
@@ -222,7 +247,7 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quote_events, quote_events_streamed, sent_answers, escalated_findings, saved_states, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines, word_rows,
+    word_labels, quote_events, quote_events_streamed, sent_answers, escalated_findings, saved_states, quote_event_order, events_until_done, latest_flush, tool_dispatch, loose_json, result_envelopes, clean_filenames, intake_errors, file_kinds, html_lines, canonical_offsets, item_lines, word_rows,
 )}
 
 _MESSAGES = """SELECT conv_id * 1000 + turn AS m, k % 7 = 0 AS s, k % 5 = 0 AS broken, substring(t, 1, 40) AS a, CASE WHEN k % 3 = 0 THEN substring(t, 41) ELSE substring(t, 41, 40) END AS q, CASE WHEN k % 3 = 0 THEN '' ELSE substring(t, 81) END AS z
@@ -254,6 +279,8 @@ SQL = {
     "word_rows": """WITH t AS (SELECT conv_id AS doc, coalesce(text, '') AS t, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
         SELECT doc, k AS ord, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, md5(t) AS digest, CASE WHEN role = 'assistant' THEN 3 END AS heading_level, '(' || (k + 2) || ')' AS label, NULL AS error FROM t WHERE doc % 9 <> 0
         UNION ALL SELECT DISTINCT doc, NULL, NULL, NULL, NULL, NULL, 'damaged' FROM t WHERE doc % 9 = 0""",
+    "word_labels": f"""WITH t AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id) - 1 AS k FROM conversations), b AS (SELECT doc, k, k // 4 AS b, CASE WHEN doc % 3 = 0 THEN 5 ELSE 2 END AS s FROM t)
+        SELECT doc, k AS ord, CASE k % 4 WHEN 0 THEN (s - 1 + b) || CASE WHEN b = 0 THEN '.1' ELSE '.2' END WHEN 1 THEN ({[S.roman(n).upper() for n in range(1, 121)]})[s + b] || '.' WHEN 2 THEN (s + b) || '.1' ELSE '{S.BULLET}' END AS label FROM b""",
     "item_lines": """WITH i AS (SELECT l_orderkey AS d, l_linenumber AS k, min(l_returnflag || l_linestatus) AS t FROM lineitem GROUP BY 1, 2), g AS (SELECT *, lag(k) OVER (PARTITION BY d ORDER BY k) AS before FROM i),
         f AS (SELECT *, CASE WHEN before = k - 1 AND k % 2 = 0 THEN 0 ELSE 1 END AS fresh FROM g), l AS (SELECT *, sum(fresh) OVER (PARTITION BY d ORDER BY k) AS line FROM f), j AS (SELECT d, line, string_agg(CASE WHEN fresh = 0 AND d % 2 = 0 THEN ' ' || t ELSE t END, '' ORDER BY k) AS text FROM l GROUP BY 1, 2)
         SELECT text, count(*) AS n FROM j GROUP BY text""",

@@ -126,39 +126,61 @@ def number_text(n: int, form: str) -> str:
         return text.upper() if form == "upperLetter" else text
     if form in ("lowerRoman", "upperRoman"):
         return roman(n).upper() if form == "upperRoman" else roman(n)
-    return {"decimalZero": f"{n:02d}", "bullet": "", "none": ""}.get(form, str(n))
+    return {"decimalZero": f"{n:02d}", "none": ""}.get(form, str(n))
+
+
+#: Fixed value: the label of every bullet, whatever its font's character.
+BULLET = "•"
 
 
 class Numbering:
-    """Labels of automatically numbered paragraphs. A list's counters belong to its abstract definition; a paragraph of one level
-    starts the deeper ones anew."""
+    """Labels of automatically numbered paragraphs. Counters belong to a list's abstract definition; a paragraph of one level starts the deeper ones
+    anew, and levels above it that have not come yet stand at their start. What a list overrides holds from its first use."""
 
     def __init__(self, xml: bytes | None) -> None:
-        self.levels: dict[str, dict[int, tuple[int, str, str]]] = {}
+        self.levels: dict[str, dict[int, tuple[int, str, str, bool]]] = {}
         self.abstract: dict[str, str] = {}
-        self.first: dict[tuple[str, int], int] = {}
+        self.first: dict[str, dict[int, int]] = {}
         self.now: dict[str, dict[int, int]] = {}
         root = ElementTree.fromstring(xml) if xml else ElementTree.Element("none")
         for a in root.iter(f"{_W}abstractNum"):
-            self.levels[a.get(f"{_W}abstractNumId")] = {int(v.get(f"{_W}ilvl")): (int(_val(v, "start") or 1), _val(v, "numFmt") or "decimal", _val(v, "lvlText") or "") for v in a.iter(f"{_W}lvl")}
+            self.levels[a.get(f"{_W}abstractNumId")] = {
+                int(v.get(f"{_W}ilvl")): (int(_val(v, "start") or 1), _val(v, "numFmt") or "decimal", _val(v, "lvlText") or "", v.find(f"{_W}isLgl") is not None and _val(v, "isLgl") not in ("0", "false", "off")) for v in a.iter(f"{_W}lvl")
+            }
         for n in root.iter(f"{_W}num"):
             name = n.get(f"{_W}numId")
             self.abstract[name] = _val(n, "abstractNumId")
-            for o in n.iter(f"{_W}lvlOverride"):
-                if (s := _val(o, "startOverride")) is not None:
-                    self.first[name, int(o.get(f"{_W}ilvl"))] = int(s)
+            starts = ((int(o.get(f"{_W}ilvl")), _val(o, "startOverride")) for o in n.iter(f"{_W}lvlOverride"))
+            self.first[name] = {level: int(s) for level, s in starts if s is not None}
+
+    @staticmethod
+    def _put(counters: dict[int, int], level: int, value: int) -> None:
+        counters[level] = value
+        for deeper in [k for k in counters if k > level]:
+            del counters[deeper]
 
     def label(self, num: str | None, level: int) -> str | None:
-        levels = self.levels.get(self.abstract.get(num or "", ""), {})
+        abstract = self.abstract.get(num or "0") if num != "0" else None
+        levels = self.levels.get(abstract, {})
         if level not in levels:
             return None
-        counters = self.now.setdefault(self.abstract[num], {})
-        start = self.first.pop((num, level), None)
-        counters[level] = start if start is not None else counters.get(level, levels[level][0] - 1) + 1
-        for deeper in [k for k in counters if k > level]:
-            del counters[deeper]
-        put = lambda m: number_text(counters.get(int(m.group(1)) - 1, levels.get(int(m.group(1)) - 1, (1, "", ""))[0]), levels.get(int(m.group(1)) - 1, (1, "decimal", ""))[1])
-        return re.sub(r"%(\d)", put, levels[level][2]) or None
+        counters = self.now.setdefault(abstract, {})
+        for overridden, start in self.first.pop(num, {}).items():
+            self._put(counters, overridden, start - 1)
+        self._put(counters, level, counters.get(level, levels[level][0] - 1) + 1)
+        start_of = lambda k: levels[k][0] if k in levels else 1
+        for above in range(level):
+            counters.setdefault(above, start_of(above))
+        _, form, text, legal = levels[level]
+        if form == "bullet":
+            return BULLET
+
+        def number(found: re.Match) -> str:
+            k = int(found.group(1)) - 1
+            own = "decimal" if legal or k not in levels or levels[k][1] == "bullet" else levels[k][1]
+            return number_text(counters.get(k, start_of(k)), own)
+
+        return re.sub(r"%(\d)", number, text).strip() or None
 
 
 def _val(node: ElementTree.Element, name: str) -> str | None:
@@ -302,3 +324,43 @@ def canonical(paragraphs: DataFrame) -> DataFrame:
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     rows = paragraphs.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
     return rows.select("doc", "ord", "start", "end", F.concat(F.lit("<"), "tag", F.lit(' data-o="'), F.col("start").cast("string"), F.lit('">'), safe, F.lit("</"), "tag", F.lit(">")).alias("html"))
+
+
+def _escaped(text: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for char, name in (("'", "&#39;"), ('"', "&quot;"), (">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def rendered(paragraphs: DataFrame) -> DataFrame:
+    """(doc, ord, start, end, text, html) of paragraphs (doc, ord, tag, label, text): the canonical text and its markup from one model, so that every
+    canonical character stands in exactly one span that carries the offset of its first.
+
+    A label that is not a bullet is part of the text, with a blank behind it; bullets are shown but are no text. Paragraphs without either are left out: they
+    have no place in the text. A null text is empty, a null label none. The running length is per document, like ``canonical``'s.
+    """
+    label = F.when((F.col("label") != BULLET) & (F.col("label") != ""), F.concat("label", F.lit(" "))).otherwise("")
+    rows = paragraphs.select("doc", "ord", "tag", F.coalesce("text", F.lit("")).alias("body"), F.coalesce(label, F.lit("")).alias("lead"), F.coalesce(F.col("label") == BULLET, F.lit(False)).alias("bullet"))
+    rows = rows.where((F.col("lead") != "") | F.col("body").rlike(r"\S"))
+    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("lead") + F.length("body")
+    rows = rows.withColumn("start", F.coalesce(F.sum(size + 1).over(w), F.lit(0)))
+    span = lambda at, text, more: F.concat(F.lit(f'<span{more} data-o="'), at.cast("string"), F.lit('">'), _escaped(text), F.lit("</span>"))
+    lead = F.when(F.col("bullet"), f'<span aria-hidden="true" class="bullet">{BULLET}</span>').when(F.col("lead") != "", span(F.col("start"), F.col("lead"), ' class="num"')).otherwise("")
+    body = F.when(F.col("body") != "", span(F.col("start") + F.length("lead"), F.col("body"), "")).otherwise("")
+    html = F.concat(F.lit("<"), "tag", F.when(F.col("bullet"), ' class="bulleted"').otherwise(""), F.lit(">"), lead, body, F.lit("</"), "tag", F.lit(">"))
+    return rows.select("doc", "ord", "start", (F.col("start") + size).alias("end"), F.concat("lead", "body").alias("text"), html.alias("html"))
+
+
+def spans_of(html: DataFrame) -> DataFrame:
+    """(doc, ord, start, node, length, shown): the spans with an offset in markup (doc, ord, html), read back from the markup alone, numbered from 0 in each row."""
+    pattern = r'<span[^>]* data-o="(\d+)">([^<]*)</span>'
+    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("at"), F.regexp_extract_all("html", F.lit(pattern), 2).alias("raw"))
+    rows = html.select("doc", "ord", F.posexplode(pairs).alias("node", "x")).select("doc", "ord", F.col("x.at").cast("long").alias("start"), "node", _unescaped(F.col("x.raw")).alias("shown"))
+    return rows.select("doc", "ord", "start", "node", F.length("shown").alias("length"), "shown")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def scratch_table(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder and read back: what is above is not computed again, and no executor's loss takes it."""
+    path = f"{folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
