@@ -38,6 +38,10 @@ DOCS_PER_BUCKET = 1000
 RUN = 4096
 #: Sources whose bounds are broadcast at most: 17 rows for each, a few MB in all.
 MAX_BROADCAST_SOURCES = 4096
+#: Rounds of a permutation; times that a number outside its range goes on: the share of such numbers is below 1 / sqrt(n) each time.
+ROUNDS, WALK = 8, 64
+#: Documents of so many blocks or fewer are cut at their blanks; longer ones by a list of their words.
+FEW_BLOCKS = 8
 #: Draws are numbers below 2^DRAW_BITS.
 DRAW_BITS = 40
 
@@ -80,25 +84,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 # ---- permutations and running sums
 
 
-def rounds_for(n: Column) -> Column:
-    """Six rounds for each binary digit of n, twelve at least."""
-    return F.greatest(F.lit(12), F.length(F.bin(n.cast("long"))) * 6).cast("int")
-
-
 def permuted(i: Column, n: Column, key: Column, *, back: bool = False) -> Column:
-    """Swap-or-not shuffle: a pseudorandom permutation of 0..n-1 for any n, chosen by key; with back, its inverse.
+    """A pseudorandom permutation of 0..n-1 for any n, chosen by key; with back, its inverse.
 
-    Every round pairs i with (k - i) mod n and swaps the two or not by a hash of the larger one and the round. A round
-    undoes itself, so the inverse runs the rounds from the last to the first.
+    A number is a place in a grid of about sqrt(n) by sqrt(n), by column and row. In turn one of the two is moved on by a hash of the other, around the grid's edge; the
+    inverse moves back, from the last round to the first. The grid has fewer than sqrt(n) places too many: who lands on one goes on until it is below n.
     """
+    width = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    height = F.ceil(n / width).cast("long")
+
+    def turn(at: Column, r: Column) -> Column:
+        by = lambda other, size: F.pmod(F.xxhash64(key, r, other), size)
+        moved = lambda x, other, size: F.pmod(x - by(other, size) if back else x + by(other, size), size)
+        column, row = at["column"], at["row"]
+        return F.when(r % 2 == 0, F.struct(moved(column, row, width).alias("column"), row.alias("row"))).otherwise(F.struct(column.alias("column"), moved(row, column, height).alias("row")))
 
-    def turn(x: Column, r: Column) -> Column:
-        # The partner is worked out once: it stands in an array of one.
-        partner = F.array(F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n))
-        return F.get(F.transform(partner, lambda other: F.when(F.xxhash64(key, r, F.greatest(x, other)) % 2 == 0, x).otherwise(other)), F.lit(0))
+    def once(x: Column) -> Column:
+        rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+        return F.aggregate(rounds, F.struct((x % width).alias("column"), F.floor(x / width).alias("row")), turn, lambda at: at["row"] * width + at["column"])
 
-    rounds = rounds_for(n)
-    return F.aggregate(F.sequence(rounds, F.lit(1)) if back else F.sequence(F.lit(1), rounds), i, turn)
+    # Each number is worked out once: it stands in an array of one.
+    again = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    landed = F.transform(F.array(once(i)), lambda x: F.when(x < n, x).otherwise(again(x)))
+    return F.get(F.transform(landed, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation left its range")).cast("long"))), F.lit(0))
 
 
 def pass_key(skey: Column, turn: Column) -> Column:
@@ -147,14 +155,18 @@ def packed(rows: DataFrame, sizes: DataFrame, *, block: int = BLOCK_WORDS, docs_
     placed = placed.withColumn("size", words_in(F.col("said")))
     within = Window.partitionBy("skey", "bucket").orderBy("order_key", "id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["skey", "bucket"])
-    placed = placed.select("id", "skey", F.split("said", " ").alias("said"), (F.col("bucket_start") + F.col("in_bucket")).alias("start"), "size")
+    placed = placed.select("id", "skey", "said", (F.col("bucket_start") + F.col("in_bucket")).alias("start"), "size")
+    few = F.floor((F.col("start") + F.col("size") - 1) / block) - F.floor(F.col("start") / block) < FEW_BLOCKS
+    placed = placed.withColumn("list", F.when(~few, F.split("said", " ")))
     cut = f"""
         transform(sequence(start div {block}, (start + size - 1) div {block}), b -> named_struct(
             'block_no', b,
             'start', greatest(start - b * {block}, 0),
             'first_word', greatest(b * {block} - start, 0),
             'n_words', least(start + size, (b + 1) * {block}) - greatest(start, b * {block}),
-            'text', array_join(slice(said, cast(greatest(b * {block} - start, 0) as int) + 1, cast(least(start + size, (b + 1) * {block}) - greatest(start, b * {block}) as int)), ' ')))
+            'text', if(list is null,
+                substring_index(if((b + 1) * {block} < start + size, substring_index(said, ' ', cast((b + 1) * {block} - start as int)), said), ' ', -cast(least(start + size, (b + 1) * {block}) - greatest(start, b * {block}) as int)),
+                array_join(slice(list, cast(greatest(b * {block} - start, 0) as int) + 1, cast(least(start + size, (b + 1) * {block}) - greatest(start, b * {block}) as int)), ' '))))
     """
     pieces = placed.select("id", "skey", F.explode(F.expr(cut)).alias("p")).select("skey", "p.block_no", F.struct("p.start", "id", "p.first_word", "p.n_words", "p.text").alias("piece"))
     return pieces.groupBy("skey", "block_no").agg(F.sum("piece.n_words").alias("words"), F.sort_array(F.collect_list("piece")).alias("pieces"))
