@@ -19,7 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST_COUNT, ABSORBED = 10, 50
 #: Bits of a map of frequent phrases at most, and for each phrase.
 MAX_MAP_BITS, BITS_EACH = 1 << 26, 16
-#: Counts that a task holds before it sends them on; bytes of text that it cuts into words at once; words whose hash it remembers.
-HELD_COUNTS, SEGMENT, REMEMBERED = 160_000, 1 << 20, 1 << 16
+#: Counts that a task holds before it sends them on; bytes of text that it cuts into words at once.
+HELD_COUNTS, SEGMENT = 200_000, 1 << 20
 #: Odd factors that mix the hashes of a pair's words.
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -53,21 +53,13 @@ def segments(text: str | None) -> Iterator[list[bytes]]:
         at = end
 
 
-class _Hashes(dict):
-    """Hash of a word of a language, odd; 0 for the end of a piece. What was asked is remembered, up to a bound."""
+def _hashed(words: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of words (an array of bytes), the same in every process."""
+    return hash_array(words, categorize=False) ^ np.uint64(seed)
 
-    def __init__(self, lang: str) -> None:
-        super().__init__()
-        self.seed = xxhash.xxh32_intdigest(lang.encode())
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = 0 if word == _END else xxhash.xxh64_intdigest(word, self.seed) | 1
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _seed(lang: str) -> int:
+    return int(hash_array(np.array([lang.encode()], object), categorize=False)[0])
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -79,13 +71,11 @@ def _map_of(frequent: DataFrame) -> np.ndarray:
     bits = min(MAX_MAP_BITS, max(1 << 16, 1 << (BITS_EACH * frequent.count()).bit_length()))
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, _Hashes] = {}
         for batch in batches:
             got = []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                words = phrase.encode().split(b" ")
-                h = _of(hashes, lang).of(words)
-                got.append(int((h if len(words) == 1 else _pairs(h))[0]) % bits)
+                h = _hashed(np.array(phrase.encode().split(b" "), object), _seed(lang))
+                got.append(int((h if len(h) == 1 else _pairs(h))[0]) & (bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], ["h"])
 
     found = frequent.select("lang", "phrase").mapInArrow(spots, "h long")
@@ -95,26 +85,19 @@ def _map_of(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _of(hashes: dict[str, _Hashes], lang: str) -> _Hashes:
-    if lang not in hashes:
-        if len(hashes) >= 64:
-            hashes.clear()
-        hashes[lang] = _Hashes(lang)
-    return hashes[lang]
-
-
-def _phrases(words: list[bytes], length: int, hashes: _Hashes, bits: np.ndarray | None) -> Iterator[bytes | tuple[bytes, ...]]:
+def _phrases(words: list[bytes], length: int, seed: int, bits: np.ndarray | None) -> Iterator[bytes | tuple[bytes, ...]]:
     """The phrases of that many words within pieces whose two parts, one word shorter, are in the map."""
     if length == 1:
         return iter(words)
     if len(words) < length:
         return iter(())
-    of_words = hashes.of(words)
+    array = np.array(words, object)
+    inside, of_words = array != _END, _hashed(array, seed)
     h = (of_words if length == 2 else _pairs(of_words)) & np.uint64(8 * len(bits) - 1)
     may = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
     ok = (may[:-1] & may[1:]).astype(bool)
     for k in range(length):
-        ok &= of_words[k : len(words) - length + 1 + k] != 0
+        ok &= inside[k : len(words) - length + 1 + k]
     return compress(zip(*(words[k:] for k in range(length))), ok.tolist())
 
 
@@ -125,7 +108,6 @@ def counted(docs: DataFrame, length: int, frequent: DataFrame | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
-        hashes: dict[str, _Hashes] = {}
         bits, held = told.value if told is not None else None, 0
 
         def sent() -> pa.RecordBatch:
@@ -139,10 +121,10 @@ def counted(docs: DataFrame, length: int, frequent: DataFrame | None = None) ->
             langs, texts = batch.column("lang"), batch.column("text")
             for k in range(batch.num_rows):
                 lang = langs[k].as_py()
-                mine = counts[lang]
+                mine, seed = counts[lang], _seed(lang)
                 for words in segments(texts[k].as_py()):
                     held -= len(mine)
-                    mine.update(_phrases(words, length, _of(hashes, lang), bits))
+                    mine.update(_phrases(words, length, seed, bits))
                     if length == 1:
                         mine.pop(_END, None)
                     held += len(mine)
@@ -153,6 +135,9 @@ def counted(docs: DataFrame, length: int, frequent: DataFrame | None = None) ->
             yield sent()
 
     parts = docs.transform(shipped).mapInArrow(run, "lang string, phrase string, a long")
+    if length > 1:
+        # Tasks have combined what they can: most phrases are rare, so counts are summed behind the shuffle only.
+        parts = parts.repartition("lang", "phrase")
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
@@ -225,21 +210,26 @@ def _joined_runs(done: DataFrame, one: str, two: str, suffix: bool) -> DataFrame
     A run has one such word, pair and largest count, so the tables of them have a row for each run.
     """
     spark = done.sparkSession
-    words = F.split("phrase", " ")
-    pair = F.concat_ws(" ", F.slice(words, -2, 2)) if suffix else F.concat_ws(" ", F.slice(words, 1, 2))
     key = F.struct(*_order(suffix))
+    open_pair = F.when((F.col("length") == 3) & F.col(two).isNull(), F.col("a"))
     ends = done.groupBy("run").agg(
-        F.max_by("a", F.when(F.col("length") == 1, key)).alias("word"), F.max_by("a", F.when(F.col("length") == 2, key)).alias("pair"),
+        F.max_by("a", F.when(F.col("length") == 1, key)).alias("word"), F.max_by(F.struct("a", "lang", "phrase"), F.when(F.col("length") == 2, key)).alias("pair"), F.max(open_pair).alias("later"),
     ).orderBy("run").collect()
-    heads, word, two_words = [], None, None
+    # Triples that begin a run belong to the pair that an earlier run ended with: the last run that has one.
+    facts, word, pair, owner, later = {}, None, None, None, {}
     for r in ends:
-        heads.append((r["run"], word, two_words))
-        word, two_words = r["word"] or word, r["pair"] or two_words
-    heads = spark.createDataFrame(heads, "run int, open_word long, open_pair long")
-    # Triples that began a run: the pair before them is in an earlier run.
-    late = done.where((F.col("length") == 3) & F.col(two).isNull()).groupBy("lang", pair.alias("phrase")).agg(F.max("a").alias("later"))
-    told = done.join(F.broadcast(heads), "run").withColumn(one, F.when(F.col("length") > 1, F.coalesce(one, "open_word"))).withColumn(two, F.when(F.col("length") > 2, F.coalesce(two, "open_pair")))
-    told = told.join(F.broadcast(late), ["lang", "phrase"], "left").withColumn("longer", F.when(F.col("length") == 2, F.greatest("longer", "later")))
+        facts[r["run"]] = (word, pair["a"] if pair else None)
+        if r["later"] is not None and owner is not None:
+            later[owner] = max(later.get(owner, 0), r["later"])
+        word = r["word"] or word
+        if r["pair"]:
+            pair, owner = r["pair"], r["run"]
+    pairs = {r["run"]: r["pair"] for r in ends}
+    seams = [(k, *facts[k], pairs[k]["lang"] if k in later else None, pairs[k]["phrase"] if k in later else None, later.get(k)) for k in facts]
+    seams = spark.createDataFrame(seams, "run int, open_word long, open_pair long, last_lang string, last_pair string, later long")
+    told = done.join(F.broadcast(seams), "run").withColumn(one, F.when(F.col("length") > 1, F.coalesce(one, "open_word"))).withColumn(two, F.when(F.col("length") > 2, F.coalesce(two, "open_pair")))
+    is_last = F.coalesce((F.col("lang") == F.col("last_lang")) & (F.col("phrase") == F.col("last_pair")), F.lit(False))
+    told = told.withColumn("longer", F.when(F.col("length") == 2, F.greatest("longer", F.when(is_last, F.col("later")))))
     return told.select(*(f.split()[0] for f in _STREAM.split(", ")))
 
 
