@@ -135,9 +135,6 @@ def counted(docs: DataFrame, length: int, frequent: DataFrame | None = None) ->
             yield sent()
 
     parts = docs.transform(shipped).mapInArrow(run, "lang string, phrase string, a long")
-    if length > 1:
-        # Tasks have combined what they can: most phrases are rare, so counts are summed behind the shuffle only.
-        parts = parts.repartition("lang", "phrase")
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
