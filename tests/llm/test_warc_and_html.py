@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -62,6 +63,68 @@ def test_missing_segment_is_told(spark):
     assert [(r["payload_bytes"], r["complete"]) for r in W.read_archives(split).collect()] == [(9000, True)]
 
 
+def foreign(headers, block, length=True):
+    """A record as another writer would leave it: no page id, identifiers of its own."""
+    told = [("WARC-Date", "2021-01-01T00:00:00Z"), *headers, *([("Content-Length", len(block))] if length else [])]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in told).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def read(spark, *contents):
+    rows = W.read_archives(spark.createDataFrame([(str(k), c) for k, c in enumerate(contents)], "name string, content binary")).collect()
+    return sorted((r["url"] or "", r["record_type"], -1 if r["payload_bytes"] is None else r["payload_bytes"], r["complete"]) for r in rows)
+
+
+def test_archives_of_other_writers(spark):
+    body = b"<p>plain</p>" * 20
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    one = lambda url, kind, name, *more: [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Target-URI", url), *more]
+    parts = [
+        foreign(one("", "warcinfo", "0"), b"software: other\r\n"),
+        foreign(one("a", "request", "1"), b"GET / HTTP/1.1\r\n\r\n"),
+        foreign(one("b", "response", "2", ("WARC-Payload-Digest", sha1)), http),
+        foreign(one("c", "response", "3", ("WARC-Payload-Digest", "sha1:" + "A" * 32)), http),
+        foreign(one("d", "response", "4", ("WARC-Payload-Digest", "blake3:00")), http),
+        foreign(one("e", "response", "5", ("Content-Type", "text/dns")), b"dns answer"),
+        foreign(one("f", "revisit", "6", ("WARC-Refers-To", "<urn:uuid:2>"), ("WARC-Payload-Digest", sha1)), b"HTTP/1.1 200 OK\r\n\r\n"),
+        foreign(one("g", "revisit", "7", ("WARC-Payload-Digest", sha1)), b""),
+        foreign(one("h", "response", "8"), http, length=False),
+        foreign([("WARC-Type", "response"), ("WARC-Target-URI", "i\xe9")], b"no header"),
+        foreign(one("j", "request", "9", ("WARC-Segment-Number", 1)), b"GET"),
+        foreign([("WARC-Type", "continuation"), ("WARC-Record-ID", "<urn:uuid:10>"), ("WARC-Segment-Origin-ID", "<urn:uuid:9>"), ("WARC-Segment-Number", 2), ("WARC-Segment-Total-Length", 6)], b" /\r"),
+        foreign(one("k", "response", "11", ("WARC-Segment-Number", "first")), http),
+    ]
+    n = len(body)
+    want = [("b", "response", n, True), ("c", "response", n, False), ("d", "response", n, True), ("e", "response", 10, True), ("f", "revisit", n, True), ("g", "revisit", -1, False), ("h", "response", n, False), ("i\xe9", "response", -1, False), ("k", "response", n, False)]
+    assert read(spark, b"".join(parts)) == read(spark, b"".join(map(gzip.compress, parts))) == want
+    assert read(spark, None, b"", b"\r\n") == []
+
+
+def test_damaged_archives_are_read_as_far_as_they_go(spark):
+    pages_of = lambda k: b"".join(W.page_records(f"0-{k}", k, f"u{k}", b"z" * 500, hashlib.sha256(b"z" * 500).hexdigest(), None, 4000))
+    a, b, c = pages_of(1), pages_of(-2), pages_of(3)
+    good = [("u-2", "response", 500, True), ("u1", "response", 500, True), ("u3", "response", 500, True)]
+    assert read(spark, a + b + c) == good
+    # A member that is not gzip any more, one stretch of garbage, an archive that is none.
+    assert read(spark, a + b[:10] + b"\xff" * (len(b) - 10) + c) == [("", "damaged", -1, False), good[1], good[2]]
+    assert read(spark, a + b"garbage" + c) == [("", "damaged", -1, False), good[1], good[2]]
+    assert read(spark, b"no archive at all") == read(spark, b"\x1f\x8b\x08 none") == [("", "damaged", -1, False)]
+    # Cut off anywhere: never a crash, the first page always whole, nothing cut called complete.
+    plain = gzip.decompress(a + b)
+    one = len(gzip.decompress(a))
+    for cut in (len(a) + 1, len(a) + 40, len(a) + len(b) // 2, len(a) + len(b) - 12):
+        assert [r for r in read(spark, (a + b)[:cut]) if r[3]] in ([good[1]], good[:2])
+    for cut in range(one + 1, len(plain) - 4, 97):
+        assert [r for r in read(spark, plain[:cut]) if r[3]] == [good[1]]
+    # A length that is too short leaves the rest of the block over.
+    assert [r[1:] for r in read(spark, plain.replace(b"Content-Length: ", b"Content-Length: 1\r\nX: ", 1))] == [("damaged", -1, False), ("response", 500, True), ("response", -1, False)]
+    # A segment that is cut off, and one whose first part is gone.
+    parts = list(W.page_records("0-9", 9, "u9", b"z" * 9000, hashlib.sha256(b"z" * 9000).hexdigest(), None, 4000))
+    assert [r[3] for r in read(spark, b"".join(parts))] == [True]
+    assert [r[3] for r in read(spark, gzip.decompress(b"".join(parts))[:-200])] == [False]
+    assert [r[3] for r in read(spark, b"".join(parts[1:]))] == [False]
+
+
 @pytest.mark.parametrize("size", [1, 7, 4096])
 def test_chunks(size):
     for payload in (b"", b"a", b"0\r\n\r\n" * 50):
