@@ -162,6 +162,22 @@ def test_texts_that_differ_stay_beside_one_that_never_changes(spark):
     assert got == {i: f"Body number {i} of the page\n{'On most' if i else 'On one'}" for i in range(6)}
 
 
+def test_running_text_outweighs_names_and_lists_of_references_stay(spark):
+    say = lambda k, what: f"On day {k} the members met again and spoke of {what} until {k + 3} o'clock in the evening without a vote."
+    lists = lambda k: "".join(f"<li><a href=/r{k}{j}>Paper {k}{j}</a>" for j in range(5))
+    inside = (
+        "<html><body><article><p>{0}</p><div class='ad-hoc'><p>{1}</p></div><section class='newsletter-history'><p>{2}</p></section><div id='comments-on-policy'><p>{3}</p></div>"
+        "<div class='ad-top'>Buy {4}</div><div class='cookie-note-box'>We use {4}</div><div class='user-comments'><p>{5}</p></div></article><div id='comments-on-site'><p>{5}</p></div></body></html>"
+    )
+    plain = "<html><body><div><ul>" + "<li><a href=/>Part</a>" * 4 + "</ul></div><div><h1>Day {4}</h1><p>{0}</p><p>{1}</p><h2>Read {4}</h2><ul>{6}</ul></div><div><ul>{6}</ul></div></body></html>"
+    told = [[say(k, w) for w in ("roads", "a committee", "letters", "rules")] + [str(k), say(k, "nothing"), lists(k)] for k in range(10, 18)]
+    rows = [(k, f"http://a.example/{k}", inside.format(*t)) for k, t in enumerate(told)] + [(100 + k, f"http://b.example/{k}", plain.format(*t)) for k, t in enumerate(told)]
+    got = {r["page_id"]: r["text"].split("\n") for r in H.extract(pages(spark, rows)).collect()}
+    for k, t in enumerate(told):
+        assert got[k] == t[:4]
+        assert got[100 + k] == [f"Day {t[4]}", *t[:2], f"Read {t[4]}", *(f"Paper {t[4]}{j}" for j in range(5))]
+
+
 def shape(w):
     return [w[0], w[1], [shape(c) for c in w[2]]]
 

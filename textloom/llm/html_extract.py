@@ -9,12 +9,12 @@ its text. They tell its role on the host:
 
 * template: a group with one text on ``LEAST_PAGES`` pages or more, or a text that every page with its path has. Left out, as long as
   at least ``VARIED`` of a page's text is not template (else its host has copies, and template cannot be told from content);
-* navigation: a group of short blocks that are mostly links. Left out;
+* navigation: a group of short blocks that are mostly links, where it stands apart. Left out; beside running text that varies (a list of references) it is content;
 * content: a group whose text varies. Kept.
 
 Tags and names are the prior. Tags that say what the contract leaves out (nav, footer, form and so on) are left out without
-a vote; so are groups whose name says so and nothing else (``ad-slot``, ``comments``). A name that only has such a
-word among others (``related-work``) needs a role that agrees. ``article`` and ``main`` are taken as content whole; of the two the one that
+a vote; so are groups whose name says so and nothing else (``ad-slot``, ``comments``). A name that has such a word among others
+(``ad-hoc``, ``newsletter-history``, in an article ``comments-on-policy``) is outweighed by running text that varies; one that only hints (``related-work``) needs a role that agrees. ``article`` and ``main`` are taken as content whole; of the two the one that
 holds the host's running text, by the wrapper's sums, is the page's text.
 
 A page is matched with its host's wrapper by walking the expression: each child takes the first place at or after the
@@ -66,8 +66,11 @@ HINTING_WORDS = frozenset(
 #: Of these no name is made alone.
 _NEUTRAL = frozenset("bar box list slot item area container section wrapper".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that stand beside these in names of reader comments.
+COMMENT_COMPANIONS = frozenset("user users reader readers visitor guest post article blog entry page body text content author meta thread section count form wrap inner holder area block tree title".split())
 FRAMES = frozenset("root html body main".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+RUNNING_TAGS = frozenset("# p blockquote pre dd".split())
 UNNAMED = frozenset("div section ul ol".split())
 #: Share of links and characters of a block from which, and below which, a group is navigation; share of a host's text that has to vary.
 LINKED, SHORT_BLOCK, VARIED = 0.6, 80, 0.1
@@ -103,7 +106,7 @@ class Node:
 @lru_cache(maxsize=1 << 14)
 def _named(tag: str, attributes: str) -> tuple[str, str]:
     """Name (first class or id, numbers of several digits taken for equal) and prior of an element: 'out' by tag or role, 'telling' by its name, 'talk' by the
-    name of reader comments, 'hint', 'heads' (a header, which belongs to an article if it stands in one), 'region' or ''."""
+    name of reader comments, 'maybe' and 'maybe talk' if the name has other words too, 'hint', 'heads' (a header, which belongs to an article if it stands in one), 'region' or ''."""
     name, found, roles = "", set(), set()
     for attribute, value in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         for token in value.strip("\"'").split():
@@ -120,14 +123,15 @@ def _named(tag: str, attributes: str) -> tuple[str, str]:
             if len(known) == len(words):
                 found.add("heads" if set(known) <= {"header", "masthead"} | _NEUTRAL else "talk" if set(known) & COMMENT_WORDS else "telling")
             elif set(words) & TELLING_WORDS and tag not in CONTENT_TAGS:
-                found.add("talk" if set(words) & COMMENT_WORDS else "telling")
+                talk = set(words) & COMMENT_WORDS
+                found.add(("talk" if set(words) - set(known) <= COMMENT_COMPANIONS else "maybe talk") if talk else "maybe")
             else:
                 found.add("hint")
     if tag in BOILERPLATE_TAGS or roles & BOILERPLATE_ROLES - {"banner"}:
         return name, "out"
     if tag in FRAMES:
         return name, "region" if tag == "main" else ""
-    for kind in ("talk", "telling"):
+    for kind in ("talk", "telling", "maybe talk", "maybe"):
         if kind in found:
             return name, kind
     if tag in CONTENT_TAGS or roles & {"main", "article"}:
@@ -364,17 +368,29 @@ def template(sums: list[int] | None) -> bool:
     return bool(sums) and sums[PAGES] >= LEAST_PAGES and sums[LO] == sums[HI] and sums[PAGE_LO] != sums[PAGE_HI]
 
 
-def left_out(node: Node, sums: list[int] | None, inside: bool, holds_region: bool, constants: bool) -> bool:
-    """Whether a group is left out: what its tag and name say, and its role on the host."""
-    if node.prior == "out" or node.prior == "talk":
+def running(sums: list[int] | None, least: int) -> bool:
+    """Blocks of that many characters on average, less than half of them in links, of no template."""
+    return bool(sums) and sums[CHARS] >= least * sums[BLOCKS] and sums[LINKS] * 2 < sums[CHARS] and not template(sums)
+
+
+def with_prose(wrapper: list | None) -> bool:
+    """Whether running text stands in a group itself, not further down."""
+    return bool(wrapper) and any(c[0].partition(".")[0] in RUNNING_TAGS and running(c[3], SHORT_BLOCK) for c in wrapper[2])
+
+
+def left_out(node: Node, sums: list[int] | None, inside: bool, holds_region: bool, constants: bool, beside: bool = False) -> bool:
+    """Whether a group is left out: what its tag and name say, and its role on the host; beside: it stands beside running text."""
+    if node.prior == "out" or node.prior == "talk" or node.prior == "maybe talk" and not inside:
         return True
     if node.prior == "telling":
         return not holds_region
+    if node.prior in ("maybe", "maybe talk"):
+        return not holds_region and not running(sums, SHORT_BLOCK // 2)
     if node.prior == "heads":
         return not inside and not holds_region
     if node.tag in FRAMES or node.prior == "region" or holds_region:
         return False
-    role = navigation(sums) or (constants and template(sums))
+    role = (navigation(sums) and not (beside and not node.prior)) or (constants and template(sums))
     if node.prior == "hint":
         return role or bool(sums) and sums[CHARS] < SHORT_BLOCK * sums[BLOCKS] and sums[LINKS] * 2 >= sums[CHARS]
     return role and not inside
@@ -387,7 +403,7 @@ def holding(root: Node) -> set[int]:
     nodes = [root]
     for node in nodes:
         for c in node.children:
-            if c.tag != "#" and c.prior not in ("out", "talk"):
+            if c.tag != "#" and c.prior not in ("out", "talk", "maybe talk"):
                 up[id(c)] = node
                 nodes.append(c)
                 if c.prior == "region":
@@ -433,20 +449,20 @@ def _left(root: Node, wrapper: list, fixed: frozenset[int], constants: bool) ->
     articles, rest = _running(wrapper)
     regions = holding(root)
     out: list[tuple[bool, bool, str]] = []
-    todo: list[tuple[Node, list | None, int, bool, bool]] = [(root, wrapper, 0, False, False)]
+    todo: list[tuple[Node, list | None, int, bool, bool, bool]] = [(root, wrapper, 0, False, False, False)]
     while todo:
-        node, w, path, article, main = todo.pop()
+        node, w, path, article, main, beside = todo.pop()
         if node.tag == "#":
             if article or main or not fixed or _slot(path, node.text) not in fixed:
                 out.append((article, main, node.text))
             continue
-        if left_out(node, w[3] if w else None, article or main, id(node) in regions, constants):
+        if left_out(node, w[3] if w else None, article or main, id(node) in regions, constants, beside):
             continue
         if node.prior == "region":
             is_main = node.tag == "main" or node.tag != "article" and not article
             main, article = main or is_main, article or not is_main
-        places = Places(w)
-        below = [(c, places.take(c) if w else None, _step(path, c), article, main) for c in node.children]
+        places, beside = Places(w), beside or node.tag not in FRAMES and with_prose(w)
+        below = [(c, places.take(c) if w else None, _step(path, c), article, main, beside) for c in node.children]
         todo.extend(reversed(below))
     if any(x[0] for x in out) and not (rest > articles and any(x[1] for x in out)):
         return [x[2] for x in out if x[0]]
