@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import compare as G
 from textloom.operators import structure as S
@@ -119,3 +120,10 @@ def test_long_units_are_split_and_few_sections_give_paragraphs(spark):
                 s = last
             last = i + 1
     assert [r["text"] for r in first[4:]] == [*want, whole[s:].strip()]
+
+
+@pytest.mark.parametrize("blanks", [0, 1, 4, 5, 6, 40])
+def test_numbers_of_clauses_are_no_facts_however_many_blanks(spark, blanks):
+    gap = " " * blanks
+    rows = spark.createDataFrame([(f"see §{gap}30 and 7 crates", f"see §{gap}31 and 9 crates")], "a string, b string")
+    assert [tuple(f[:3]) for f in rows.select(G.changed_facts(F.col("a"), F.col("b")).alias("f")).first()["f"]] == [("number", "7", "9")]
