@@ -49,15 +49,17 @@ def test_substitutions_are_tolerated_and_others_left_alone(spark):
     assert left.columns == frame.columns and {r["doc_id"] for r in left.collect()} == {d[0] for d in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("blank", [" ", ""])
 @pytest.mark.parametrize("n", range(1, 15))
-def test_no_pattern_of_substitutions_is_missed(n):
-    """The rule, told by laying the item on every diagonal, and the seeds agree for all placements of substitutions."""
-    item = [f"w{k}" for k in range(n)]
+def test_no_pattern_of_substitutions_is_missed(n, blank):
+    """The rule, told by laying the item on every diagonal, and the seeds agree for all placements of substitutions, of words and of
+    characters where no blanks are set."""
+    item, (x, before, after) = ([f"w{k}" for k in range(n)], ("x", "before", "after")) if blank else ([chr(0x4E00 + k) for k in range(n)], "水前後")
     width = min(n, 12)
-    seeds, most = B.Seeds([(1, " ".join(item))]), width - B.least_agreeing(width)
+    seeds, most = B.Seeds([(1, blank.join(item))]), width - B.least_agreeing(width)
     for k in range(min(n, most + 2)):
         for gone in combinations(range(n), k):
-            got = seeds.overlaps(" ".join(["before", *("x" if i in gone else w for i, w in enumerate(item)), "after"]))
+            got = seeds.overlaps(blank.join([before, *(x if i in gone else w for i, w in enumerate(item)), after]))
             stretch = max(sum(i not in gone for i in range(s, s + width)) for s in range(n - width + 1))
             assert bool(got) == (100 * stretch >= 80 * width), gone
 
@@ -85,8 +87,8 @@ def test_like_all_diagonals_on_few_words(spark):
     rows = [B.overlaps(docs, items(spark, bench), block_bytes=n) for n in (1 << 20, 10)]
     got = [sorted(tuple(-1 if x is None else x for x in r) for r in r.collect()) for r in rows]
     assert got[0] == got[1] and len(got[0]) > 100
-    told = {(r["id"], r["item_id"], r["n_matched"], r["best_stretch"]) for r in rows[0].collect() if r["item_id"] != 90}
-    assert told == {(r["doc_id"], *x) for r in docs.collect() for x in diagonals(r["text"], bench[:25] + bench[26:])}
+    told = {(r["id"], r["item_id"], r["n_matched"], r["best_stretch"]) for r in rows[0].collect()}
+    assert told == {(r["doc_id"], *x) for r in docs.collect() for x in diagonals(r["text"], bench)} and any(x[1] == 90 for x in told)
     left = [sorted(r["doc_id"] or -1 for r in B.clean(docs, items(spark, bench[:6]), block_bytes=n).collect()) for n in (1 << 20, 10)]
     hit = {r["id"] for r in B.overlaps(docs, items(spark, bench[:6])).collect()}
     assert left[0] == left[1] == sorted(r["doc_id"] or -1 for r in docs.collect() if r["doc_id"] not in hit)
@@ -108,10 +110,32 @@ def test_short_items_and_items_without_id(spark):
     texts = ["a zebra, crossing here", "a zebra crossings here", "答え 水は百度で沸騰すると言う", "ภาษาไทยดี", f"Here is {long}.", "nothing", ""]
     docs = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])
     got = {(r["id"], r["item_id"]): r["first_token"] for r in B.overlaps(docs, bench).collect()}
-    assert got == {(0, 1): 1, (2, 2): 1, (3, 3): 0, (4, None): 2}
+    assert got == {(0, 1): 1, (2, 2): 2, (3, 3): 4, (4, None): 2}
     assert {r["doc_id"] for r in B.clean(docs, bench).collect()} == {1, 5, 6}
 
 
+def test_scripts_without_blanks(spark):
+    """Characters are tokens there: blanks make no difference, a few characters may differ, other texts are left alone; both ways alike, and
+    like the SQL."""
+    import duckdb
+
+    from textloom.llm.queries import ORACLE_SQL
+
+    said = "东海渔民每年春天出海捕鱼直到秋末才回到自己的港口"
+    one = said[:9] + "夏" + said[10:]
+    spread = "".join("木" if k % 3 == 0 else c for k, c in enumerate(said))
+    bench = [(1, said), (2, " ".join(said[:12])), (3, "ทะเลตะวันออกมีปลามากในฤดูใบไม้ผลิ"), (4, "Ferry 東京 to 大阪 by night boat")]
+    texts = ["今年" + said + "。", " ".join(said), f"他说：{one}吗", spread, "ว่าทะเลตะวันออกมีปลามากในฤดูใบไม้ร่วง", "the ferry 東京to大阪 by night boat", "东海很远", None]
+    docs = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    ways = [sorted(map(tuple, B.overlaps(docs, items(spark, bench), block_bytes=n).collect())) for n in (1 << 20, 10)]
+    assert ways[0] == ways[1] and {(r[0], r[1]) for r in ways[0]} == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2), (4, 3), (5, 4)}
+    con = duckdb.connect()
+    for name, rows, key in (("documents", list(enumerate(texts)), "doc_id"), ("benchmark", bench, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert sorted(con.execute(ORACLE_SQL["op6_decontaminate"]).fetchall()) == ways[0]
+
+
 def test_finds_every_exact_passage(spark, medium):
     from textloom.llm.queries import op6_decontaminate
 

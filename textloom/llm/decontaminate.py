@@ -1,14 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are lower-cased words with ASCII punctuation taken for blanks. A seed hashes the tokens of a window at the
+Tokens are lower-cased words with ASCII punctuation taken for blanks; in scripts that set no blanks between words each character is a
+token, so a text reads the same with and without blanks. A seed hashes the tokens of a window at the
 positions that a fixed mask keeps, so a substitution at an ignored position leaves it intact. Seeds of the benchmark
 and of the documents are joined; around each hit the item is laid against the document on the hit's diagonal, and the
 two overlap if some stretch of ``STRETCH`` item tokens (the whole item if it is shorter) agrees in at least ``AGREE`` percent of
 its positions.
 
 The masks are lossless: for each length of a stretch, ``MASKS`` has so many that whatever positions the rule lets differ, some
-mask fits between them. So every overlap has a seed, and short items go by the same rule as long ones. Short items of a script that
-sets no blanks are also looked for whole inside longer tokens.
+mask fits between them. So every overlap has a seed, and items of all lengths and scripts go by the same rule and the same join.
 
 A benchmark of up to ``BLOCK_BYTES`` of text is broadcast, and documents are not shuffled. A larger one is never held
 in one place: its seeds are written as a table, the documents' seeds that may be among them (by a bit map of bounded size)
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +44,9 @@ MASKS = {
     11: ("1101011", "1110011"),
     12: ("11101011", "101100111", "111111"),
 }
-#: Items shorter than this are also looked for inside tokens, if their script sets no blanks: Thai, Lao, Myanmar, Khmer; kana and Han.
-UNSPACED_BELOW = 6
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+#: Code points of scripts that set no blanks between words, first and last: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "]")
 BLOCK_BYTES = 8 << 20
 PORTION = 64
 #: Words remembered by each worker; this changes the cost only.
@@ -62,7 +61,10 @@ Item = tuple[int | None, str]
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_BLANK).split()
 
 
 def numbered(word: bytes) -> int:
@@ -118,13 +120,11 @@ class Seeds:
 
     def __init__(self, items: list[Item]) -> None:
         self.vocab: dict[bytes, int] = {}
-        self.ids, self.items, self.unspaced = [], [], []
+        self.ids, self.items = [], []
         groups: dict[str, list[int]] = {}
         for item, text in items:
             words = tokens(text)
             if words:
-                if len(words) < UNSPACED_BELOW and _UNSPACED.search(text):
-                    self.unspaced.append((len(self.ids), b" ".join(words)))
                 for m in masks_of(len(words)):
                     groups.setdefault(m, []).append(len(self.ids))
                 self.ids.append(item)
@@ -160,8 +160,7 @@ class Seeds:
         """(item, matched tokens, item tokens, first token of the item's place in the document, best stretch) of each
         item that the text overlaps, on its best diagonal."""
         get = self.vocab.get
-        told = tokens(text)
-        words = np.array([get(w, 0) for w in told], np.uint64)
+        words = np.array([get(w, 0) for w in tokens(text)], np.uint64)
         if not len(words) or not self.vocab:
             return []
         best: dict[int, tuple[int, int, int]] = {}
@@ -170,12 +169,6 @@ class Seeds:
             i = int(group[0, 0])
             if found := agreeing(self.items[i], words, group[:, 1]):
                 best[i] = found
-        if self.unspaced:
-            whole = b" ".join(told)
-            for i, run in self.unspaced:
-                at, n = whole.find(run), len(self.items[i])
-                if at >= 0 and i not in best:
-                    best[i] = (n, n, whole.count(b" ", 0, at))
         return [(self.ids[i], total, len(self.items[i]), at, stretch) for i, (total, stretch, at) in sorted(best.items())]
 
 
@@ -307,30 +300,11 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     return met.transform(shipped).mapInArrow(verified, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND_TYPES}")
 
 
-def _parted(items: DataFrame) -> DataFrame:
-    """Items with the column ``unspaced``: short ones of a script without blanks, which seeds of tokens cannot find inside tokens."""
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [0 < len(tokens(t)) < UNSPACED_BELOW and _UNSPACED.search(t) is not None for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(short, pa.bool_())], ["item", "text", "unspaced"])
-
-    return scratch_table(items.select("item", "text").transform(shipped).mapInArrow(told, "item long, text string, unspaced boolean"), "parted-items")
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, n_matched, n_item_tokens, first_token, best_stretch), a row for each document and item that overlap."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = _items(benchmark, item_col, item_text_col)
-    if _bytes(items) <= block_bytes:
-        return _looked_up(rows, items)
-    parted = _parted(items)
-    found = [_joined(rows, parted.where("not unspaced").drop("unspaced"))]
-    # Those few go in blocks, each a pass over the documents.
-    rest = parted.where("unspaced").drop("unspaced")
-    n = -(-_bytes(rest) // block_bytes)
-    found += [_looked_up(rows, rest.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)) for k in range(n)]
-    return reduce(DataFrame.unionByName, found)
+    return _looked_up(rows, items) if _bytes(items) <= block_bytes else _joined(rows, items)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

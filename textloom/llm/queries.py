@@ -130,7 +130,15 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
     CAST(sum(length('<|im_start|>' || {_escaped_sql("role", True)} || chr(10) || {_escaped_sql("text")} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
-_TOKENS = r"regexp_extract_all(lower(text), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+')"
+
+def _ranges(bounds: list[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in bounds)
+
+
+# Code points from 0x80 between the ranges of scripts without blanks: there words are runs, in those each character is a token.
+_FIRST, _LAST = zip(*decontaminate.UNSPACED, strict=True)
+_BETWEEN = [(a + 1, b - 1) for a, b in zip((0x7F, *_LAST), (*_FIRST, 0x110000), strict=True) if a + 1 < b]
+_TOKENS = f"regexp_extract_all(lower(text), '[{_ranges(list(decontaminate.UNSPACED))}]|[0-9a-zA-Z{_ranges(_BETWEEN)}]+')"
 _LEAKS = f"""
 WITH d AS (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS p FROM documents),
 b AS (SELECT item_id, len({_TOKENS}) AS n, least({decontaminate.STRETCH}, len({_TOKENS})) AS wide, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS q FROM benchmark),
