@@ -354,19 +354,80 @@ def test_analysis_of_a_contract(spark):
     assert by_page[3].where("doc = 1").first()["unreadable"] == [2] and by_page[3].where("doc = 1").first()["warnings"] == ["partial_scan", "no_structure_detected"]
 
 
-def test_documents_without_text(spark, small):
-    import zlib
-
-    pages = defaultdict(list)
-    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
-        name = "/".join(x for x in (r["source"], r["lang"], str(r["doc_id"] // 50)) if x is not None)
-        crc = zlib.crc32(name.encode())
-        text = (r["text"] or "")[: crc % 40] if crc % 3 else r["text"] or ""
-        solid = len(re.sub(r"[ \t\n\x0b\f\r]+", "", text))
-        words = sum(c.isalnum() for c in text)
-        pages[name].append(((solid > 0 and words / solid < 0.5) or (solid < 20 and r["doc_id"] % 4 == 0), solid))
-    want = {d for d, own in pages.items() if all(bad for bad, _ in own) or sum(n for bad, n in own if not bad) < 50}
-    assert {r["doc"] for r in query("documents_without_text")(spark, small).collect()} == want and want
+def test_split_units(spark, small, texts):
+    """Sections of three lines, split at line starts once they are too long, and paragraphs where sections are few."""
+    import hashlib
+
+    from textloom.plans.structure_queries import text_lines
+
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want, few = set(), []
+    for doc, text in texts.items():
+        starts = [0, *(m.end() for m in re.finditer("\n", text))][::3]
+        if doc % 2 or len(starts) < 5:
+            few.append(doc)
+            continue
+        idx = 0
+        for k, s in enumerate(starts):
+            e = starts[k + 1] if k + 1 < len(starts) else len(text)
+            body = re.sub(r"[ \t]+", " ", text[s:e]).strip(" ")
+            words = re.findall(r"[^ \t\n\x0b\f\r]+", body)
+            if len(words) < 4 or (sum(x.strip(" ") != "" for x in body.split("\n")) == 1 and len(words) <= 12 and not re.search(r"[.;:]\Z", body)):
+                continue
+            cuts, last = [0], 0
+            for at in [m.end() for m in re.finditer("\n", body)] if len(body) > 4 * 120 else []:
+                if -(-(at - 1 - cuts[-1]) // 4) > 120 and last > cuts[-1]:
+                    cuts.append(last)
+                last = at
+            for part, lo in enumerate(cuts):
+                hi = cuts[part + 1] if part + 1 < len(cuts) else len(body)
+                title = f"Lines {k + 1}" + (f" (part {part + 1})" if len(cuts) > 1 else "")
+                shown = body[lo:hi].strip(" \n") if len(body) > 4 * 120 else body
+                want.add((doc, idx, str(k + 1), title, digest(shown), s + lo, e if part + 1 == len(cuts) else s + hi))
+                idx += 1
+    rows = query("split_units")(spark, small).collect()
+    plain = G.paragraph_units(text_lines(spark, small)).collect()
+    want |= {(r["doc"], r["idx"], r["number"], r["title"], digest(r["text"]), r["start"], r["end"]) for r in plain if r["doc"] in set(few)}
+    got = [tuple(r[c] for c in ("doc", "idx", "number", "title", "digest", "start", "end")) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == want and any("(part 2)" in x[3] for x in got) and few
+
+
+def test_answers_as_text(spark):
+    """Marks become numbers or links; words that leave a sentence open bring the quote, cut and escaped; unknown marks."""
+    from textloom.operators import verification as V
+
+    content = "It is made ⟦c1⟧. Known ⟦c2⟧, as ⟦c3⟧; by ⟦c4⟧ ⟦c1⟧ within ⟦c1⟧ then: ⟦c9⟧"
+    answers = spark.createDataFrame([(1, content), (2, ""), (3, "no marks"), (4, None)], "answer_id long, content string")
+    cited = [(1, "c1", "p", "verified", "a*b"), (1, "c2", "q", "verified_close", "two"), (1, "c3", "r", "verified", "x" * 300), (1, "c4", "p", "unverified", "four")]
+    citations = spark.createDataFrame(cited, "answer_id long, citation_id string, passage string, status string, display string")
+    plain = {r["answer_id"]: r["content"] for r in V.plain_answers(answers, citations).collect()}
+    assert plain == {1: "It is made  [1]. Known  [2], as  [3]; by  [unverified]  [1] within  [1] then: ", 2: "", 3: "no marks", 4: None}
+    told = {r["answer_id"]: r["content"] for r in V.markdown_answers(answers, citations).collect()}
+    link = lambda k: f" [c{k}](#cite-c{k})"
+    first = " *“a\\*b”*" + link(1)
+    assert told == {1: f"It is made {first}. Known {link(2)}, as  *“{'x' * 237}…”*{link(3)}; by {link(4)} {link(1)} within {link(1)} then: {link(9)}", 2: "", 3: "no marks", 4: None}
+
+
+def test_displayed_is_the_matchers_own(spark):
+    """The column and the matcher's function give the same words, over furniture that overlaps, touches or lies outside."""
+    import random
+
+    from textloom.operators import verification as V
+
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(300):
+        text = "".join(rng.choice("ab é-\n\t X9\u00a0") for _ in range(rng.randint(0, 60)))
+        lo = rng.randint(0, len(text))
+        hi = rng.randint(lo, len(text))
+        skip, at = [], 0
+        for _ in range(rng.randint(0, 4)):
+            s = at + rng.randint(0, 12)
+            at = s + rng.randint(1, 10)
+            skip.append((s, at))
+        want[k] = M.display(M.Document(text, tuple(skip)), (lo, hi))
+        rows.append((k, text, lo, hi, [{"start": s, "end": e} for s, e in skip]))
+    frame = spark.createDataFrame(rows, "k int, text string, start int, end int, furniture array<struct<start:int,end:int>>")
+    assert {r["k"]: r["d"] for r in frame.select("k", V.displayed().alias("d")).collect()} == want
 
 
 def test_excerpts_merge_and_neighbours_need_room(spark):

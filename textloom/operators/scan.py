@@ -118,6 +118,21 @@ def section_page(sections: DataFrame, docs: DataFrame, size: int = 6000) -> Data
     return rows.select("doc", "ord", "page", F.substring("text", at.cast("int") + 1, F.least(F.lit(size), F.col("end") - at).cast("int")).alias("text"))
 
 
+def read_pages(calls: DataFrame, pages: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+    """(call_id, error, page_no, text, unreadable, next): the pages that calls (call_id, doc, first, last) ask for, ``most`` at once, from ``first`` on; next is where
+    to go on if there were more. A document without pages, and pages out of range, give one row with an error. pages (doc, page_no, start, end, unreadable), numbered
+    from 1; an unreadable page shows no text."""
+    told = calls.join(pages.groupBy("doc").agg(F.count("*").alias("n")), "doc", "left")
+    ranged = (F.col("first") >= 1) & (F.col("last") <= F.col("n")) & (F.col("first") <= F.col("last"))
+    told = told.withColumn("error", F.when(F.col("n").isNull(), "NO_PAGES").when(~F.coalesce(ranged, F.lit(False)), "PAGE_OUT_OF_RANGE"))
+    final = F.least(F.col("last"), F.col("first") + most - 1)
+    shown = told.where("error is null").select("call_id", "doc", F.when(final < F.col("last"), final + 1).alias("next"), F.explode(F.sequence("first", final)).alias("page_no"))
+    rows = shown.join(pages, ["doc", "page_no"]).join(docs.select("doc", F.col("text").alias("body")), "doc")
+    text = clean_slice(F.expr("substring(body, cast(start as int) + 1, cast(end - start as int))"))
+    rows = rows.select("call_id", F.lit(None).cast("string").alias("error"), F.col("page_no").cast("long").alias("page_no"), F.when(F.col("unreadable"), "").otherwise(text).alias("text"), "unreadable", F.col("next").cast("long").alias("next"))
+    return rows.unionByName(told.where("error is not null").select("call_id", "error"), allowMissingColumns=True)
+
+
 def plain_quotes(answers: DataFrame, least: int = 25, most: int = 800) -> DataFrame:
     """(answer_id, pos, quote): passages of five words and more in plain quotation marks."""
     rows = answers.select("answer_id", F.posexplode(F.regexp_extract_all("content", F.lit(f"[“\"]([^“”\"]{{{least},{most}}})[”\"]"), 1)).alias("pos", "quote"))

@@ -179,17 +179,66 @@ def citation_numbers(answers: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select("answer_id", "citation_id", F.dense_rank().over(Window.partitionBy("answer_id").orderBy("seen")).alias("number"))
 
 
+_MARK = "⟦(c\\d+)⟧"
+#: The words and signs that leave a sentence open before a quote, how far back they are looked for, and how much of a quote is shown there.
+OPEN_WORDS = (
+    "is", "are", "was", "were", "be", "made", "that", "where", "which", "as", "since", "because", "state", "states", "stating", "provide", "provides", "providing", "say", "says", "saying", "read", "reads",
+    "noting", "meaning", "namely", "including", "of", "by", "under", "in", "to", "with", "from", "between", "and", "or", "than", "per",
+)
+OPEN_SIGNS, LEAD_IN, SHOWN_QUOTE, MARKDOWN = ":—–", 40, 240, r"([\\`*_\[\]<>#|~])"
+
+
+def _marks(answers: DataFrame) -> DataFrame:
+    """(answer_id, pos, citation_id, lead): the marks ⟦cN⟧ of answers in order, each with what stands before it, as far as the mark before."""
+    plain = F.transform(F.split("content", "⟦c\\d+⟧"), lambda p, i: F.when(i > 0, F.concat(F.lit("⟧"), p)).otherwise(p))
+    rows = answers.select("answer_id", plain.alias("plain"), F.posexplode(F.regexp_extract_all("content", F.lit(_MARK), 1)).alias("pos", "citation_id"))
+    return rows.select("answer_id", "pos", "citation_id", F.right(F.get("plain", F.col("pos")), F.lit(LEAD_IN)).alias("lead"))
+
+
+def _filled(answers: DataFrame, shown: DataFrame) -> DataFrame:
+    """(answer_id, content) with the text of shown (answer_id, pos, text) in the place of each mark; marks without one go."""
+    texts = shown.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "text"))).alias("texts"))
+    rows = answers.select("answer_id", F.split("content", "⟦c\\d+⟧").alias("plain")).join(texts, "answer_id", "left")
+    joined = F.array_join(F.transform("plain", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("texts", i), F.lit("")))), "")
+    return rows.select("answer_id", joined.alias("content"))
+
+
 def rendered_answers(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """(answer_id, content) with each mark replaced by its verified quote in tag form; marks of others go."""
-    parts = answers.select("answer_id", F.split("content", "⟦c\\d+⟧").alias("plain"), F.regexp_extract_all("content", F.lit("⟦(c\\d+)⟧"), 1).alias("marks"))
-    at = parts.select("answer_id", F.posexplode_outer("marks").alias("pos", "citation_id"))
     shown = citations.where("status in ('verified', 'verified_close') and display is not null")
     quote = F.concat(F.lit(' <quote doc="'), F.col("tag"), F.lit('">'), F.col("display"), F.lit("</quote> "))
-    at = at.join(shown, ["answer_id", "citation_id"], "left").select("answer_id", "pos", F.coalesce(quote, F.lit("")).alias("quote"))
-    at = at.where("pos is not null").groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "quote"))).alias("quotes"))
-    rows = parts.join(at, "answer_id", "left")
-    joined = F.array_join(F.transform("plain", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("quotes.quote"), i), F.lit("")))), "")
-    return rows.select("answer_id", joined.alias("content"))
+    return _filled(answers, _marks(answers).join(shown, ["answer_id", "citation_id"]).select("answer_id", "pos", quote.alias("text")))
+
+
+def plain_answers(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """(answer_id, content) as plain text: each mark gives the number of its verified citation, or says that it is unverified; unknown marks go.
+    answers (answer_id, content); citations (answer_id, citation_id, passage, status)."""
+    told = citations.join(citation_numbers(answers, citations), ["answer_id", "citation_id"], "left")
+    text = F.coalesce(F.concat(F.lit(" ["), F.col("number").cast("string"), F.lit("]")), F.lit(" [unverified]"))
+    return _filled(answers, _marks(answers).join(told, ["answer_id", "citation_id"]).select("answer_id", "pos", text.alias("text")))
+
+
+def markdown_answers(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """(answer_id, content) as Markdown: each mark is a link; where the words before it leave the sentence open, the words of its verified citation
+    stand before the link, escaped, an overlong quote cut. citations (answer_id, citation_id, status, display)."""
+    known = citations.where("status in ('verified', 'verified_close') and display <> ''").select("answer_id", "citation_id", "display")
+    rows = _marks(answers).join(known, ["answer_id", "citation_id"], "left")
+    opened = F.col("lead").rlike(rf"(?i)(?:(?<![0-9A-Za-z_])(?:{'|'.join(OPEN_WORDS)})|[{OPEN_SIGNS}])[\s\x{{A0}}]*$")
+    words = F.when(F.length("display") > SHOWN_QUOTE, F.concat(F.substring("display", 1, SHOWN_QUOTE - 3), F.lit("…"))).otherwise(F.col("display"))
+    quote = F.when(opened, F.concat(F.lit(" *“"), F.regexp_replace(words, MARKDOWN, r"\\$1"), F.lit("”*")))
+    link = F.concat(F.coalesce(quote, F.lit("")), F.lit(" ["), F.col("citation_id"), F.lit("](#cite-"), F.col("citation_id"), F.lit(")"))
+    return _filled(answers, rows.select("answer_id", "pos", link.alias("text")))
+
+
+def displayed(text: str = "text", start: str = "start", end: str = "end", furniture: str = "furniture") -> Column:
+    """The document's own words for a range, as a column: furniture (array<struct<start,end>>) out, broken words joined, white space collapsed."""
+    kept = f"""
+        aggregate(filter(array_sort(`{furniture}`), s -> s.end > `{start}` and s.start < `{end}`), named_struct('at', cast(`{start}` as int), 'out', cast(array() as array<string>)),
+            (a, s) -> if(s.end <= a.at, a, named_struct('at', cast(greatest(a.at, least(s.end, `{end}`)) as int), 'out', array_append(a.out, substring(`{text}`, a.at + 1, greatest(a.at, s.start) - a.at)))),
+            a -> array_join(array_append(a.out, substring(`{text}`, a.at + 1, cast(`{end}` as int) - a.at)), '\n'))
+    """
+    joined = F.regexp_replace(F.expr(kept), r"(?U)(\p{L})-[ \t]*\n\s*(?=\p{Ll})", "$1")
+    return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
 
 
 def highlight_boxes(pages: DataFrame, spans: DataFrame) -> DataFrame:

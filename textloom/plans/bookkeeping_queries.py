@@ -43,13 +43,10 @@ def intake_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source and language is a document, its documents are pages; every fourth page shows an image."""
-    rows = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
-    pages = rows.select(F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 4 == 0).alias("image"))
-    # Texts are cut to a few characters in two of three documents, as scans have them.
-    few = F.when(F.crc32("doc") % 3 != 0, F.expr("substring(text, 1, cast(crc32(doc) % 40 as int))")).otherwise(F.col("text"))
-    pages = pages.withColumn("text", few)
-    return S.without_text(pages.select("doc", "text", S.unreadable(F.col("text"), F.col("image")).alias("bad")))
+    """A document's lines are its pages; every fourth shows an image. A null text is one empty page."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text")
+    pages = rows.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "text"))
+    return S.without_text(pages.select("doc", "text", S.unreadable(F.col("text"), F.col("page") % 4 == 0).alias("bad")))
 
 
 def touched_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +129,10 @@ def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (queue_heartbeat, queue_complete, intake_split, documents_without_text, touched_sections, answer_notices, rendered_spans, built_citations, fitted_results, rewritten_documents, turn_offsets, page_offsets)}
 
 SQL = {
+    "documents_without_text": """WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS page FROM documents),
+        n AS (SELECT doc_id, page, length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS solid, len(regexp_extract_all(t, '[\\p{L}\\p{N}]')) AS words, len(regexp_extract_all(t, '[\\x{FFFD}\\x{E000}-\\x{F8FF}\\x00-\\x08\\x0E-\\x1F]')) AS odd FROM p),
+        b AS (SELECT *, solid > 0 AND (words < 0.5 * solid OR odd > 0.2 * solid) OR solid < 20 AND page % 4 = 0 AS bad FROM n)
+        SELECT doc_id AS doc FROM b GROUP BY doc_id HAVING bool_and(bad) OR coalesce(sum(solid) FILTER (WHERE NOT bad), 0) < 50""",
     "queue_heartbeat": f"""SELECT job_id, strftime(CASE WHEN job_id % 3 = 0 AND status = 'running' THEN TIMESTAMP '2024-01-15 00:02:00' ELSE locked_until END, '%Y-%m-%d %H:%M:%S') AS locked_until, CASE WHEN job_id % 3 = 0 THEN status = 'running' END AS alive FROM ({_JOBS})""",
     "queue_complete": f"""WITH j AS (SELECT *, job_id % 2 = 1 AND status = 'running' AS ends FROM ({_JOBS})), s AS (SELECT CASE WHEN ends THEN CASE WHEN job_id % 5 = 0 THEN 'failed' ELSE 'done' END ELSE status END AS status, ends FROM j)
         SELECT status, ends AS free, count(*) AS n, count(*) FILTER (WHERE status = 'failed') AS retryable FROM s GROUP BY 1, 2""",
