@@ -103,6 +103,8 @@ def classified_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (expected_places, displayed_ranges, split_units, page_parts, pages_read, plain_answers, markdown_answers, classified_changes)}
 
 _BLANKS = "[\\s\\x{A0}\\x{85}\\x0B\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+# Applied twice: a letter that ends one match may start the next.
+_BROKEN = f"(\\p{{L}})-[ \\t]*\\n{_BLANKS}*(\\p{{Ll}})"
 _PAGES = f"""SELECT doc_id AS doc, text, k + 1 AS page_no, k * {PAGE} AS s, least(k * {PAGE} + {PAGE}, length(text)) AS e, (doc_id + k) % 7 = 0 AS unreadable
     FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / {PAGE}) AS BIGINT)))) AS k FROM documents WHERE text IS NOT NULL)"""
 _CITED = """t AS (SELECT conv_id || ':' || turn AS answer_id, conv_id + turn AS n, text FROM conversations WHERE text IS NOT NULL),
@@ -121,7 +123,7 @@ SQL = {
         m AS (SELECT item_id, doc_id, CAST((length(t) - length(replace(t, p, ''))) // length(p) AS BIGINT) AS k FROM d JOIN b ON contains(t, p) WHERE p <> '' AND len(string_split(p, ' ')) >= 5)
         SELECT item_id || ':' || doc_id AS quote_id, 'verified' AS status, 2 * k AS n_found, k AS place, true AS inside FROM m""",
     "displayed_ranges": f"""WITH d AS (SELECT doc_id, regexp_replace(text, '([aeiou])(nt|th|re)', '\\1-' || chr(10) || '\\2', 'g') AS t FROM documents)
-        SELECT doc_id, md5(trim(regexp_replace(regexp_replace(substr(t, 11, 30) || chr(10) || substr(t, 46, 45) || chr(10) || substr(t, 121), '(\\p{{L}})-[ \\t]*\\n{_BLANKS}*(\\p{{Ll}})', '\\1\\2', 'g'), '{_BLANKS}+', ' ', 'g'), ' ')) AS digest FROM d""",
+        SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(substr(t, 11, 30) || chr(10) || substr(t, 46, 45) || chr(10) || substr(t, 121), '{_BROKEN}', '\\1\\2', 'g'), '{_BROKEN}', '\\1\\2', 'g'), '{_BLANKS}+', ' ', 'g'), ' ')) AS digest FROM d""",
     "page_parts": f"SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_no) - 1 AS ord, 'Page ' || page_no AS title, s AS start, e AS \"end\" FROM ({_PAGES}) WHERE e > s",
     "pages_read": f"""WITH d AS (SELECT doc_id AS doc, text, doc_id % 3 + 1 AS first, greatest(1, CAST(ceil(length(text) / {PAGE}) AS BIGINT)) AS n, CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 + 5 ELSE least(doc_id % 3 + 5, CAST(ceil(length(text) / {PAGE}) AS BIGINT)) END AS last FROM documents),
         c AS (SELECT *, CASE WHEN text IS NULL THEN 'NO_PAGES' WHEN last > n OR first > last THEN 'PAGE_OUT_OF_RANGE' END AS error FROM d)
