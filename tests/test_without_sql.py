@@ -3,6 +3,7 @@
 import json
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -455,11 +456,37 @@ def test_classifiers_raise_and_never_lower(spark):
     assert got == {"c1": ("major", "told", "classifier"), "c2": ("critical", "by rules", "classifier"), "c3": ("major", "by rules", "rules")}
 
 
+def test_two_legs_fill_up(spark, small):
+    """The precise leg's first twenty by density, then the loose leg's that are not among them, twenty in all."""
+    from textloom.operators import fulltext as T
+    from textloom.plans import fulltext_queries as Q
+
+    def first(questions):
+        found = defaultdict(list)
+        for r in T.matches(Q._index(spark, small), T.queries(questions)).collect():
+            found[r["question_id"]].append((-round(r["rank"], 9), r["doc"], r["ord"]))
+        return {q: [x[1:] for x in sorted(rows)[:20]] for q, rows in found.items()}
+
+    asked = Q._grammar(spark, small)
+    precise, loose = first(asked), first(T.either_words(asked))
+    want = {q: (precise.get(q, []) + [x for x in loose.get(q, []) if x not in precise.get(q, [])])[:20] for q in precise.keys() | loose.keys()}
+    got = defaultdict(list)
+    for r in sorted(query("two_leg_search")(spark, small).collect(), key=lambda r: r["rank"]):
+        got[r["question_id"]].append((r["doc"], r["ord"]))
+    assert got == want and any(len(precise.get(q, [])) < len(v) for q, v in want.items())
+
+
 @pytest.mark.parametrize("name", ["phrase_search", "compact_passages", "highlight_boxes", "fused_search"])
 def test_no_nested_loops(spark, small, name):
     plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+#: Queries that another file tests against plain Python.
+ELSEWHERE = {"escalated_findings": "test_answers.py", "page_offsets": "test_tables_and_markup.py"}
+
+
 def test_every_query_is_tested():
-    assert TESTED >= set(registry.QUERIES) - set(registry.SQL)
+    for name, file in ELSEWHERE.items():
+        assert f"{name}(spark, small)" in (Path(__file__).parent / file).read_text()
+    assert TESTED | ELSEWHERE.keys() >= set(registry.QUERIES) - set(registry.SQL)
