@@ -112,8 +112,8 @@ def retryable(status: Column, error_code: Column) -> Column:
 
 
 def byte_label(n: Column) -> Column:
-    """512 B, 3 KB, 2.5 MB."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.round(n / 1024).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB")))
+    """512 B, 3 KB, 2.5 MB; a tenth of a MB halfway between two goes to the even one."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.round(n / 1024).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / (1024 * 1024), 1)), F.lit(" MB")))
 
 
 def elapsed_label(seconds: Column) -> Column:
