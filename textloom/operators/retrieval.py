@@ -67,12 +67,12 @@ def filled(first: DataFrame, then: DataFrame, limit: int = LEG_LIMIT) -> DataFra
 
 
 def phrase_leg(chunks: DataFrame, phrases: DataFrame, limit: int = PHRASE_LIMIT) -> DataFrame:
-    """Chunks that hold a phrase (question_id, phrase) letter by letter in any case, in text order. The equality key is the phrase's second word
-    (of three letters or more), which stands whole wherever the phrase does. For phrases without one it is the words between blanks that hold the
+    """Chunks that hold a phrase (question_id, phrase) letter by letter in any case, in text order. The equality key is the phrase's first word
+    (of three letters or more) that something else of the phrase stands before and behind: a text may cut words at the phrase's ends short, but not that one. For phrases without one it is the words between blanks that hold the
     phrase's longest piece between blanks: these are looked up among the distinct words of all chunks, so that only those are cut into runs of
     characters. Phrases of under three characters, or of blanks, find nothing."""
-    words = F.regexp_extract_all(F.lower("phrase"), F.lit("(?<![a-z0-9])[a-z0-9]{3,}(?![a-z0-9])"), 0)
-    keyed = phrases.withColumn("low", F.lower("phrase")).withColumn("word", F.get(words, F.lit(1)))
+    words = F.regexp_extract_all(F.lower("phrase"), F.lit("(?<=[^a-z0-9])[a-z0-9]{3,}(?=[^a-z0-9])"), 0)
+    keyed = phrases.withColumn("low", F.lower("phrase")).withColumn("word", F.get(words, F.lit(0)))
     body = chunks.select("doc", "ord", F.lower("text").alias("body"))
     # Keys are exploded without the texts; those where a key was met are read again.
     at = body.select("doc", "ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]{3,}"), 0))).alias("key"))
