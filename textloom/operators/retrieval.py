@@ -61,7 +61,11 @@ def precise_leg(index: DataFrame, questions: DataFrame, limit: int = LEG_LIMIT)
 
 def filled(first: DataFrame, then: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
     """The first leg, filled up from the second without repeating a chunk."""
-    both = first.withColumn("leg", F.lit(0)).unionByName(then.withColumn("leg", F.lit(1)))
+    return filled_legs(first.withColumn("leg", F.lit(0)).unionByName(then.withColumn("leg", F.lit(1))), limit)
+
+
+def filled_legs(both: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
+    """``filled`` of legs in one frame (question_id, leg, doc, ord, rank)."""
     best = both.groupBy("question_id", "doc", "ord").agg(F.min(F.struct("leg", "rank")).alias("at"))
     return _ranked(best, [F.col("at")], limit).select("question_id", "doc", "ord", "rank")
 
