@@ -18,13 +18,14 @@ PAGE = 1500
 
 
 def expected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document stands twice in a text; passages are looked up with the second half as their context, which tells their places apart."""
+    """Each document stands twice in a text; passages are looked up with the second half as their context, which tells their places apart; all of
+    them are counted."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
     found = verified_passages(spark, sf_dir).join(read(spark, sf_dir, "benchmark"), "item_id").join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
     half = F.array(F.struct((F.col("n") + 1).alias("start"), (2 * F.col("n") + 1).alias("end")))
     quotes = found.select(F.concat_ws(":", "item_id", "doc_id").alias("quote_id"), "doc_id", "text", half.alias("context"))
     twice = docs.select("doc_id", F.concat("text", F.lit("\n"), "text").alias("text"), F.expr(_EMPTY).alias("furniture"))
-    rows = V.verify_quotes(twice, quotes).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
+    rows = V.verify_quotes(twice, quotes, most=None).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
     return rows.select("quote_id", "status", F.size("occurrences").cast("long").alias("n_found"), F.col("primary").cast("long").alias("place"), (F.get("occurrences", F.col("primary"))["start"] > F.col("n")).alias("inside"))
 
 
