@@ -75,8 +75,9 @@ def word_redlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence on each order, and its next version."""
-    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_custkey")
+    """A sentence on each order, and its next version. The orders are few bytes and much work, so they are dealt to all cores, not by file sizes; a stated
+    number of shuffle partitions is not put together again for being small."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
     amount = lambda c: F.format_string("USD %d", F.floor(c).cast("long"))
     text = lambda a, d, m, p, j: F.concat(F.lit("The buyer "), m, F.lit(" pay "), a, F.lit(" within "), d, F.lit(" days at "), p, F.lit("% under the laws of "), j, F.lit("."))
