@@ -33,11 +33,13 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc, ord, term, tf) of words of three ASCII letters or digits and more, stopwords left out. With terms (term), only
-    theirs: other words are dropped before anything is shuffled."""
+    theirs: other words are dropped before anything is shuffled. What is left is dealt by document, so that counts of a chunk, here and in the legs, need no
+    other shuffle; into all shuffle partitions, as few bytes of postings become many rows in a task's memory."""
     rows = chunks.select("doc", "ord", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), 0)).alias("term"))
     rows = rows.where(~F.col("term").isin(*X.STOPWORDS))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
     return rows.groupBy("doc", "ord", "term").agg(F.count("*").alias("tf"))
 
 
