@@ -84,9 +84,11 @@ def last_starting(points: DataFrame, items: DataFrame, value: list[str]) -> Data
 
 
 def compress_numbers(rows: DataFrame, key: list[str], number: str) -> DataFrame:
-    """key and a label such as "3–5, 41" of the distinct whole numbers of each key."""
+    """key and a label such as "3–5, 41" of the distinct whole numbers of each key. Rows are dealt by key once, into all shuffle partitions: they are so
+    well compressed that partitions made by their bytes hold many in a task's memory."""
     w = Window.partitionBy(*key).orderBy(number)
-    runs = rows.select(*key, number).distinct().withColumn("island", F.col(number) - F.row_number().over(w))
+    dealt = rows.select(*key, number).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    runs = dealt.distinct().withColumn("island", F.col(number) - F.row_number().over(w))
     runs = runs.groupBy(*key, "island").agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
     text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("–", "lo", "hi"))
     parts = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lo", text.alias("text")))).alias("parts"))
