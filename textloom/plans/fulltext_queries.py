@@ -39,8 +39,11 @@ def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positional_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each chunk's postings: how many, and where."""
-    rows = _index(spark, sf_dir).select("doc", "ord", "stem", F.explode("positions").alias("at"))
-    return rows.groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("stem").alias("n_stems"), F.sum("at").alias("places"), F.sum(F.col("at") * F.length("stem")).alias("weighed"))
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = _index(spark, sf_dir).select("doc", "stem", F.size("positions").alias("n"), places.alias("at"))
+    # Positions are added up where they stand; the stems of a document come together before they are counted.
+    each = rows.groupBy("doc", "stem").agg(F.sum("n").alias("n"), F.sum("at").alias("at"))
+    return each.groupBy("doc").agg(F.sum("n").alias("n"), F.count("stem").alias("n_stems"), F.sum("at").alias("places"), F.sum(F.col("at") * F.length("stem")).alias("weighed"))
 
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
