@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import compare as G
+from ..sources.scratch import scratch_table
 from ..sources.tables import read
 from .structure_queries import text_lines
 from .verification_queries import spaced_sql
@@ -21,6 +22,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(first, "line").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).where("a < b").select("a", "b")
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs of documents that are in a pair, and the pairs: both are read more than once, so they are made once, and texts in no pair are
+    left out before they are cut up."""
+    pairs = scratch_table(_pairs(spark, sf_dir), "version-pairs")
+    return scratch_table(G.paragraph_units(text_lines(spark, sf_dir, G.paired(pairs))).drop("start", "end"), "version-units"), pairs
+
+
 def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)
 
@@ -31,7 +39,7 @@ def paragraph_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.exact_pairs(G.paragraph_units(text_lines(spark, sf_dir)), _pairs(spark, sf_dir))
+    rows = G.exact_pairs(*_versions(spark, sf_dir))
     return rows.select("a", "b", F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"))
 
 
@@ -50,25 +58,25 @@ def part_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of the units that alignment puts together in each pair of versions; a unit put with none has a row with null."""
-    units = G.paragraph_units(text_lines(spark, sf_dir))
+    units, pairs = _versions(spark, sf_dir)
     side = lambda doc, name: units.select(F.col("doc").alias(doc), F.col("idx").alias(f"{doc}_idx"), F.struct("number", "title", "spaced").alias(name))
-    rows = unit_alignment(spark, sf_dir).join(side("a", "u"), ["a", "a_idx"], "left").join(side("b", "v"), ["b", "b_idx"], "left")
+    rows = G.alignments(units, pairs).join(side("a", "u"), ["a", "a_idx"], "left").join(side("b", "v"), ["b", "b_idx"], "left")
     told = F.when(F.col("a_idx").isNotNull() & F.col("b_idx").isNotNull(), F.round(G.similarity(F.col("u"), F.col("v")), 6))
     return rows.select("a", "b", F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"), told.alias("similarity"))
 
 
 def unit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.alignments(G.paragraph_units(text_lines(spark, sf_dir)), _pairs(spark, sf_dir))
+    return G.alignments(*_versions(spark, sf_dir))
 
 
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of each later version by type and severity, facts and titles included."""
-    return G.counted(G.drafted(G.paragraph_units(text_lines(spark, sf_dir)), _pairs(spark, sf_dir)), "b")
+    return G.counted(G.drafted(*_versions(spark, sf_dir)), "b")
 
 
 def word_redlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = G.paragraph_units(text_lines(spark, sf_dir)).select("doc", "idx", "text")
-    rows = unit_alignment(spark, sf_dir).where("type = 'modified'")
+    units, pairs = _versions(spark, sf_dir)
+    rows = G.alignments(units, pairs).where("type = 'modified'")
     rows = rows.join(units.select(F.col("doc").alias("a"), F.col("idx").alias("a_idx"), F.col("text").alias("before")), ["a", "a_idx"]).join(units.select(F.col("doc").alias("b"), F.col("idx").alias("b_idx"), F.col("text").alias("after")), ["b", "b_idx"])
     rows = G.redlines(rows.select(F.struct("a", "b", "b_idx").alias("id"), "before", "after"))
     return rows.select("id.a", "id.b", "id.b_idx", F.size("hunks").alias("n_hunks"), G.changed_snippet(F.col("hunks"), "after", 200).alias("snippet"))

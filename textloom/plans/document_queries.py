@@ -9,7 +9,7 @@ from ..operators import compare as G
 from ..operators import scan as N
 from ..operators import structure as S
 from ..sources.tables import read, replace_documents
-from .compare_queries import _pairs
+from .compare_queries import _versions
 from .retrieval_queries import _section_numbers
 from .structure_queries import _HEADS, _NUMBERED, _numbered_lines, document_chunks, lengths, section_tree, text_lines
 
@@ -108,7 +108,7 @@ def section_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draft_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.drafted(G.paragraph_units(text_lines(spark, sf_dir)), _pairs(spark, sf_dir))
+    return G.drafted(*_versions(spark, sf_dir))
 
 
 def visible_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ BODY_RULES = [("bolt", "bolt"), ("plate", r"plate\b")]
 _LINE_ENDS = "aggregate(lines, cast(array() as array<int>), (a, x) -> array_append(a, if(size(a) = 0, 0, a[size(a) - 1] + 1) + length(x)))"
 
 
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, ord, start, end, text) of every line of documents."""
-    rows = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
+def text_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc, ord, start, end, text) of every line of documents, or of those in ``only`` (doc)."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    rows = rows if only is None else rows.join(only, "doc", "left_semi")
+    rows = rows.select("doc", F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("ends", F.expr(_LINE_ENDS))
     rows = rows.select("doc", "ends", F.posexplode("lines").alias("ord", "text"))
     return rows.select("doc", "ord", (F.get("ends", F.col("ord")) - F.length("text")).alias("start"), F.get("ends", F.col("ord")).alias("end"), "text")
