@@ -6,6 +6,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 from textloom.functions.quote_stream import joined, parse
 from textloom.streaming import answers as A
@@ -236,3 +237,53 @@ def test_silent_messages_of_the_parser_end(spark, tmp_path):
     finally:
         q.stop()
     assert [(r["type"], r["reason"]) for r in sorted(rows, key=lambda r: r["seq"])][-1] == ("quote_abandoned", "stopped")
+
+
+class RowClock(Clock):
+    """The same for processors of single rows."""
+
+    def _took(self, rows):
+        self.out += [(self.now, *r) for r in rows]
+
+    def rows(self, columns, rows):
+        self._took(self.processor.handleInputRows((7,), iter([Row(*columns)(*r) for r in rows]), self))
+
+
+def test_single_rows_are_sent_and_saved_as_frames_are():
+    rng = random.Random(26)
+    for escalate in (False, True):
+        text = ("[[NOT_FOUND]]\n" if rng.random() < 0.5 else "") + 'a b <quote doc="2">c d</quote> e f'
+        pieces = [(k, text[i : i + 5], i + 5 >= len(text)) for k, i in enumerate(range(0, len(text), 5))]
+        rng.shuffle(pieces)
+        clocks = Clock(A.Sender(escalate, 15_000, 60_000)), RowClock(A.RowSender(escalate, 15_000, 60_000))
+        for clock in clocks:
+            for at in range(0, len(pieces), 3):
+                clock.rows(["seq", "delta", "last"], pieces[at : at + 3])
+                clock.run(20_000)
+            clock.run(200_000)
+        assert clocks[0].out == clocks[1].out and len(clocks[0].out) > 3 and all(c.empty() for c in clocks)
+    clocks = Clock(A.Saver(1500, 60_000)), RowClock(A.RowSaver(1500, 60_000))
+    for clock in clocks:
+        for k in range(9):
+            clock.rows(STATE, [(k, f"s{k}", k == 8)])
+            clock.run(700)
+    assert clocks[0].out == clocks[1].out and len(clocks[0].out) > 2
+
+
+def test_a_message_that_comes_whole_asks_for_no_waiting_pieces():
+    clock = Clock(A.Sender(False, 15_000, 60_000))
+    clock.states[1] = clock.processor.waiting = None
+    clock.rows(["seq", "delta", "last"], [(0, "a ", False), (1, "b", True)])
+    assert [r[3] for r in clock.out] == ["ping", "text", "text", "done"]
+
+
+def test_batches_grow_with_the_partitions(spark):
+    from textloom.plans.stream_queries import _files_a_batch
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, files in ((1, 2), (8, 2), (200, 25), (600, 75)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert _files_a_batch(spark) == files
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

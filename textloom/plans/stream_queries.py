@@ -44,6 +44,12 @@ def _pieces(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     return rows
 
 
+def _files_a_batch(spark: SparkSession) -> int:
+    """Files that a micro-batch reads: each batch opens every partition's state, so with more partitions it takes more files; else batches and partitions would
+    both grow with the input, and the openings by their product."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def quote_events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages in pieces of 23 characters through Structured Streaming, to the events' table and back; neighbouring
     text events are joined."""
@@ -51,7 +57,7 @@ def quote_events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = f"{folder(spark)}/quote-stream-{uuid.uuid4().hex}"
     rows = _pieces(spark, sf_dir, root)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/deltas")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _files_a_batch(spark)).parquet(f"{root}/deltas")
     query = Q.streamed(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return _joined_events(spark.read.schema(Q.EVENTS).parquet(f"{root}/events"))
@@ -71,7 +77,7 @@ def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pieces(spark, sf_dir, root)
     if (none := _none_read(spark, f"{root}/deltas", A.SENT)) is not None:
         return none
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/deltas")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _files_a_batch(spark)).parquet(f"{root}/deltas")
     query = A.sent(stream, escalate=True).writeStream.foreachBatch(A.table_sink(f"{root}/sent")).option("checkpointLocation", f"{root}/state").trigger(processingTime="200 milliseconds").start()
     A.drained(query, spark.read.parquet(f"{root}/deltas").count())
     return A.received(spark, f"{root}/sent")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -50,6 +50,10 @@ class Saver(StatefulProcessor):
         self.handle.registerTimer(due)
         self.kept.update((*kept[:4], due))
 
+    def _read(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in rows:
+            yield from zip(frame["seq"], frame["content"], frame["last"], strict=True)
+
     def _saved(self, key: tuple, kept: tuple, last: bool, now: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(int(key[0]), kept[0], kept[1], last, now)], columns=[c.split()[0] for c in FLUSHED.split(", ")])
 
@@ -57,11 +61,10 @@ class Saver(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs()
         seq, content, waits, saved_at, due = self.kept.get() if self.kept.exists() else (-1, None, False, 0, 0)
         over = False
-        for frame in rows:
-            for s, c, last in zip(frame["seq"], frame["content"], frame["last"], strict=True):
-                over |= bool(last)
-                if s >= seq:
-                    seq, content, waits = int(s), c, True
+        for s, c, last in self._read(rows):
+            over |= bool(last)
+            if s >= seq:
+                seq, content, waits = int(s), c, True
         kept = (seq, content, waits, saved_at, due)
         if over:
             if due:
@@ -109,20 +112,18 @@ class Sender(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         out: list[tuple] = []
-        if self.kept.exists():
+        known = self.kept.exists()
+        if known:
             *state, piece, number, is_open, ping_at, idle_at = self.kept.get()
         else:
             state, piece, number, is_open, ping_at, idle_at = ["start", "", "", "", 0], 0, 1, True, 0, 0
             out.append((None, {"type": "ping"}))
-        early = {}
-        for frame in rows:
-            for seq, delta, last in zip(frame["seq"], frame["delta"], frame["last"], strict=True):
-                early[int(seq)] = (delta or "", bool(last))
+        early = {int(seq): (delta or "", bool(last)) for seq, delta, last in self._read(rows)}
         parser = Parser.restored(tuple(state))
         while is_open:
             if piece in early:
                 delta, last = early.pop(piece)
-            elif self.waiting.containsKey((piece,)):
+            elif known and self.waiting.containsKey((piece,)):
                 delta, last = self.waiting.getValue((piece,))
                 self.waiting.removeKey((piece,))
             else:
@@ -141,11 +142,15 @@ class Sender(StatefulProcessor):
             for seq, held in early.items():
                 if seq > piece:
                     self.waiting.updateValue((seq,), held)
-        else:
+        elif known:
             self.waiting.clear()
         self._keep((*parser.state(), piece, number, is_open), (ping_at, idle_at), now)
         yield from self._rows(key, out)
 
+    def _read(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in rows:
+            yield from zip(frame["seq"], frame["delta"], frame["last"], strict=True)
+
     def _keep(self, state: tuple, timers: tuple[int, int], now: int) -> None:
         """The state with fresh timers: silence is counted from now, and pings only while the message is open."""
         for t in {t for t in timers if t}:
@@ -155,9 +160,11 @@ class Sender(StatefulProcessor):
             self.handle.registerTimer(t)
         self.kept.update((*state, *fresh))
 
+    def _told(self, key: tuple, out: list[tuple]) -> list[tuple]:
+        return [(int(key[0]), n, e["type"], e.get("id"), e.get("tag"), e.get("text"), e.get("reason")) for n, e in out]
+
     def _rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        rows = [(int(key[0]), n, e["type"], e.get("id"), e.get("tag"), e.get("text"), e.get("reason")) for n, e in out]
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+        frame = pd.DataFrame(self._told(key, out), columns=[c.split()[0] for c in SENT.split(", ")])
         yield frame.astype({"id": "Int32"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -183,19 +190,42 @@ class Sender(StatefulProcessor):
         pass
 
 
+_SENT_ROW, _FLUSHED_ROW = (Row(*(c.split()[0] for c in schema.split(", "))) for schema in (SENT, FLUSHED))
+
+
+class RowSaver(Saver):
+    """A saver for single rows in and out: most messages have a few, and frames of them cost more than the work."""
+
+    def _read(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        return ((r["seq"], r["content"], r["last"]) for r in rows)
+
+    def _saved(self, key: tuple, kept: tuple, last: bool, now: int) -> Iterator[Row]:
+        yield _FLUSHED_ROW(int(key[0]), kept[0], kept[1], last, now)
+
+
+class RowSender(Sender):
+    """A sender for single rows in and out."""
+
+    def _read(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        return ((r["seq"], r["delta"], r["last"]) for r in rows)
+
+    def _rows(self, key: tuple, out: list[tuple]) -> Iterator[Row]:
+        return (_SENT_ROW(*told) for told in self._told(key, out))
+
+
 def saved(states: DataFrame, interval_ms: int = FLUSH_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """What to save of a stream of a message's states (msg_id, seq, content, last): at most one for each interval, the latest, and the last at once.
 
     A state that comes after the last one is saved again with its own seq; whoever reads takes the largest seq.
     """
     with_timers(states.sparkSession)
-    return states.transform(shipped).groupBy("msg_id").transformWithStateInPandas(Saver(interval_ms, idle_ms), FLUSHED, "Append", "ProcessingTime")
+    return states.transform(shipped).groupBy("msg_id").transformWithState(RowSaver(interval_ms, idle_ms), FLUSHED, "Append", "ProcessingTime")
 
 
 def sent(deltas: DataFrame, *, escalate: bool = False, ping_ms: int = PING_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """Events (msg_id, id, type, ...) of a stream of pieces (msg_id, seq, delta, last), as ``Sender`` sends them; pings have no id."""
     with_timers(deltas.sparkSession)
-    return deltas.transform(shipped).groupBy("msg_id").transformWithStateInPandas(Sender(escalate, ping_ms, idle_ms), SENT, "Append", "ProcessingTime")
+    return deltas.transform(shipped).groupBy("msg_id").transformWithState(RowSender(escalate, ping_ms, idle_ms), SENT, "Append", "ProcessingTime")
 
 
 def table_sink(path: str) -> Callable[[DataFrame, int], None]:
