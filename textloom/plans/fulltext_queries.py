@@ -28,8 +28,8 @@ def _grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("question_id", text.alias("text"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.postings(_chunks(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    return T.postings(_chunks(spark, sf_dir), asked)
 
 
 def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,22 +49,25 @@ def positional_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with any of a question's words, by cover density: every place of a word is a cover."""
     asked = T.queries(T.either_words(_questions(spark, sf_dir)))
-    return T.leg(T.matches(_index(spark, sf_dir), asked)).withColumn("rank", F.col("rank").cast("long"))
+    return T.leg(T.matches(_index(spark, sf_dir, asked), asked)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def covered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with all of the first three words of a passage, by cover density."""
     asked = _questions(spark, sf_dir).select("question_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
-    return T.leg(T.matches(_index(spark, sf_dir), T.queries(asked))).withColumn("rank", F.col("rank").cast("long"))
+    asked = T.queries(asked)
+    return T.leg(T.matches(_index(spark, sf_dir, asked), asked)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def grammar_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks that fulfil queries with phrases, alternatives and exclusions."""
-    return T.matches(_index(spark, sf_dir), T.queries(_grammar(spark, sf_dir))).select("question_id", "doc", "ord")
+    asked = T.queries(_grammar(spark, sf_dir))
+    return T.matches(_index(spark, sf_dir, asked), asked, ranked=False).select("question_id", "doc", "ord")
 
 
 def two_leg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.search(_index(spark, sf_dir), _grammar(spark, sf_dir))
+    asked = _grammar(spark, sf_dir)
+    rows = T.search(_index(spark, sf_dir, T.both_legs(asked)), asked)
     return rows.select("question_id", "doc", "ord", F.col("rank").cast("long").alias("rank"))
 
 
