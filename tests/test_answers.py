@@ -287,3 +287,70 @@ def test_batches_grow_with_the_partitions(spark):
             assert _files_a_batch(spark) == files
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_runs_of_pieces_are_sent_as_single_rows_are():
+    """One row with lists gives what its pieces give one by one, in one row for each call."""
+    rng = random.Random(28)
+    for escalate, text in itertools.product((False, True), TEXTS):
+        todo = pieces(text)
+        rng.shuffle(todo)
+        single, runs = RowClock(A.RowSender(escalate, 15_000, 60_000)), RowClock(A.RunSender(escalate, 15_000, 60_000))
+        for at in range(0, len(todo), 4):
+            single.rows(PIECE, todo[at : at + 4])
+            runs.rows(PIECE, [tuple(map(list, zip(*todo[k : k + 2], strict=True))) for k in range(at, min(at + 4, len(todo)), 2)])
+            for clock in (single, runs):
+                clock.run(20_000)
+        for clock in (single, runs):
+            clock.rows(PIECE, [([99], ["late"], [True])] if clock is runs else [(99, "late", True)])
+            clock.run(200_000)
+        assert all(r[1] == 7 and len({len(c) for c in r[2:]}) == 1 for r in runs.out)
+        assert [(r[0], 7, *e) for r in runs.out for e in zip(*r[2:], strict=True)] == [tuple(r) for r in single.out] and runs.empty()
+
+
+def test_neighbouring_pieces_are_packed(spark):
+    rows = [(1, 0, "a", False), (1, 1, None, True), (2**60 + 1, 0, "b", False), (2**60 + 2, 0, "c", False), (None, 3, "d", None), (None, 4, "e", True), (1, 2, "f", True)]
+    docs = spark.createDataFrame(rows, "msg_id long, seq int, delta string, last boolean").coalesce(1)
+    packed = A._runs(docs).collect()
+    assert [len(r["seq"]) for r in packed] == [2, 1, 1, 1, 1, 1]
+    assert [(r["msg_id"], *p) for r in packed for p in zip(r["seq"], r["delta"], r["last"], strict=True)] == rows
+    assert A._runs(docs.limit(0)).collect() == []
+
+
+class Running:
+    """A query that reads a row in each 0.3 s until it has read all."""
+
+    def __init__(self, most):
+        self.began, self.most, self.stopped = time.monotonic(), most, False
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        self.stopped = True
+
+    @property
+    def recentProgress(self):
+        return [{"batchId": k, "numInputRows": 1} for k in range(min(self.most, int((time.monotonic() - self.began) / 0.3)))]
+
+
+def test_a_long_stream_is_waited_for_while_it_goes_on():
+    """The limit holds for standing still, not for all."""
+    query = Running(7)
+    A.drained(query, 7, seconds=1)
+    assert query.stopped and time.monotonic() - query.began > 1.5
+    query = Running(2)
+    with pytest.raises(TimeoutError):
+        A.drained(query, 7, seconds=1)
+    assert query.stopped
+
+
+def test_only_asked_documents_are_cut(spark, small, monkeypatch):
+    from textloom.plans import stream_queries as P
+    from textloom.plans import structure_queries as S
+
+    cut, whole = [], S.chunks_of
+    monkeypatch.setattr(S, "chunks_of", lambda docs: cut.append({r["doc"] for r in docs.select("doc").collect()}) or whole(docs))
+    asked = {r["doc"] for r in P.escalated_findings(spark, small).collect()}
+    every = {r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
+    assert cut == [asked] and asked < every

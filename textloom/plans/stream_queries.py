@@ -100,14 +100,17 @@ def escalated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that ended early, each asked anew of the whole document of its conversation's number, in windows, with the deterministic extractor."""
     from ..operators import scan as N
     from ..operators import structure as S
+    from ..sources.scratch import scratch_table
     from .document_queries import _docs
-    from .structure_queries import document_chunks, lengths
+    from .structure_queries import chunks_of
 
-    docs = _docs(spark, sf_dir)
-    stopped = A.escalated(_sent(spark, sf_dir)).withColumn("doc", F.floor(F.col("msg_id") / 1000))
+    stopped = scratch_table(A.escalated(_sent(spark, sf_dir)).withColumn("doc", F.floor(F.col("msg_id") / 1000)), "stopped")
+    # Only documents that are asked are cut into chunks and windows; what follows reads them from here.
+    docs = scratch_table(_docs(spark, sf_dir).join(stopped.select("doc").distinct(), "doc", "left_semi"), "asked-documents")
     turns = _messages(spark, sf_dir).select("msg_id", F.substring("text", 15, 60).alias("text"))
     questions = stopped.join(docs.select("doc"), "doc").join(turns, "msg_id").select(F.col("msg_id").alias("question_id"), "doc", "text")
-    _, account = N.scan(S.windows(document_chunks(spark, sf_dir), lengths(spark, sf_dir), 1500), docs, questions, N.sentence_picker)
+    windows = S.windows(chunks_of(docs), docs.select("doc", F.length("text").alias("n")), 1500)
+    _, account = N.scan(windows, docs, questions, N.sentence_picker)
     return account.select(F.col("question_id").alias("msg_id"), "doc", "n_windows", "n_failed")
 
 

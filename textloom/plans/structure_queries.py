@@ -19,8 +19,12 @@ _LINE_ENDS = "aggregate(lines, cast(array() as array<int>), (a, x) -> array_appe
 def text_lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """(doc, ord, start, end, text) of every line of documents, or of those in ``only`` (doc)."""
     rows = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
-    rows = rows if only is None else rows.join(only, "doc", "left_semi")
-    rows = rows.select("doc", F.split("text", "\n").alias("lines"))
+    return lines_of(rows if only is None else rows.join(only, "doc", "left_semi"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc, ord, start, end, text) of every line of docs (doc, text) that have a text."""
+    rows = docs.select("doc", F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("ends", F.expr(_LINE_ENDS))
     rows = rows.select("doc", "ends", F.posexplode("lines").alias("ord", "text"))
     return rows.select("doc", "ord", (F.get("ends", F.col("ord")) - F.length("text")).alias("start"), F.get("ends", F.col("ord")).alias("end"), "text")
@@ -128,9 +132,14 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole documents by parts."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("doc"), "text", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("furniture"))
-    parts = S.fallback_parts(text_lines(spark, sf_dir), lengths(spark, sf_dir)).withColumns({"parent": F.lit(None).cast("int"), "number": F.lit(None).cast("string")})
-    return S.chunks(docs, parts)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    return chunks_of(docs)
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """Chunks of docs (doc, text) that have a text, by parts."""
+    parts = S.fallback_parts(lines_of(docs), docs.select("doc", F.length("text").alias("n"))).withColumns({"parent": F.lit(None).cast("int"), "number": F.lit(None).cast("string")})
+    return S.chunks(docs.withColumn("furniture", F.expr("cast(array() as array<struct<start:int,end:int>>)")), parts)
 
 
 def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

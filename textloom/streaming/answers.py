@@ -10,7 +10,10 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -213,6 +216,37 @@ class RowSender(Sender):
         return (_SENT_ROW(*told) for told in self._told(key, out))
 
 
+class RunSender(RowSender):
+    """A sender for runs of pieces, as ``_runs`` packs them: a row holds lists, in and out, so what Spark does for each row is done for each run."""
+
+    def _read(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        for r in rows:
+            yield from zip(r["seq"], r["delta"], r["last"], strict=True)
+
+    def _rows(self, key: tuple, out: list[tuple]) -> Iterator[Row]:
+        if out:
+            msg_id, *columns = zip(*self._told(key, out), strict=True)
+            yield _SENT_ROW(msg_id[0], *map(list, columns))
+
+
+def _runs(deltas: DataFrame) -> DataFrame:
+    """Neighbouring pieces of one message in one row of lists, as far as they stand in one Arrow batch; other pieces are runs of one."""
+    names = ["seq", "delta", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids = batch.num_rows, batch.column("msg_id")
+            if not n:
+                continue
+            other = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(other) + 1)
+            bounds = pa.array(np.append(starts, n), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *(pa.ListArray.from_arrays(bounds, batch.column(c)) for c in names)], ["msg_id", *names])
+
+    kinds = {c: deltas.schema[c].dataType.simpleString() for c in ("msg_id", *names)}
+    return deltas.select("msg_id", *names).mapInArrow(run, ", ".join(f"{c} {k if c == 'msg_id' else f'array<{k}>'}" for c, k in kinds.items()))
+
+
 def saved(states: DataFrame, interval_ms: int = FLUSH_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """What to save of a stream of a message's states (msg_id, seq, content, last): at most one for each interval, the latest, and the last at once.
 
@@ -225,7 +259,10 @@ def saved(states: DataFrame, interval_ms: int = FLUSH_MS, idle_ms: int = IDLE_MS
 def sent(deltas: DataFrame, *, escalate: bool = False, ping_ms: int = PING_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """Events (msg_id, id, type, ...) of a stream of pieces (msg_id, seq, delta, last), as ``Sender`` sends them; pings have no id."""
     with_timers(deltas.sparkSession)
-    return deltas.transform(shipped).groupBy("msg_id").transformWithState(RowSender(escalate, ping_ms, idle_ms), SENT, "Append", "ProcessingTime")
+    columns = [c.split() for c in SENT.split(", ")[1:]]
+    lists = ", ".join(["msg_id long", *(f"{c} array<{kind}>" for c, kind in columns)])
+    told = deltas.transform(shipped).transform(_runs).groupBy("msg_id").transformWithState(RunSender(escalate, ping_ms, idle_ms), lists, "Append", "ProcessingTime")
+    return told.select("msg_id", F.inline(F.arrays_zip(*(c for c, _ in columns))))
 
 
 def table_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -238,18 +275,20 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def drained(query: StreamingQuery, n_rows: int, seconds: float = 600) -> None:
-    """Waits until a running query has read so many rows and sent what they gave, then stops it. With timers there is always a next batch, so
-    ``availableNow`` would never end."""
+    """Waits until a running query has read so many rows and sent what they gave, then stops it; after so many seconds without any more rows it is an error. With
+    timers there is always a next batch, so ``availableNow`` would never end."""
     seen: dict[int, int] = {}
-    until = time.monotonic() + seconds
+    had, since = 0, time.monotonic()
     try:
-        while sum(seen.values()) < n_rows:
+        while had < n_rows:
             if query.exception() is not None:
                 raise query.exception()
-            if time.monotonic() > until:
-                raise TimeoutError(f"{sum(seen.values())} of {n_rows} rows read in {seconds} s")
+            if time.monotonic() > since + seconds:
+                raise TimeoutError(f"{had} of {n_rows} rows read, none in {seconds} s")
             time.sleep(0.2)
             seen |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+            if sum(seen.values()) > had:
+                had, since = sum(seen.values()), time.monotonic()
     finally:
         query.stop()
 
