@@ -10,12 +10,15 @@ from textloom.llm._common import marked_by_ids, read, scratch_table
 
 #: Documents whose language is undetermined, or predicted with less certainty than this, go.
 LEAST_CERTAINTY = 0.2
+#: A language predicted with this certainty replaces the one that a document came with; a document without one takes what is predicted.
+CERTAIN = 0.9
 #: Documents that score this or more go.
 TOXIC_FROM = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.known(docs, LEAST_CERTAINTY)
+    """What follows goes by the language found here: the thresholds of toxicity are set for each."""
+    return language_id.known(docs, LEAST_CERTAINTY, told_in="lang", certain=CERTAIN)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,16 @@ def test_awkward_rows(spark, small):
         assert stage(spark, docs.limit(0), small).collect() == [], name
     kept = sorted((r["doc_id"] or 0) for r in corpus_pipeline.STAGES[2][1](spark, docs, small).collect())
     assert kept == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_the_language_found_goes_on(spark, small):
+    """Languages that are missing, or wrong for certain, leave the first stage as found; the next stage learns from them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    held_out = "crc32(cast(doc_id as string)) % 4 = 2"
+    lost = docs.selectExpr("doc_id", "text", f"case when {held_out} then if(doc_id % 2 = 0, null, if(lang = 'de', 'en', 'de')) else lang end as lang", "source", "n_chars")
+    found = {r["id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(lost).collect()}
+    had, right = ({r["doc_id"]: r["lang"] for r in rows.collect()} for rows in (lost, docs))
+    out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_known_languages(spark, lost, small).collect()}
+    assert out == {k: found[k][0] if had[k] is None or found[k][1] >= corpus_pipeline.CERTAIN else had[k] for k in out}
+    wrong = [k for k in out if had[k] != right[k]]
+    assert len(wrong) > 30 and sum(out[k] == right[k] for k in wrong) > 0.9 * len(wrong)

@@ -12,7 +12,7 @@ with one language that one is predicted; a row with a null id is held out, and p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shipped
-from ._common import texts_kept, texts_of
+from ._common import texts_of
 
 #: Language families by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
@@ -173,20 +173,24 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit([(r["lang"], np.frombuffer(r["v"], np.float32)) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["v"]))])
 
 
-def known(docs: DataFrame, least: float, model: Model | None = None, *, text_col: str = "text", **options: object) -> DataFrame:
-    """The documents whose language is predicted with a score of ``least`` or more, all their columns kept."""
+def known(docs: DataFrame, least: float, model: Model | None = None, *, text_col: str = "text", told_in: str | None = None, certain: float = 1.0, **options: object) -> DataFrame:
+    """The documents whose language is predicted with a score of ``least`` or more, all their columns kept.
+
+    In the column ``told_in``, if one is named, the predicted language stands where there was none, or another one and the score is ``certain`` or more.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col=text_col, **options))
 
-    def rule() -> Callable[[str | None], bool]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, own = Grams(), held.value
-
-        def passes(text: str | None) -> bool:
-            language, score = own.predict(grams(text))
-            return language != UNKNOWN and score >= least
-
-        return passes
-
-    return texts_kept(docs, text_col, rule)
+        for batch in batches:
+            found = [own.predict(grams(t)) for t in texts_of(batch, text_col)]
+            if told_in is not None:
+                at = batch.schema.get_field_index(told_in)
+                told = [lang if had is None or score >= certain else had for (lang, score), had in zip(found, batch.column(at).to_pylist(), strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(told, batch.schema.field(at).type))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.transform(shipped).mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
