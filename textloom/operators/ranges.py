@@ -14,16 +14,29 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def merge(ranges: DataFrame) -> DataFrame:
-    """(doc, start, end): the union of each document's ranges; touching ranges join."""
+def _islands(rows: DataFrame) -> DataFrame:
+    """rows with the number of the run that each range joins; equal ranges are in one run."""
     w = Window.partitionBy("doc").orderBy("start", "end")
-    rows = ranges.where("end > start").select("doc", "start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    rows = rows.withColumn("island", F.sum("fresh").over(w))
+    return rows.withColumn("island", F.sum("fresh").over(w))
+
+
+def merge(ranges: DataFrame) -> DataFrame:
+    """(doc, start, end): the union of each document's ranges; touching ranges join."""
+    rows = _islands(ranges.where("end > start").select("doc", "start", "end"))
     return rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def merge_all(ranges: DataFrame) -> DataFrame:
+    """As ``merge``, but ranges that hold nothing stay where no other reaches them: empty ones as one range, those that end before they start once
+    for each time they are given."""
+    rows = _islands(ranges.select("doc", "start", "end"))
+    rows = rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    times = F.when(F.col("end") < F.col("start"), F.col("n")).otherwise(1)
+    return rows.select("doc", "start", "end", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("_time")).drop("_time")
+
+
 def total_length(ranges: DataFrame) -> DataFrame:
     """(doc, length) of the union."""
     return merge(ranges).groupBy("doc").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
