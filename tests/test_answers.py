@@ -213,6 +213,19 @@ def test_escalated_messages_get_findings(spark, small):
     assert marked and got == {m: (m // 1000, windows[m // 1000]) for m in marked if m // 1000 in windows}
 
 
+def test_escalated_messages_tell_what_was_found(spark, tmp_path):
+    """Places of the sentences that share two words with the message, in order and once each; a message without any has none."""
+    from textloom.plans import stream_queries as P
+
+    asked = "the late crate waits for the buyer in town, and more is said of it here."
+    spark.createDataFrame([(7, 0, "user", asked), (14, 0, "user", asked), (8, 0, "user", asked)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    text = "Nothing stands here. A late crate came in. Some other words follow. Every crate waits."
+    spark.createDataFrame([(7, text), (14, "Nothing of it."), (8, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = ", ".join(f"{text.index(x)}–{text.index(x) + len(x)}" for x in ("A late crate came in.", "Every crate waits."))
+    got = sorted(tuple(r) for r in P.escalated_findings(spark, str(tmp_path)).select("msg_id", "doc", "n_windows", "n_failed", "n_discarded", "n_findings", "findings").collect())
+    assert got == [(7000, 7, 1, 0, 0, 2, want), (14000, 14, 1, 0, 0, 0, "")]
+
+
 def test_no_messages(spark, tmp_path):
     from textloom.plans import stream_queries as P
 

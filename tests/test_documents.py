@@ -22,6 +22,21 @@ def test_failed_windows_are_counted(spark):
     assert sorted((r["doc"], r["n_windows"], r["n_failed"], r["n_discarded"]) for r in account.collect()) == [(1, 2, 0, 2), (2, 1, 1, 0)]
 
 
+def test_the_extractor_is_asked_once_for_each_window(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The crate is late. The buyer waits for the crate."), (2, "No word on it here.")], "doc long, text string")
+    windows = spark.createDataFrame([(1, 0, 0, 18), (1, 1, 19, 49), (2, 0, 0, 19)], "doc long, index int, start int, end int")
+    questions = spark.createDataFrame([(7, 1, "crate"), (7, 2, "crate")], "question_id int, doc long, text string")
+
+    def extract(question, text):
+        with (tmp_path / "asked").open("a") as out:
+            out.write(f"{text}\n")
+        return [text]
+
+    found, account = N.scan(windows, docs, questions, extract)
+    assert found.count() == account.join(found, ["question_id", "doc"]).count() == 3
+    assert len((tmp_path / "asked").read_text().splitlines()) == 3
+
+
 def word_file():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     out = io.BytesIO()

@@ -13,6 +13,7 @@ from ..functions import text as X
 from . import ranges as R
 from . import verification as V
 from ..session import shipped
+from ..sources.scratch import scratch_table
 
 #: An extractor takes a question and a window's text and gives quotes; it stands for a language model.
 Extractor = Callable[[str, str], list[str]]
@@ -44,7 +45,8 @@ def scan(windows: DataFrame, docs: DataFrame, questions: DataFrame, extract: Ext
     """Findings and the account of a scan of questions (question_id, doc, text) over windows (doc, index, start, end).
 
     Findings: (question_id, doc, start, end), each quote verified in the document at once, once for all windows that have it. Account:
-    (question_id, doc, n_windows, n_failed, n_discarded); a window whose extractor fails is counted, never dropped silently.
+    (question_id, doc, n_windows, n_failed, n_discarded); a window whose extractor fails is counted, never dropped silently. The extractor is asked once for
+    each window and each quote is verified once: what they gave is written to the shared folder, and both outputs read it from there.
     """
     rows = questions.select("question_id", "doc", F.col("text").alias("question")).join(windows, "doc").join(docs.select("doc", F.col("text").alias("body")), "doc")
     rows = rows.select("question_id", "doc", "index", "question", F.col("start").alias("from"), F.substring("body", F.col("start") + 1, F.col("end") - F.col("start")).alias("body"))
@@ -61,14 +63,16 @@ def scan(windows: DataFrame, docs: DataFrame, questions: DataFrame, extract: Ext
                     failed.append(True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("question_id", "doc", "index")), pa.array(quotes, pa.list_(pa.string())), pa.array(failed, pa.bool_())], ["question_id", "doc", "index", "quotes", "failed"])
 
-    told = rows.transform(shipped).mapInArrow(run, f"question_id {questions.schema['question_id'].dataType.simpleString()}, doc {rows.schema['doc'].dataType.simpleString()}, index int, quotes array<string>, failed boolean")
+    shape = f"question_id {questions.schema['question_id'].dataType.simpleString()}, doc {rows.schema['doc'].dataType.simpleString()}, index int, quotes array<string>, failed boolean"
+    told = scratch_table(rows.transform(shipped).mapInArrow(run, shape), "scanned-windows")
     asked = told.select("question_id", "doc", "index", F.posexplode("quotes").alias("k", "quote"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     quotes = asked.select(F.struct("question_id", "doc", "index", "k").alias("quote_id"), F.col("doc").alias("doc_id"), F.col("quote").alias("text"), empty.alias("context"))
     checked = V.verify_quotes(docs.select(F.col("doc").alias("doc_id"), "text", empty.alias("furniture")), quotes)
     at = F.get("occurrences", F.col("primary"))
-    found = checked.where("status <> 'unverified'").select("quote_id.question_id", "quote_id.doc", at["start"].alias("start"), at["end"].alias("end")).distinct()
-    lost = checked.where("status = 'unverified'").groupBy("quote_id.question_id", "quote_id.doc").agg(F.count("*").alias("n_discarded"))
+    checked = scratch_table(checked.select("quote_id.question_id", "quote_id.doc", "status", at["start"].alias("start"), at["end"].alias("end")), "scanned-quotes")
+    found = checked.where("status <> 'unverified'").select("question_id", "doc", "start", "end").distinct()
+    lost = checked.where("status = 'unverified'").groupBy("question_id", "doc").agg(F.count("*").alias("n_discarded"))
     account = told.groupBy("question_id", "doc").agg(F.count("*").alias("n_windows"), F.count_if("failed").alias("n_failed")).join(lost, ["question_id", "doc"], "left")
     return found, account.select("question_id", "doc", "n_windows", "n_failed", F.coalesce("n_discarded", F.lit(0)).alias("n_discarded"))
 
