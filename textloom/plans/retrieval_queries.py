@@ -219,7 +219,9 @@ def failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    reads = rows.select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity")).cast("long").alias("seq"), (F.col("l_suppkey") % 3).alias("doc"), (F.col("l_quantity").cast("long") % 4).alias("start"), F.lit(3).cast("long").alias("end"))
+    seq = F.col("l_linenumber") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity")
+    # The SQL's casts round, those here cut off.
+    reads = rows.select(F.col("l_orderkey").alias("run_id"), F.rint(seq).cast("long").alias("seq"), (F.col("l_suppkey") % 3).alias("doc"), (F.rint("l_quantity").cast("long") % 4).alias("start"), F.lit(3).cast("long").alias("end"))
     return C.evidence(reads)
 
 
